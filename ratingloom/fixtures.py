@@ -38,3 +38,53 @@ def train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings(spark, sf_dir).where(F.col("rec_id") % TEST_EVERY == 0)
+
+
+def write_coo_text(records: DataFrame, dims, path: str, files: int = 1) -> str:
+    """Write ``records`` in ``rec_id`` order as coordinate text, each file with its own header."""
+    spark = records.sparkSession
+    total = max(1, dims.num_records)
+    placed = records.select(F.floor(F.col("rec_id") * files / total).cast("int").alias("file"),
+                            (F.col("rec_id") + 1).alias("line"),
+                            F.concat_ws("\t", "user_id", "item_id", "rating").alias("value"))
+    counts = placed.groupBy("file").agg(F.count("*").alias("n"))
+    headers = counts.select("file", F.lit(0).cast("long").alias("line"), F.concat_ws(
+        " ", F.lit(dims.num_users), F.lit(dims.num_items), F.col("n")).alias("value"))
+    comments = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(-1).cast("long").alias("line"),
+                                         F.lit("% user item rating").alias("value"))
+    lines = placed.unionByName(headers).unionByName(comments)
+    lines.repartitionById(files, "file").sortWithinPartitions("line").select("value").write.text(path)
+    return path
+
+
+def write_coo_binary(records: DataFrame, dims, path: str, layout: str, id_base: int, files: int = 1) -> str:
+    """Write ``records`` in ``rec_id`` order as coordinate binary files, one task per file."""
+    import numpy as np
+    import pyarrow as pa
+    from pyarrow import fs
+
+    header_type = {"narrow": "<u4,<u4,<u4", "wide": "<u4,<u4,<u8"}[layout]
+    sizes = (int(dims.num_users), int(dims.num_items))
+    total = max(1, dims.num_records)
+    placed = (records.withColumn("file", F.floor(F.col("rec_id") * files / total).cast("int"))
+              .repartitionById(files, "file").sortWithinPartitions("rec_id")
+              .select("file", "user_id", "item_id", "rating"))
+
+    def write(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows)
+        body = np.zeros(table.num_rows, dtype="<u4,<u4,<f4")
+        body["f0"] = table.column("user_id").to_numpy() + id_base
+        body["f1"] = table.column("item_id").to_numpy() + id_base
+        body["f2"] = table.column("rating").to_numpy()
+        head = np.array([(*sizes, table.num_rows)], dtype=header_type)
+        system = fs.LocalFileSystem()
+        system.create_dir(path)
+        with system.open_output_stream(f"{path}/part-{table.column('file')[0].as_py():05d}.bin") as out:
+            out.write(head.tobytes() + body.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int64())], names=["n"])
+
+    placed.mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return path

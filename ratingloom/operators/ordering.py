@@ -7,6 +7,8 @@ the running total of the bucket sizes before it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +33,11 @@ def range_positions(df: DataFrame, order: list[str], keep: list[str], position:
     ranged = (df.repartitionByRange(count, *order).sortWithinPartitions(*order)
               .select(*keep, F.spark_partition_id().alias("_part"), in_partition.alias("_index")))
     written = stage(ranged, position)
-    sizes = written.df.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range partition, so this window and broadcast are bounded by ``count``.
-    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    # One row per range partition: the driver turns at most ``count`` sizes into offsets.
+    sizes = written.df.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").toArrow()
+    rows = sizes.column("n").to_numpy()
+    bases = spark.createDataFrame(pa.table({
+        "_part": sizes.column("_part"), "_base": pa.array(np.cumsum(rows) - rows, pa.int64())}))
     placed = (written.df.join(F.broadcast(bases), "_part")
               .select((F.col("_base") + F.col("_index")).alias(position), *keep))
     return StagedTable(placed, written.path)

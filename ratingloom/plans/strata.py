@@ -75,6 +75,9 @@ class BlockedRatings:
            min_split: int = MIN_SPLIT_RECORDS) -> BlockedRatings:
         """``ratings`` has ``rec_id, user_id, item_id, rating`` and the training order ``pos``."""
         limits = {"min_rows": min_split, "max_keys": 2 * blocks}
+        # Counting, sampling and laying out each scan the ratings; sort them only once.
+        ordered = stage(ratings.select("rec_id", "user_id", "item_id", "rating", "pos"), "ordered-ratings")
+        ratings = ordered.df
         # At most 2P rows per side can exceed the limit: small enough to write and broadcast.
         user_copies = stage(hot_keys(ratings, "user_id", **limits).coalesce(1), "split-users").df
         item_copies = stage(hot_keys(ratings, "item_id", **limits).coalesce(1), "split-items").df
@@ -96,6 +99,7 @@ class BlockedRatings:
                  .applyInArrow(exchange.add_waves, "stratum int, block int, user_key long, item_key long, "
                                                    f"rating {kind}, pos long, wave int"))
         table = stage(waves, "blocked-ratings", ["stratum"])
+        ordered.drop()
         weights = None
         if split:
             weights = cls._copy_weights(table.df, user_copies, item_copies)
