@@ -10,8 +10,8 @@ SGD_RATE = 0.01
 ADAPTIVE_RATE = 0.1
 PENALTY = 0.05
 SEED = 13
-BLOCKS = 4
-RECORDS_PER_PART = 20000
+BLOCKS = 8
+RECORDS_PER_PART = 2000
 BATCHES = 3
 BATCH_SIZE = 1000
 RUN_RATES = {"slow": 0.001, "fast": 0.004}
@@ -97,6 +97,117 @@ def _order(key: str) -> str:
     return f"({key} * 7919 + {SEED}) % 10007, {key}"
 
 
+def _half(x: str) -> str:
+    """Nearest binary16 value of a FLOAT expression."""
+    spacing = (f"power(CAST(2 AS DOUBLE), greatest(floor(log2(abs(CAST({x} AS DOUBLE)))), -14) - 10)")
+    return f"CASE WHEN {x} = 0 THEN {x} ELSE CAST(round_even({x} / {spacing}, 0) * {spacing} AS FLOAT) END"
+
+
+def _fold(adaptive: bool, half: bool, rate: float) -> str:
+    """Lambda of a fold over records ``{u, v, r, p, q[, a, c]}``: one descent step on flat state lists.
+
+    ``p``, ``q`` are factors, ``a``, ``c`` squared-gradient sums. Each stage of the step is a
+    one-element list, so that every value is computed once.
+    """
+    kind = "FLOAT" if half else "DOUBLE"
+    lists = "pqac" if adaptive else "pq"
+    ids = {"p": "u", "a": "u", "q": "v", "c": "v"}
+    width = range(1, SGD_WIDTH + 1)
+    lr, lam = f"CAST({rate} AS {kind})", f"CAST({PENALTY} AS {kind})"
+    read = ", ".join(f"'{n}{k}': s.{n}[{SGD_WIDTH} * x.{ids[n]} + {k}]" for n in lists for k in width)
+    keep = ", ".join(f"'{n}{k}': t.{n}{k}" for n in lists for k in width)
+    error = f"CAST({' + '.join(f't.p{k} * t.q{k}' for k in width)} - x.r AS {kind})"
+    keep_more = ", ".join(f"'{n}{k}': t.{n}{k}" for n in lists for k in width)
+    slopes = ", ".join(f"'gp{k}': {lam} * t.p{k} + t.e * t.q{k}, 'gq{k}': {lam} * t.q{k} + t.e * t.p{k}" for k in width)
+    stages = [f"[{{{read}}}]", f"{{{keep}, 'e': {error}}}", f"{{{keep_more}, {slopes}}}"]
+    if adaptive:
+        sums = ", ".join(f"'h{n}{k}': t.{a}{k} + t.g{n}{k} * t.g{n}{k}" for n, a in (("p", "a"), ("q", "c"))
+                         for k in width)
+        stages.append(f"{{{keep}, {', '.join(f"'g{n}{k}': t.g{n}{k}" for n in 'pq' for k in width)}, {sums}}}")
+        move = "CASE WHEN t.h{0} > 0 THEN {1} / CAST(sqrt(t.h{0}) AS {2}) * t.g{0} ELSE 0 END"
+        steps = {n: [f"t.{n}{k} - {move.format(f'{n}{k}', lr, kind)}" for k in width] for n in "pq"}
+        steps |= {"a": [f"t.hp{k}" for k in width], "c": [f"t.hq{k}" for k in width]}
+    else:
+        steps = {n: [f"t.{n}{k} - {lr} * t.g{n}{k}" for k in width] for n in "pq"}
+    stages.append("{" + ", ".join(f"'{n}{k}': {e}" for n in lists for k, e in zip(width, steps[n])) + "}")
+    if half:
+        stages.append("{" + ", ".join(f"'{n}{k}': {_half(f't.{n}{k}')}" for n in lists for k in width) + "}")
+    chain = stages[0]
+    for stage in stages[1:]:
+        chain = f"list_transform({chain}, lambda t: {stage})"
+    written = ", ".join(
+        f"'{n}': list_concat(list_concat(s.{n}[:{SGD_WIDTH} * x.{ids[n]}], "
+        f"[{', '.join(f't.{n}{k}' for k in width)}]), s.{n}[{SGD_WIDTH} * x.{ids[n]} + {SGD_WIDTH + 1}:])" for n in lists)
+    return f"lambda s, x: list_transform({chain}, lambda t: {{'u': x.u, 'v': x.v, 'r': x.r, {written}}})[1]"
+
+
+def _element(u: str, v: str, r: str, adaptive: bool, kind: str, state: dict[str, str] | None = None) -> str:
+    lists = "pqac" if adaptive else "pq"
+    values = {n: (state or {}).get(n, f"CAST(NULL AS {kind}[])") for n in lists}
+    parts = ", ".join(f"'{n}': {e}" for n, e in values.items())
+    return f"{{'u': CAST({u} AS BIGINT), 'v': CAST({v} AS BIGINT), 'r': CAST({r} AS {kind}), {parts}}}"
+
+
+def _sequential(adaptive: bool, half: bool, rate: float) -> str:
+    """Serial descent in (stratum, block, position) order: per stratum, one fold for each block."""
+    kind = "FLOAT" if half else "DOUBLE"
+    rounded = _half("CAST(x AS FLOAT)") if half else "x"
+    block = "{0} * 1299709 % 2147483647 % " + str(BLOCKS)
+    parts = [
+        "indexed AS (SELECT side, id, f, blk, row_number() OVER (PARTITION BY side, blk ORDER BY id) - 1 AS idx\n"
+        f"  FROM (SELECT *, {block.format('CAST(id AS BIGINT)')} AS blk FROM state))",
+        f"placed AS (SELECT u.blk AS b, (v.blk - u.blk + {BLOCKS}) % {BLOCKS} AS stratum, u.idx AS u, v.idx AS v,\n"
+        f"    r.rating AS r, row_number() OVER (ORDER BY {_order('rec_id')}) AS pos FROM train r\n"
+        "  JOIN indexed u ON u.side = 0 AND u.id = user_id JOIN indexed v ON v.side = 1 AND v.id = item_id)",
+        f"recs AS (SELECT stratum, b, list({_element('u', 'v', 'r', adaptive, kind)} ORDER BY pos) AS l\n"
+        "  FROM placed GROUP BY stratum, b)",
+        f"start AS (SELECT side, blk AS b, flatten(list(list_transform(f, lambda x: {rounded}) ORDER BY idx)) AS f,\n"
+        f"  flatten(list(list_transform(f, lambda x: CAST(0 AS {kind})) ORDER BY idx)) AS z FROM indexed GROUP BY side, blk)",
+        "users0 AS (SELECT b, f AS p, z AS a FROM start WHERE side = 0)",
+        "items0 AS (SELECT b, f AS q, z AS c FROM start WHERE side = 1)"]
+    more_user, more_item = (", z.a", ", z.c") if adaptive else ("", "")
+    state = {"p": "p", "q": "q", "a": "a", "c": "c"}
+    for n in range(BLOCKS):
+        parts += [
+            f"fold{n} AS MATERIALIZED (SELECT users{n}.b AS ub, items{n}.b AS ib,\n"
+            f"    list_reduce(coalesce(l, []), {_fold(adaptive, half, rate)},\n"
+            f"      {_element('0', '0', '0', adaptive, kind, state)}) AS z\n"
+            f"  FROM users{n} JOIN items{n} ON items{n}.b = (users{n}.b + {n}) % {BLOCKS}\n"
+            f"  LEFT JOIN recs ON recs.stratum = {n} AND recs.b = users{n}.b)",
+            f"users{n + 1} AS (SELECT ub AS b, z.p AS p{more_user} FROM fold{n})",
+            f"items{n + 1} AS (SELECT ib AS b, z.q AS q{more_item} FROM fold{n})"]
+    value = f"f[{SGD_WIDTH} * idx + k]"
+    return _with(_initial("train", SGD_WIDTH), *parts) + (
+        f", done AS (SELECT 0 AS side, b, p AS f FROM users{BLOCKS} UNION ALL SELECT 1, b, q FROM items{BLOCKS})\n"
+        f"SELECT i.side, i.id, CAST(k - 1 AS INT) AS k, round(CAST(done.{value} AS DOUBLE), 6) AS value\n"
+        f"FROM indexed i JOIN done ON done.side = i.side AND done.b = i.blk, (SELECT unnest(range(1, {SGD_WIDTH + 1})) AS k)")
+
+
+def _parallel(placed: str, *before: str) -> str:
+    """Serial descent inside each part, then the record-weighted mean of each row's copies.
+
+    ``placed`` has ``part, user_id, item_id, rating, pos``.
+    """
+    state = {"p": "p", "q": "q"}
+    values = ", ".join(f"sum(n * z[{SGD_WIDTH} * id + {k}]) / sum(n)" for k in range(1, SGD_WIDTH + 1))
+    parts = [
+        *before, f"placed AS ({placed})",
+        f"recs AS (SELECT part, list({_element('user_id', 'item_id', 'rating', False, 'DOUBLE')} ORDER BY pos) AS l\n"
+        "  FROM placed GROUP BY part)",
+        "start AS (SELECT flatten(list(f ORDER BY id) FILTER (WHERE side = 0)) AS p,\n"
+        "  flatten(list(f ORDER BY id) FILTER (WHERE side = 1)) AS q FROM state)",
+        f"folded AS MATERIALIZED (SELECT part, list_reduce(l, {_fold(False, False, SGD_RATE)},\n"
+        f"    {_element('0', '0', '0', False, 'DOUBLE', state)}) AS z FROM recs, start)",
+        "copies AS (SELECT 0 AS side, user_id AS id, n, z.p AS z FROM folded\n"
+        "    JOIN (SELECT part, user_id, count(*) AS n FROM placed GROUP BY part, user_id) USING (part)\n"
+        "  UNION ALL SELECT 1, item_id, n, z.q FROM folded\n"
+        "    JOIN (SELECT part, item_id, count(*) AS n FROM placed GROUP BY part, item_id) USING (part))",
+        f"moved AS (SELECT side, id, [{values}] AS f FROM copies GROUP BY side, id)",
+        "merged AS (SELECT s.side, s.id, coalesce(m.f, s.f) AS f FROM state s LEFT JOIN moved m\n"
+        "  ON m.side = s.side AND m.id = s.id)"]
+    return _with(_initial("train", SGD_WIDTH), *parts) + _exploded("merged", SGD_WIDTH)
+
+
 def statements() -> dict[str, str]:
     sql = {}
     for scan in ("scan_coo_text", "scan_coo_binary", "scan_coo_binary_wide"):
@@ -181,4 +292,15 @@ SELECT vec_id, CAST(k AS INT) AS k, CASE WHEN x = 0 THEN x ELSE round_even(x / q
     sql["batch_sizes"] = _with() + (
         f"SELECT pos // {BATCH_SIZE} AS batch, count(*) AS records, sum(rating) AS rating_sum FROM (\n"
         f"  SELECT rating, row_number() OVER (ORDER BY {_order('rec_id')}) - 1 AS pos FROM ratings) GROUP BY batch")
+    sql["local_sgd_epoch"] = _parallel(
+        f"SELECT *, pos // {RECORDS_PER_PART} AS part FROM (\n"
+        f"  SELECT *, row_number() OVER (ORDER BY {_order('rec_id')}) - 1 AS pos FROM train)")
+    sql["row_sgd_epoch"] = _parallel(
+        f"SELECT base // {RECORDS_PER_PART} AS part, user_id, item_id, rating, pos * 2147483648 + item_id AS pos\n"
+        "  FROM latest JOIN offsets USING (user_id)",
+        f"latest AS ({last.format('train')})", offsets.format(whole="train", records="latest"))
+    sql["sgd_epoch"] = _sequential(False, False, SGD_RATE)
+    sql["adagrad_epoch"] = _sequential(True, False, ADAPTIVE_RATE)
+    sql["sgd_half_epoch"] = _sequential(False, True, SGD_RATE)
+    sql["adagrad_half_epoch"] = _sequential(True, True, ADAPTIVE_RATE)
     return sql
