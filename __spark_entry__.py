@@ -283,9 +283,11 @@ def row_sgd_epoch(spark, sf_dir):
 
 
 def train_trace(spark, sf_dir):
-    config = RunConfig(gd_mode=2, num_features=16, max_num_iterations=2, precision=1,
+    config = RunConfig(gd_mode=2, num_features=oracles.SGD_WIDTH, learning_rate=ADAPTIVE_RATE,
+                       regularization_factor=PENALTY, max_num_iterations=2, precision=2,
                        show_train_rmse=1, show_test_rmse=1)
-    model = fit(fixtures.train(spark, sf_dir), fixtures.test(spark, sf_dir), config)
+    engine = Engine(seed=SEED, shuffle="mix", init="mix", blocks=BLOCKS)
+    model = fit(fixtures.train(spark, sf_dir), fixtures.test(spark, sf_dir), config, engine)
     return model.metrics.select("iter", F.round("train_rmse", 6).alias("train_rmse"),
                                 F.round("test_rmse", 6).alias("test_rmse"))
 

@@ -88,8 +88,8 @@ def _exploded(state: str, width: int, column: str = "f", side: str = "side, ") -
             f"FROM {state}, (SELECT unnest(range(1, {width + 1})) AS k)")
 
 
-def _rmse(records: str, state: str) -> str:
-    return (f"(SELECT sqrt(avg(power({_dot('u.f', 'v.f', WIDTH)} - r.rating, 2))) FROM {records} r\n"
+def _rmse(records: str, state: str, width: int = WIDTH) -> str:
+    return (f"(SELECT sqrt(avg(power({_dot('u.f', 'v.f', width)} - r.rating, 2))) FROM {records} r\n"
             f"  JOIN {state} u ON u.side = 0 AND u.id = r.user_id JOIN {state} v ON v.side = 1 AND v.id = r.item_id)")
 
 
@@ -148,8 +148,11 @@ def _element(u: str, v: str, r: str, adaptive: bool, kind: str, state: dict[str,
     return f"{{'u': CAST({u} AS BIGINT), 'v': CAST({v} AS BIGINT), 'r': CAST({r} AS {kind}), {parts}}}"
 
 
-def _sequential(adaptive: bool, half: bool, rate: float) -> str:
-    """Serial descent in (stratum, block, position) order: per stratum, one fold for each block."""
+def _sequential(adaptive: bool, half: bool, rate: float, epochs: int = 1, trace: bool = False) -> str:
+    """Serial descent in (stratum, block, position) order: per stratum, one fold for each block.
+
+    Gives the factors after the last epoch, or with ``trace`` the errors after each.
+    """
     kind = "FLOAT" if half else "DOUBLE"
     rounded = _half("CAST(x AS FLOAT)") if half else "x"
     block = "{0} * 1299709 % 2147483647 % " + str(BLOCKS)
@@ -167,20 +170,28 @@ def _sequential(adaptive: bool, half: bool, rate: float) -> str:
         "items0 AS (SELECT b, f AS q, z AS c FROM start WHERE side = 1)"]
     more_user, more_item = (", z.a", ", z.c") if adaptive else ("", "")
     state = {"p": "p", "q": "q", "a": "a", "c": "c"}
-    for n in range(BLOCKS):
+    for n in range(BLOCKS * epochs):
         parts += [
             f"fold{n} AS MATERIALIZED (SELECT users{n}.b AS ub, items{n}.b AS ib,\n"
             f"    list_reduce(coalesce(l, []), {_fold(adaptive, half, rate)},\n"
             f"      {_element('0', '0', '0', adaptive, kind, state)}) AS z\n"
-            f"  FROM users{n} JOIN items{n} ON items{n}.b = (users{n}.b + {n}) % {BLOCKS}\n"
-            f"  LEFT JOIN recs ON recs.stratum = {n} AND recs.b = users{n}.b)",
+            f"  FROM users{n} JOIN items{n} ON items{n}.b = (users{n}.b + {n % BLOCKS}) % {BLOCKS}\n"
+            f"  LEFT JOIN recs ON recs.stratum = {n % BLOCKS} AND recs.b = users{n}.b)",
             f"users{n + 1} AS (SELECT ub AS b, z.p AS p{more_user} FROM fold{n})",
             f"items{n + 1} AS (SELECT ib AS b, z.q AS q{more_item} FROM fold{n})"]
-    value = f"f[{SGD_WIDTH} * idx + k]"
-    return _with(_initial("train", SGD_WIDTH), *parts) + (
-        f", done AS (SELECT 0 AS side, b, p AS f FROM users{BLOCKS} UNION ALL SELECT 1, b, q FROM items{BLOCKS})\n"
-        f"SELECT i.side, i.id, CAST(k - 1 AS INT) AS k, round(CAST(done.{value} AS DOUBLE), 6) AS value\n"
-        f"FROM indexed i JOIN done ON done.side = i.side AND done.b = i.blk, (SELECT unnest(range(1, {SGD_WIDTH + 1})) AS k)")
+    for epoch in range(1, epochs + 1):
+        last = BLOCKS * epoch
+        values = ", ".join(f"CAST(d.f[{SGD_WIDTH} * idx + {k}] AS DOUBLE)" for k in range(1, SGD_WIDTH + 1))
+        parts.append(f"state{epoch} AS (SELECT i.side, i.id, [{values}] AS f FROM indexed i JOIN (\n"
+                     f"  SELECT 0 AS side, b, p AS f FROM users{last} UNION ALL SELECT 1, b, q FROM items{last}) d\n"
+                     "  ON d.side = i.side AND d.b = i.blk)")
+    begin = _with(_initial("train", SGD_WIDTH), *parts)
+    if not trace:
+        return begin + _exploded(f"state{epochs}", SGD_WIDTH)
+    return begin + " UNION ALL ".join(
+        f"SELECT CAST({n} AS INT) AS iter, round({_rmse('train', name, SGD_WIDTH)}, 6) AS train_rmse, "
+        f"round({_rmse('test', name, SGD_WIDTH)}, 6) AS test_rmse"
+        for n, name in enumerate(["state", *(f"state{e}" for e in range(1, epochs + 1))]))
 
 
 def _parallel(placed: str, *before: str) -> str:
@@ -301,6 +312,7 @@ SELECT vec_id, CAST(k AS INT) AS k, CASE WHEN x = 0 THEN x ELSE round_even(x / q
         f"latest AS ({last.format('train')})", offsets.format(whole="train", records="latest"))
     sql["sgd_epoch"] = _sequential(False, False, SGD_RATE)
     sql["adagrad_epoch"] = _sequential(True, False, ADAPTIVE_RATE)
+    sql["train_trace"] = _sequential(True, False, ADAPTIVE_RATE, epochs=2, trace=True)
     sql["sgd_half_epoch"] = _sequential(False, True, SGD_RATE)
     sql["adagrad_half_epoch"] = _sequential(True, True, ADAPTIVE_RATE)
     return sql
