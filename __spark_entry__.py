@@ -20,8 +20,9 @@ import oracles  # noqa: E402
 from ratingloom import Engine, RunConfig, fit, fixtures, read_ratings, read_run_configs, read_targets  # noqa: E402
 from ratingloom.functions.half import array_to_half  # noqa: E402
 from ratingloom.operators import factors, gradients, metrics, ordering, profiles  # noqa: E402
-from ratingloom.plans import batch_gd, local_sgd, strata  # noqa: E402
-from ratingloom.session import shared_root, stage  # noqa: E402
+from ratingloom.plans import batch_gd, grid, local_sgd, strata  # noqa: E402
+from ratingloom.plans.parts import PartedRatings  # noqa: E402
+from ratingloom.session import shared_root, stage, task_slots  # noqa: E402
 from ratingloom.sources.factor_text import factor_lines  # noqa: E402
 from ratingloom.sources.ratings import check_ratings  # noqa: E402
 
@@ -158,6 +159,22 @@ def gd_epoch(spark, sf_dir):
     return _values(batch_gd.gd_epoch(train, _start(train), WIDTH, RATE, PENALTY))
 
 
+def _cells(records: DataFrame, size) -> PartedRatings:
+    blocks = grid.grid_size(size.num_records, size.num_users + size.num_items, WIDTH, task_slots(records.sparkSession))
+    return grid.grid_ratings(records, blocks)
+
+
+def gd_epoch_grid(spark, sf_dir):
+    train = fixtures.train(spark, sf_dir)
+    return _values(grid.grid_epoch(_cells(train, _dims(train)), _start(train), WIDTH, RATE, PENALTY))
+
+
+def test_rmse_grid(spark, sf_dir):
+    train, test = fixtures.train(spark, sf_dir), fixtures.test(spark, sf_dir)
+    error = grid.grid_square_error(_cells(test, _dims(test)), _start(train), WIDTH)
+    return error.select(F.round("rmse", 6).alias("test_rmse"))
+
+
 def minibatch_epoch(spark, sf_dir):
     train = fixtures.train(spark, sf_dir)
     size = -(-_dims(train).num_records // BATCHES)
@@ -268,7 +285,7 @@ def adagrad_half_epoch(spark, sf_dir):
 def local_sgd_epoch(spark, sf_dir):
     train = fixtures.train(spark, sf_dir)
     ordered = ordering.shuffled_positions(train, "rec_id", SEED)
-    ratings = local_sgd.LocalRatings.of(local_sgd.parts_by_record(ordered, RECORDS_PER_PART))
+    ratings = PartedRatings.of(local_sgd.parts_by_record(ordered, RECORDS_PER_PART))
     return _values(local_sgd.local_epoch(ratings, _start(train, oracles.SGD_WIDTH), oracles.SGD_WIDTH,
                                          SGD_RATE, PENALTY).df)
 
@@ -277,7 +294,7 @@ def row_sgd_epoch(spark, sf_dir):
     train = fixtures.train(spark, sf_dir)
     deduped = profiles.dedupe_last(train)
     offsets = ordering.user_offsets(deduped, _dims(train).num_users, SEED)
-    ratings = local_sgd.LocalRatings.of(local_sgd.parts_by_user(deduped, offsets, RECORDS_PER_PART))
+    ratings = PartedRatings.of(local_sgd.parts_by_user(deduped, offsets, RECORDS_PER_PART))
     return _values(local_sgd.local_epoch(ratings, _start(train, oracles.SGD_WIDTH), oracles.SGD_WIDTH,
                                          SGD_RATE, PENALTY).df)
 
@@ -300,7 +317,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [scan_coo_text, scan_coo_binary, scan_coo_binary_wide, rebase_ids, init_factors, predict, residuals,
               quantize_half, export_factors, square_error_sum, train_rmse, test_rmse, user_gradients, item_gradients,
-              gd_epoch, minibatch_epoch, gd_trace, epochs_to_target, dims, dedupe_last, user_profiles,
+              gd_epoch, gd_epoch_grid, test_rmse_grid, minibatch_epoch, gd_trace, epochs_to_target, dims, dedupe_last, user_profiles,
               user_profile_text, csr_offsets, shuffle_records, shuffle_users, batch_sizes, sgd_epoch, adagrad_epoch,
               minibatch_block_epoch, sgd_half_epoch, adagrad_half_epoch, local_sgd_epoch, row_sgd_epoch, train_trace]
     return {**{query.__name__: query for query in listed}, "check_ratings": check_ratings_query}

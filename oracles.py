@@ -262,6 +262,8 @@ SELECT vec_id, CAST(k AS INT) AS k, CASE WHEN x = 0 THEN x ELSE round_even(x / q
     for side, name in ((0, "user_gradients"), (1, "item_gradients")):
         sql[name] = _with(trained, *first) + _exploded("gradient", WIDTH, "g", "") + f" WHERE side = {side}"
     sql["gd_epoch"] = _with(trained, _descent(["train"], WIDTH, RATE)) + _exploded("state1", WIDTH)
+    sql["gd_epoch_grid"] = sql["gd_epoch"]
+    sql["test_rmse_grid"] = sql["test_rmse"]
     batches = [f"positioned AS (SELECT *, row_number() OVER (ORDER BY {_order('rec_id')}) - 1 AS pos FROM train)"]
     for n in range(BATCHES):
         batches.append(f"batch{n} AS (SELECT * FROM positioned WHERE pos // "

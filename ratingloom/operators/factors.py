@@ -58,12 +58,16 @@ class RatingSkew:
 
 def attach_factors(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None,
                    how: str = "inner", salt: str = "rec_id") -> DataFrame:
-    """Ratings with the ``p`` (user) and ``q`` (item) arrays of their factor rows."""
+    """Ratings with the ``p`` (user) and ``q`` (item) arrays of their factor rows.
+
+    Users come first: they are usually the larger side, and when Spark finds the item factors
+    small enough to broadcast, no factor array is shuffled at all.
+    """
     skew = skew or RatingSkew.of(ratings)
     users = side_of(state, USER).select(F.col("id").alias("user_id"), F.col("features").alias("p"))
     items = side_of(state, ITEM).select(F.col("id").alias("item_id"), F.col("features").alias("q"))
-    with_items = salted_join(ratings, items, "item_id", skew.items, F.col(salt), how)
-    return salted_join(with_items, users, "user_id", skew.users, F.col(salt), how)
+    with_users = salted_join(ratings, users, "user_id", skew.users, F.col(salt), how)
+    return salted_join(with_users, items, "item_id", skew.items, F.col(salt), how)
 
 
 def predict(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None,

@@ -9,6 +9,7 @@ from ratingloom.functions.number_text import general_format
 
 # Entries one profile row may hold. Users with more are split by item range.
 MAX_PROFILE_ENTRIES = 100_000
+MAX_LONG_PROFILES = 1_000_000
 
 
 def dimensions(ratings: DataFrame) -> DataFrame:
@@ -43,15 +44,19 @@ def dedupe_last(ratings: DataFrame, order: str = "rec_id") -> DataFrame:
 
 
 def _profile_parts(deduped: DataFrame, max_entries: int) -> DataFrame:
-    """Add ``part``: 0 for normal users, consecutive item ranges for very long profiles."""
-    spans = deduped.groupBy("user_id").agg(
-        F.count("*").alias("_n"), F.min("item_id").alias("_low"), F.max("item_id").alias("_high"))
-    # An item range can not hold more deduplicated entries than it has ids.
-    long_users = spans.where(F.col("_n") > max_entries).select("user_id", "_low")
+    """Add ``part``: 0 for normal users, ranges of item ids for very long profiles.
+
+    Deduplicated, a range of item ids can not hold more entries than it has ids.
+    """
+    limit = F.greatest(F.lit(max_entries).cast("long"),
+                       F.ceil(deduped.agg(F.count("*")).scalar() / F.lit(MAX_LONG_PROFILES)))
+    spans = deduped.groupBy("user_id").agg(F.count("*").alias("_n"), F.min("item_id").alias("_low"))
+    # At most MAX_LONG_PROFILES users can be above the limit, which bounds the broadcast; it
+    # keeps the entries of a long profile from meeting in one task.
+    long_users = F.broadcast(spans.where(F.col("_n") > limit).select("user_id", "_low"))
+    part = F.floor((F.col("item_id") - F.col("_low")) / max_entries)
     return (deduped.join(long_users, "user_id", "left")
-            .withColumn("part", F.coalesce(F.floor((F.col("item_id") - F.col("_low")) / max_entries),
-                                           F.lit(0)).cast("int"))
-            .drop("_low"))
+            .withColumn("part", F.coalesce(part, F.lit(0)).cast("int")).drop("_low"))
 
 
 def user_profiles(ratings: DataFrame, order: str = "rec_id",

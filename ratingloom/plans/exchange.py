@@ -8,6 +8,8 @@ import pyarrow as pa
 from ratingloom.plans import kernels
 
 USER, ITEM = 0, 1
+# Records scored at a time; bounds the temporary arrays of a part.
+SCORE_CHUNK = 1 << 16
 
 
 def matrix(table: pa.Table, column: str, width: int) -> np.ndarray:
@@ -88,6 +90,62 @@ class BlockUpdate:
         return pa.table(columns)
 
 
+class BlockScore:
+    """Scores the ratings of a part against its factor rows, without changing them.
+
+    ``gradients`` gives each touched row's gradient sum, ``errors`` one row with the squared
+    error sum and the record count of the part.
+    """
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def _scored(self, state: pa.Table, records: pa.Table):
+        sides = state.column("side").to_numpy()
+        keys = state.column("key").to_numpy()
+        features = matrix(state, "features", self.width).astype(np.float64, copy=False)
+        rows, places, found = {}, {}, np.ones(records.num_rows, dtype=bool)
+        for side, column in ((USER, "user_key"), (ITEM, "item_key")):
+            rows[side] = np.flatnonzero(sides == side)
+            rows[side] = rows[side][np.argsort(keys[rows[side]])]
+            known, wanted = keys[rows[side]], records.column(column).to_numpy()
+            places[side] = np.searchsorted(known, wanted)
+            if len(known):
+                found &= known[np.minimum(places[side], len(known) - 1)] == wanted
+            else:
+                found[:] = False
+        # Ratings of ids outside the model are left out.
+        users, items = rows[USER][places[USER][found]], rows[ITEM][places[ITEM][found]]
+        ratings = records.column("rating").to_numpy()[found].astype(np.float64)
+        return features, users, items, ratings
+
+    def gradients(self, state: pa.Table, records: pa.Table) -> pa.Table:
+        features, users, items, ratings = self._scored(state, records)
+        total = np.zeros_like(features)
+        for first in range(0, len(ratings), SCORE_CHUNK):
+            u, i = users[first:first + SCORE_CHUNK], items[first:first + SCORE_CHUNK]
+            p, q = features[u], features[i]
+            error = (np.einsum("nk,nk->n", p, q) - ratings[first:first + SCORE_CHUNK])[:, None]
+            for target, term in ((u, error * q), (i, error * p)):
+                order = np.argsort(target, kind="stable")
+                ids, starts = np.unique(target[order], return_index=True)
+                total[ids] += np.add.reduceat(term[order], starts, axis=0)
+        touched = np.unique(np.concatenate([users, items]))
+        return pa.table({"side": state.column("side").take(touched), "key": state.column("key").take(touched),
+                         "gradient": list_column(total[touched])})
+
+    def errors(self, state: pa.Table, records: pa.Table) -> pa.Table:
+        features, users, items, ratings = self._scored(state, records)
+        squares = 0.0
+        for first in range(0, len(ratings), SCORE_CHUNK):
+            p = features[users[first:first + SCORE_CHUNK]]
+            q = features[items[first:first + SCORE_CHUNK]]
+            error = np.einsum("nk,nk->n", p, q) - ratings[first:first + SCORE_CHUNK]
+            squares += float(error @ error)
+        return pa.table({"square_error_sum": pa.array([squares]),
+                         "num_records": pa.array([len(ratings)], pa.int64())})
+
+
 def add_waves(records: pa.Table) -> pa.Table:
     """Add the wave number of each record of a block, for the serial order by ``pos``."""
     order = np.argsort(records.column("pos").to_numpy(), kind="stable")

@@ -7,27 +7,32 @@ are cut by position, so their size is bounded whatever the distribution of ids.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.arrays import array_type
-from ratingloom.operators.factors import ITEM, USER
 from ratingloom.operators.skew import hot_keys, salted_join
 from ratingloom.plans import exchange
+from ratingloom.plans.parts import PartedRatings
 from ratingloom.plans.strata import average_copies
 from ratingloom.session import StagedTable, stage
 
-RECORDS_PER_PART = 1_000_000
+MAX_RECORDS_PER_PART = 1_000_000
+# Every record may bring two factor rows of its own into the part.
+MAX_PART_BYTES = 512 << 20
 
 
-def parts_by_record(ratings: DataFrame, records_per_part: int = RECORDS_PER_PART) -> DataFrame:
+def part_records(width: int) -> int:
+    """Records per part such that its factor rows fit in a task, whatever ids it holds."""
+    return max(1, min(MAX_RECORDS_PER_PART, MAX_PART_BYTES // (2 * 8 * width)))
+
+
+def parts_by_record(ratings: DataFrame, records_per_part: int) -> DataFrame:
     """Consecutive records of the shuffled order share a part."""
     return ratings.withColumn("part", F.floor(F.col("pos") / records_per_part))
 
 
-def parts_by_user(deduped: DataFrame, offsets: DataFrame,
-                  records_per_part: int = RECORDS_PER_PART) -> DataFrame:
+def parts_by_user(deduped: DataFrame, offsets: DataFrame, records_per_part: int) -> DataFrame:
     """Users in shuffled order share a part; a user's records stay together, in item order.
 
     Only a user with more records than a part holds is spread over several parts; its
@@ -44,45 +49,7 @@ def parts_by_user(deduped: DataFrame, offsets: DataFrame,
         (F.floor(F.col("base") / records_per_part) + piece).alias("part"))
 
 
-def _node(side: Column, key: Column) -> Column:
-    """One id space for both sides."""
-    return (key.cast("long") * 2 + side).alias("node")
-
-
-class LocalRatings:
-    """Ratings laid out by part, with the factor rows that each part touches."""
-
-    def __init__(self, records: StagedTable, touched: StagedTable, hot: DataFrame, cache: bool):
-        self.table = records
-        self.touched = touched
-        self.hot = hot
-        self.cache = cache
-        self.records = records.df.persist(StorageLevel.MEMORY_AND_DISK) if cache else records.df
-
-    @classmethod
-    def of(cls, parts: DataFrame, precision: str = "double", cache: bool = False) -> LocalRatings:
-        """``parts`` has ``part, user_id, item_id, rating`` and the order ``pos``."""
-        kind = "double" if precision == "double" else "float"
-        keyed = parts.select("part", F.col("user_id").cast("long").alias("user_key"),
-                             F.col("item_id").cast("long").alias("item_key"),
-                             F.col("rating").cast(kind).alias("rating"), F.col("pos").cast("long").alias("pos"))
-        waves = keyed.groupBy("part").applyInArrow(
-            exchange.add_waves,
-            f"part long, user_key long, item_key long, rating {kind}, pos long, wave int")
-        records = stage(waves, "local-ratings")
-        sides = [records.df.groupBy("part", F.lit(side).alias("side"), F.col(column).alias("key"))
-                 .agg(F.count("*").alias("n")) for side, column in ((USER, "user_key"), (ITEM, "item_key"))]
-        counted = sides[0].unionByName(sides[1])
-        touched = stage(counted.select("*", _node(F.col("side"), F.col("key"))), "touched-rows")
-        hot = stage(hot_keys(touched.df, "node"), "hot-rows").df
-        return cls(records, touched, hot, cache)
-
-    def release(self) -> None:
-        if self.cache:
-            self.records.unpersist()
-
-
-def local_epoch(ratings: LocalRatings, state: DataFrame, width: int, learning_rate: float, regularization: float,
+def local_epoch(ratings: PartedRatings, state: DataFrame, width: int, learning_rate: float, regularization: float,
                 precision: str = "double") -> StagedTable:
     """One pass of every part over its own records, then the weighted mean of the copies."""
     update = exchange.BlockUpdate("sgd", width, float(learning_rate), float(regularization), precision)
@@ -90,11 +57,8 @@ def local_epoch(ratings: LocalRatings, state: DataFrame, width: int, learning_ra
     def step(key, factor_rows, records):
         return update(factor_rows, records).drop_columns("part")
 
-    rows = state.select(_node(F.col("side"), F.col("id")), "features")
-    copies = salted_join(ratings.touched.df, rows, "node", ratings.hot, F.col("part"))
-    placed = copies.select("part", "side", "key", "n", "features")
-    trained = (placed.groupBy("part").cogroup(ratings.records.groupBy("part"))
-               .applyInArrow(step, f"side int, key long, n long, features {array_type(precision)}"))
+    trained = ratings.meet(state).applyInArrow(
+        step, f"side int, key long, n long, features {array_type(precision)}")
     named = trained.select("side", F.col("key").cast("int").alias("id"), "n", "features")
     averaged = average_copies(named, ["side", "id"], ["features"], width, precision)
     moved = averaged.withColumnRenamed("features", "_moved")

@@ -7,15 +7,15 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ratingloom.config import RunConfig
 from ratingloom.model import FactorModel
 from ratingloom.operators import factors, ordering, profiles
 from ratingloom.operators.factors import RatingSkew
 from ratingloom.operators.metrics import square_error
-from ratingloom.plans import batch_gd, local_sgd, strata
-from ratingloom.session import StagedTable, stage
+from ratingloom.plans import batch_gd, grid, local_sgd, strata
+from ratingloom.plans.parts import PartedRatings
+from ratingloom.session import StagedTable, stage, task_slots
 
 METRICS_SCHEMA = "iter int, train_rmse double, test_rmse double, epoch_seconds double"
 
@@ -30,24 +30,59 @@ class Engine:
     init: str = "hash"
     # Blocks per side for stratified descent; None picks by data size and task slots.
     blocks: int | None = None
-    records_per_part: int = local_sgd.RECORDS_PER_PART
+    # Records per part of parallel descent; None picks what fits a task at the run's width.
+    records_per_part: int | None = None
     # Keep the laid-out ratings cached on the executors between epochs.
     cache: bool = True
 
 
+class _Scorer:
+    """Errors (and batch gradients) of one rating set, by the plan that moves less data.
+
+    A join moves one factor array per rating, a grid of B x B cells at most B per factor row.
+    """
+
+    def __init__(self, ratings: DataFrame, num_records: int, num_rows: int, width: int, skew: RatingSkew,
+                 engine: Engine, precision: str):
+        blocks = grid.grid_size(num_records, num_rows, width, task_slots(ratings.sparkSession))
+        self._width = width
+        self._skew = skew
+        self._ratings = ratings
+        self.cells = None
+        if num_records > 2 * blocks * num_rows:
+            self.cells = grid.grid_ratings(ratings, blocks, precision, engine.cache)
+
+    def rmse(self, state: DataFrame) -> float | None:
+        if self.cells:
+            return grid.grid_square_error(self.cells, state, self._width).first().rmse
+        return square_error(self._ratings, state, self._skew).first().rmse
+
+    def descend(self, state: DataFrame, config: RunConfig) -> DataFrame:
+        common = (config.num_features, config.learning_rate, config.regularization_factor, config.storage)
+        if self.cells:
+            return grid.grid_epoch(self.cells, state, *common)
+        return batch_gd.gd_epoch(self._ratings, state, *common, self._skew)
+
+    def release(self) -> None:
+        if self.cells:
+            self.cells.release()
+            self.cells.drop()
+
+
 class _Epochs:
     """The prepared ratings of one run and the step from one state to the next."""
 
     def __init__(self, config: RunConfig, engine: Engine, ratings: DataFrame, num_users: int, num_items: int,
-                 num_records: int, skew: RatingSkew):
+                 num_records: int, skew: RatingSkew, scorer: _Scorer):
         self.config = config
         self.skew = skew
+        self.scorer = scorer
         self.plan = config.method
+        self._ratings = ratings
         self._owned: list = []
-        width = config.num_features
         if self.plan == "gd":
-            self._ratings = ratings
             return
+        width = config.num_features
         positioned = ordering.shuffled_positions(ratings, "rec_id", engine.seed, method=engine.shuffle)
         if self.plan == "minibatch":
             self._batches = math.ceil(num_records / config.batch_size)
@@ -59,14 +94,18 @@ class _Epochs:
                 return
             self.plan = "blockwise_minibatch"
         if self.plan in ("local_sgd", "row_sgd"):
+            size = engine.records_per_part or local_sgd.part_records(width)
             if self.plan == "local_sgd":
-                parts = local_sgd.parts_by_record(positioned, engine.records_per_part)
+                parts = local_sgd.parts_by_record(positioned, size)
             else:
-                deduped = profiles.dedupe_last(positioned, "pos")
-                offsets = ordering.user_offsets(deduped, num_users, engine.seed, engine.shuffle)
-                parts = local_sgd.parts_by_user(deduped, offsets, engine.records_per_part)
-            self._ratings = local_sgd.LocalRatings.of(parts, config.storage, engine.cache)
-            self._owned += [self._ratings.table, self._ratings.touched]
+                ordered = stage(positioned, "ordered-ratings")
+                deduped = stage(profiles.dedupe_last(ordered.df, "pos"), "latest-ratings")
+                ordered.drop()
+                offsets = ordering.user_offsets(deduped.df, num_users, engine.seed, engine.shuffle)
+                parts = local_sgd.parts_by_user(deduped.df, offsets, size)
+                self._owned.append(deduped)
+            self._ratings = PartedRatings.of(parts, config.storage, cache=engine.cache)
+            self._owned.append(self._ratings)
             return
         blocks = engine.blocks or strata.blocks_for(ratings, num_records, num_users + num_items, width)
         self._ratings = strata.BlockedRatings.of(positioned, blocks, config.storage, engine.cache)
@@ -76,7 +115,7 @@ class _Epochs:
         c = self.config
         common = (c.num_features, c.learning_rate, c.regularization_factor, c.storage)
         if self.plan == "gd":
-            return stage(batch_gd.gd_epoch(self._ratings, state, *common, self.skew), "factors")
+            return stage(self.scorer.descend(state, c), "factors")
         if self.plan == "minibatch":
             return batch_gd.minibatch_epoch(self._ratings, self._batches, state, *common, self.skew)
         if self.plan in ("local_sgd", "row_sgd"):
@@ -105,20 +144,22 @@ def fit(train: DataFrame, test: DataFrame | None = None, config: RunConfig = Run
     if size.num_users > users or size.num_items > items:
         raise ValueError(f"ids reach {size.num_users} x {size.num_items}, beyond {users} x {items}")
 
-    hot_users = stage(RatingSkew.of(train).users.coalesce(1), "hot-users").df
-    hot_items = stage(RatingSkew.of(train).items.coalesce(1), "hot-items").df
-    skew = RatingSkew(hot_users, hot_items)
-    epochs = _Epochs(config, engine, train, users, items, size.num_records, skew)
+    skew = RatingSkew(stage(RatingSkew.of(train).users.coalesce(1), "hot-users").df,
+                      stage(RatingSkew.of(train).items.coalesce(1), "hot-items").df)
+    shape = (users + items, config.num_features, skew, engine, config.storage)
+    scorers = {}
+    if config.show_train_rmse or config.method == "gd":
+        scorers["train"] = _Scorer(train, size.num_records, *shape)
+    if config.show_test_rmse and test is not None:
+        scorers["test"] = _Scorer(test, test.count(), *shape)
+    epochs = _Epochs(config, engine, train, users, items, size.num_records, skew, scorers.get("train"))
     state = stage(factors.init_state(spark, users, items, config.num_features, engine.init, config.storage,
                                      accumulators=config.method == "adagrad"), "factors")
     rows = []
 
     def report(number: int, seconds: float | None) -> None:
-        errors = {}
-        if config.show_train_rmse:
-            errors["train"] = square_error(train, state.df, skew).first().rmse
-        if config.show_test_rmse and test is not None:
-            errors["test"] = square_error(test, state.df, skew).first().rmse
+        errors = {name: scorer.rmse(state.df) for name, scorer in scorers.items()
+                  if name == "test" or config.show_train_rmse}
         if errors or seconds is not None:
             rows.append((number, errors.get("train"), errors.get("test"), seconds))
 
@@ -132,5 +173,6 @@ def fit(train: DataFrame, test: DataFrame | None = None, config: RunConfig = Run
             state = following
             report(number, seconds)
     finally:
-        epochs.release()
+        for used in (epochs, *scorers.values()):
+            used.release()
     return FactorModel(state.df, config, spark.createDataFrame(rows, METRICS_SCHEMA), epochs.plan)
