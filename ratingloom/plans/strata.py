@@ -16,7 +16,7 @@ import math
 
 from pyspark import StorageLevel
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.arrays import array_type, scaled, sum_arrays
@@ -32,7 +32,8 @@ for _module in (exchange, kernels):
     cloudpickle.register_pickle_by_value(_module)
 
 # A copy's key is ``id * COPY_SPAN + copy``.
-COPY_SPAN = 1 << 20
+COPY_BITS = 20
+COPY_SPAN = 1 << COPY_BITS
 MAX_BLOCK_RECORDS = 2_000_000
 MIN_BLOCK_RECORDS = 50_000
 MAX_BLOCK_BYTES = 256 << 20
@@ -111,7 +112,7 @@ class BlockedRatings:
         parts = []
         for side, key, column, copies in ((USER, "user_key", "user_id", user_copies),
                                           (ITEM, "item_key", "item_id", item_copies)):
-            hot = table.withColumn(column, F.floor(F.col(key) / COPY_SPAN).cast("int")).join(
+            hot = table.withColumn(column, _id_of(key)).join(
                 F.broadcast(copies), column, "left_semi")
             parts.append(hot.groupBy(F.lit(side).alias("side"), F.col(key).alias("key"))
                          .agg(F.count("*").alias("n")))
@@ -136,12 +137,9 @@ class BlockedRatings:
         lists = [c for c in state.columns if c not in ("side", "id")]
         copy = F.lit(0).cast("long")
         if self.split:
-            copies = F.broadcast(
-                self.copies[USER].select(F.lit(USER).alias("side"), F.col("user_id").alias("id"), "copies")
-                .unionByName(self.copies[ITEM].select(F.lit(ITEM).alias("side"), F.col("item_id").alias("id"),
-                                                      "copies")))
-            state = state.join(copies, ["side", "id"], "left").withColumn(
-                "_copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).cast("long"))
+            last = F.coalesce("copies", F.lit(1)).cast("long") - 1
+            state = state.join(F.broadcast(self._split_rows()), ["side", "id"], "left").withColumn(
+                "_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
             copy = F.col("_copy")
         return state.select("side", (F.col("id").cast("long") * COPY_SPAN + copy).alias("key"),
                             block_of(F.col("id"), copy, self.blocks).alias("home"), *lists)
@@ -149,16 +147,24 @@ class BlockedRatings:
     def collapse(self, expanded: DataFrame, width: int, precision: str) -> DataFrame:
         """Back to one row per id; copies are averaged, weighted by their record counts."""
         lists = [c for c in expanded.columns if c not in ("side", "key", "home")]
-        identity = F.floor(F.col("key") / COPY_SPAN).cast("int").alias("id")
+        rows = expanded.withColumn("id", _id_of("key"))
         if not self.split:
-            return expanded.select("side", identity, *lists)
-        weighted = expanded.join(F.broadcast(self.weights), ["side", "key"], "left")
-        whole = weighted.where(F.col("n").isNull()).where(
-            F.col("key") % COPY_SPAN == 0).select("side", identity, *lists)
-        copies = weighted.where(F.col("n").isNotNull()).select("side", identity, "n", *lists)
-        # A split row whose copy 0 got no record has no weight there; its other copies decide.
-        averaged = average_copies(copies, ["side", "id"], lists, width, precision)
-        return whole.join(averaged.select("side", "id"), ["side", "id"], "left_anti").unionByName(averaged)
+            return rows.select("side", "id", *lists)
+        marked = rows.join(F.broadcast(self._split_rows()), ["side", "id"], "left")
+        whole = marked.where(F.col("copies").isNull()).select("side", "id", *lists)
+        # Copies without a record have no weight and drop out.
+        copies = marked.where(F.col("copies").isNotNull()).join(F.broadcast(self.weights), ["side", "key"])
+        return whole.unionByName(average_copies(copies, ["side", "id"], lists, width, precision))
+
+    def _split_rows(self) -> DataFrame:
+        """``(side, id, copies)`` of the split rows, at most 2P a side."""
+        return (self.copies[USER].select(F.lit(USER).alias("side"), F.col("user_id").alias("id"), "copies")
+                .unionByName(self.copies[ITEM].select(F.lit(ITEM).alias("side"), F.col("item_id").alias("id"),
+                                                      "copies")))
+
+
+def _id_of(key: str) -> Column:
+    return F.shiftright(F.col(key), COPY_BITS).cast("int")
 
 
 def average_copies(copies: DataFrame, keys: list[str], lists: list[str], width: int,
