@@ -141,6 +141,22 @@ def _fold(adaptive: bool, half: bool, rate: float) -> str:
     return f"lambda s, x: list_transform({chain}, lambda t: {{'u': x.u, 'v': x.v, 'r': x.r, {written}}})[1]"
 
 
+def _fold_batches(rate: float) -> str:
+    """Lambda of a fold over batches ``{l, p, q}``: each row of the batch moves once by its summed gradient."""
+    error = " + ".join(f"s.p[{SGD_WIDTH} * t.u + {k}] * s.q[{SGD_WIDTH} * t.v + {k}]" for k in range(1, SGD_WIDTH + 1))
+    scored = f"list_transform(x.l, lambda t: {{'u': t.u, 'v': t.v, 'e': {error} - t.r}})"
+
+    def moved(own: str, own_id: str, other: str, other_id: str) -> str:
+        mine = f"list_filter(w.l, lambda t: t.{own_id} = (j - 1) // {SGD_WIDTH})"
+        slope = (f"list_sum(list_transform({mine}, lambda t: "
+                 f"t.e * w.{other}[{SGD_WIDTH} * t.{other_id} + (j - 1) % {SGD_WIDTH} + 1]))")
+        return (f"list_transform(w.{own}, lambda y, j: coalesce(y - {_double(rate)} * ({slope} "
+                f"+ {_double(PENALTY)} * y), y))")
+
+    return (f"lambda s, x: list_transform([{{'l': {scored}, 'p': s.p, 'q': s.q}}], lambda w: "
+            f"{{'l': x.l, 'p': {moved('p', 'u', 'q', 'v')}, 'q': {moved('q', 'v', 'p', 'u')}}})[1]")
+
+
 def _element(u: str, v: str, r: str, adaptive: bool, kind: str, state: dict[str, str] | None = None) -> str:
     lists = "pqac" if adaptive else "pq"
     values = {n: (state or {}).get(n, f"CAST(NULL AS {kind}[])") for n in lists}
@@ -148,10 +164,12 @@ def _element(u: str, v: str, r: str, adaptive: bool, kind: str, state: dict[str,
     return f"{{'u': CAST({u} AS BIGINT), 'v': CAST({v} AS BIGINT), 'r': CAST({r} AS {kind}), {parts}}}"
 
 
-def _sequential(adaptive: bool, half: bool, rate: float, epochs: int = 1, trace: bool = False) -> str:
+def _sequential(adaptive: bool, half: bool, rate: float, epochs: int = 1, trace: bool = False,
+                batch: int | None = None) -> str:
     """Serial descent in (stratum, block, position) order: per stratum, one fold for each block.
 
-    Gives the factors after the last epoch, or with ``trace`` the errors after each.
+    Gives the factors after the last epoch, or with ``trace`` the errors after each. With ``batch``
+    the folds run over batches of that many consecutive records of a block.
     """
     kind = "FLOAT" if half else "DOUBLE"
     rounded = _half("CAST(x AS FLOAT)") if half else "x"
@@ -168,13 +186,23 @@ def _sequential(adaptive: bool, half: bool, rate: float, epochs: int = 1, trace:
         f"  flatten(list(list_transform(f, lambda x: CAST(0 AS {kind})) ORDER BY idx)) AS z FROM indexed GROUP BY side, blk)",
         "users0 AS (SELECT b, f AS p, z AS a FROM start WHERE side = 0)",
         "items0 AS (SELECT b, f AS q, z AS c FROM start WHERE side = 1)"]
+    fold, first = _fold(adaptive, half, rate), _element("0", "0", "0", adaptive, kind, dict(zip("pqac", "pqac")))
+    if batch:
+        record = "STRUCT(u BIGINT, v BIGINT, r DOUBLE)[]"
+        whole = "{{'l': {}, 'p': {}, 'q': {}}}".format
+        fold, first = _fold_batches(rate), whole(f"CAST([] AS {record})", "p", "q")
+        empty = "CAST(NULL AS DOUBLE[])"
+        parts[2] = (
+            f"recs AS (SELECT stratum, b, list({whole('r', empty, empty)} ORDER BY n) AS l FROM (\n"
+            f"    SELECT stratum, b, n, CAST(list({{'u': u, 'v': v, 'r': r}} ORDER BY pos) AS {record}) AS r FROM (\n"
+            f"      SELECT *, (row_number() OVER (PARTITION BY stratum, b ORDER BY pos) - 1) // {batch} AS n FROM placed)\n"
+            "    GROUP BY stratum, b, n) GROUP BY stratum, b)")
     more_user, more_item = (", z.a", ", z.c") if adaptive else ("", "")
-    state = {"p": "p", "q": "q", "a": "a", "c": "c"}
     for n in range(BLOCKS * epochs):
         parts += [
             f"fold{n} AS MATERIALIZED (SELECT users{n}.b AS ub, items{n}.b AS ib,\n"
-            f"    list_reduce(coalesce(l, []), {_fold(adaptive, half, rate)},\n"
-            f"      {_element('0', '0', '0', adaptive, kind, state)}) AS z\n"
+            f"    list_reduce(coalesce(l, []), {fold},\n"
+            f"      {first}) AS z\n"
             f"  FROM users{n} JOIN items{n} ON items{n}.b = (users{n}.b + {n % BLOCKS}) % {BLOCKS}\n"
             f"  LEFT JOIN recs ON recs.stratum = {n % BLOCKS} AND recs.b = users{n}.b)",
             f"users{n + 1} AS (SELECT ub AS b, z.p AS p{more_user} FROM fold{n})",
@@ -314,6 +342,7 @@ SELECT vec_id, CAST(k AS INT) AS k, CASE WHEN x = 0 THEN x ELSE round_even(x / q
         f"latest AS ({last.format('train')})", offsets.format(whole="train", records="latest"))
     sql["sgd_epoch"] = _sequential(False, False, SGD_RATE)
     sql["adagrad_epoch"] = _sequential(True, False, ADAPTIVE_RATE)
+    sql["minibatch_block_epoch"] = _sequential(False, False, SGD_RATE, batch=16)
     sql["train_trace"] = _sequential(True, False, ADAPTIVE_RATE, epochs=2, trace=True)
     sql["sgd_half_epoch"] = _sequential(False, True, SGD_RATE)
     sql["adagrad_half_epoch"] = _sequential(True, True, ADAPTIVE_RATE)
