@@ -169,6 +169,12 @@ def gd_epoch_grid(spark, sf_dir):
     return _values(grid.grid_epoch(_cells(train, _dims(train)), _start(train), WIDTH, RATE, PENALTY))
 
 
+def predict_grid(spark, sf_dir):
+    records = fixtures.ratings(spark, sf_dir)
+    scored = grid.grid_predict(_cells(records, _dims(records)), _start(records), WIDTH)
+    return scored.select("rec_id", F.round("prediction", 6).alias("prediction"))
+
+
 def test_rmse_grid(spark, sf_dir):
     train, test = fixtures.train(spark, sf_dir), fixtures.test(spark, sf_dir)
     error = grid.grid_square_error(_cells(test, _dims(test)), _start(train), WIDTH)
@@ -317,7 +323,8 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [scan_coo_text, scan_coo_binary, scan_coo_binary_wide, rebase_ids, init_factors, predict, residuals,
               quantize_half, export_factors, square_error_sum, train_rmse, test_rmse, user_gradients, item_gradients,
-              gd_epoch, gd_epoch_grid, test_rmse_grid, minibatch_epoch, gd_trace, epochs_to_target, dims, dedupe_last, user_profiles,
+              gd_epoch, gd_epoch_grid, predict_grid,
+              test_rmse_grid, minibatch_epoch, gd_trace, epochs_to_target, dims, dedupe_last, user_profiles,
               user_profile_text, csr_offsets, shuffle_records, shuffle_users, batch_sizes, sgd_epoch, adagrad_epoch,
               minibatch_block_epoch, sgd_half_epoch, adagrad_half_epoch, local_sgd_epoch, row_sgd_epoch, train_trace]
     return {**{query.__name__: query for query in listed}, "check_ratings": check_ratings_query}

@@ -5,7 +5,7 @@ from __future__ import annotations
 # Parameters shared by the queries and their SQL.
 WIDTH = 4
 SGD_WIDTH = 2
-RATE = 0.002
+RATE = 0.02
 SGD_RATE = 0.01
 ADAPTIVE_RATE = 0.1
 PENALTY = 0.05
@@ -14,8 +14,8 @@ BLOCKS = 8
 RECORDS_PER_PART = 2000
 BATCHES = 3
 BATCH_SIZE = 1000
-RUN_RATES = {"slow": 0.001, "fast": 0.004}
-RUN_TARGETS = {"slow": 2.0, "fast": 3.2}
+RUN_RATES = {"slow": 0.01, "fast": 0.03}
+RUN_TARGETS = {"slow": 3.25, "fast": 3.25}
 
 RATINGS = """ratings AS (
   SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1
@@ -291,6 +291,7 @@ SELECT vec_id, CAST(k AS INT) AS k, CASE WHEN x = 0 THEN x ELSE round_even(x / q
         sql[name] = _with(trained, *first) + _exploded("gradient", WIDTH, "g", "") + f" WHERE side = {side}"
     sql["gd_epoch"] = _with(trained, _descent(["train"], WIDTH, RATE)) + _exploded("state1", WIDTH)
     sql["gd_epoch_grid"] = sql["gd_epoch"]
+    sql["predict_grid"] = sql["predict"]
     sql["test_rmse_grid"] = sql["test_rmse"]
     batches = [f"positioned AS (SELECT *, row_number() OVER (ORDER BY {_order('rec_id')}) - 1 AS pos FROM train)"]
     for n in range(BATCHES):

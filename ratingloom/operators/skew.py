@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # An id is hot when it holds more than 1/MAX_HOT_KEYS of all rows, so there can be
-# at most MAX_HOT_KEYS of them: that is what makes the hot table safe to broadcast.
-MAX_HOT_KEYS = 10_000
+# at most MAX_HOT_KEYS of them: at 12 bytes a row, that makes the hot table safe to broadcast.
+MAX_HOT_KEYS = 1_000_000
 # Below this many rows a key never needs splitting, however small the table is.
 MIN_HOT_ROWS = 250_000
 

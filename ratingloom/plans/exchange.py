@@ -94,7 +94,8 @@ class BlockScore:
     """Scores the ratings of a part against its factor rows, without changing them.
 
     ``gradients`` gives each touched row's gradient sum, ``errors`` one row with the squared
-    error sum and the record count of the part.
+    error sum and the record count of the part, ``predictions`` the score of every record.
+    Records of ids outside the model are left out of all three.
     """
 
     def __init__(self, width: int):
@@ -103,7 +104,7 @@ class BlockScore:
     def _scored(self, state: pa.Table, records: pa.Table):
         sides = state.column("side").to_numpy()
         keys = state.column("key").to_numpy()
-        features = matrix(state, "features", self.width).astype(np.float64, copy=False)
+        features = matrix(state, "features", self.width)
         rows, places, found = {}, {}, np.ones(records.num_rows, dtype=bool)
         for side, column in ((USER, "user_key"), (ITEM, "item_key")):
             rows[side] = np.flatnonzero(sides == side)
@@ -114,18 +115,17 @@ class BlockScore:
                 found &= known[np.minimum(places[side], len(known) - 1)] == wanted
             else:
                 found[:] = False
-        # Ratings of ids outside the model are left out.
         users, items = rows[USER][places[USER][found]], rows[ITEM][places[ITEM][found]]
-        ratings = records.column("rating").to_numpy()[found].astype(np.float64)
-        return features, users, items, ratings
+        return features, users, items, found
 
     def gradients(self, state: pa.Table, records: pa.Table) -> pa.Table:
-        features, users, items, ratings = self._scored(state, records)
-        total = np.zeros_like(features)
+        features, users, items, found = self._scored(state, records)
+        ratings = records.column("rating").to_numpy()[found]
+        total = np.zeros(features.shape)
         for first in range(0, len(ratings), SCORE_CHUNK):
             u, i = users[first:first + SCORE_CHUNK], items[first:first + SCORE_CHUNK]
             p, q = features[u], features[i]
-            error = (np.einsum("nk,nk->n", p, q) - ratings[first:first + SCORE_CHUNK])[:, None]
+            error = (_dots(p, q) - ratings[first:first + SCORE_CHUNK])[:, None]
             for target, term in ((u, error * q), (i, error * p)):
                 order = np.argsort(target, kind="stable")
                 ids, starts = np.unique(target[order], return_index=True)
@@ -134,16 +134,23 @@ class BlockScore:
         return pa.table({"side": state.column("side").take(touched), "key": state.column("key").take(touched),
                          "gradient": list_column(total[touched])})
 
+    def predictions(self, state: pa.Table, records: pa.Table) -> pa.Table:
+        features, users, items, found = self._scored(state, records)
+        scores = [_dots(features[users[first:first + SCORE_CHUNK]], features[items[first:first + SCORE_CHUNK]])
+                  for first in range(0, len(users), SCORE_CHUNK)]
+        kept = records.filter(pa.array(found)).select(["rec_id", "user_key", "item_key", "rating"])
+        return kept.append_column("prediction", pa.array(np.concatenate(scores or [np.zeros(0)])))
+
     def errors(self, state: pa.Table, records: pa.Table) -> pa.Table:
-        features, users, items, ratings = self._scored(state, records)
-        squares = 0.0
-        for first in range(0, len(ratings), SCORE_CHUNK):
-            p = features[users[first:first + SCORE_CHUNK]]
-            q = features[items[first:first + SCORE_CHUNK]]
-            error = np.einsum("nk,nk->n", p, q) - ratings[first:first + SCORE_CHUNK]
-            squares += float(error @ error)
-        return pa.table({"square_error_sum": pa.array([squares]),
-                         "num_records": pa.array([len(ratings)], pa.int64())})
+        scored = self.predictions(state, records)
+        error = scored.column("prediction").to_numpy() - scored.column("rating").to_numpy()
+        return pa.table({"square_error_sum": pa.array([float(error @ error)]),
+                         "num_records": pa.array([len(error)], pa.int64())})
+
+
+def _dots(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Row-wise inner products: products in the storage type, sums in double."""
+    return np.sum(p * q, axis=1, dtype=np.float64)
 
 
 def add_waves(records: pa.Table) -> pa.Table:

@@ -23,6 +23,7 @@ from ratingloom.plans.parts import PartedRatings
 CELL_RECORDS = 1_000_000
 MAX_CELL_BYTES = 256 << 20
 MIN_SPLIT_RECORDS = 10_000
+MIN_JOIN_BYTES = 64 << 20
 
 
 def grid_size(num_records: int, num_rows: int, width: int, slots: int) -> int:
@@ -41,13 +42,36 @@ def parts_by_cell(ratings: DataFrame, blocks: int) -> DataFrame:
         copy = F.coalesce(F.pmod(F.xxhash64("rec_id", F.lit(key)), F.col("copies")), F.lit(0))
         placed = placed.join(hot, key, "left").withColumn(block, block_of(F.col(key), copy, blocks)).drop("copies")
     part = F.col("_ub").cast("long") * blocks + F.col("_ib")
-    return placed.select("user_id", "item_id", "rating", part.alias("part"))
+    return placed.select("rec_id", "user_id", "item_id", "rating", part.alias("part"))
 
 
 def grid_ratings(ratings: DataFrame, blocks: int, precision: str = "double", cache: bool = False) -> PartedRatings:
     return PartedRatings.of(parts_by_cell(ratings, blocks), precision, ordered=False, cache=cache)
 
 
+def pays_off(num_records: int, num_rows: int, width: int, blocks: int) -> bool:
+    """Whether a grid moves clearly less than joins: ``blocks`` arrays per factor row against one per rating.
+
+    Below MIN_JOIN_BYTES of joined factors the layout of the grid costs more than it saves.
+    """
+    return num_records * width * 8 > MIN_JOIN_BYTES and num_records > 2 * blocks * num_rows
+
+
+def grid_predict(ratings: PartedRatings, state: DataFrame, width: int) -> DataFrame:
+    """``(rec_id, user_id, item_id, rating, prediction, residual)`` of the records the model covers."""
+    score = exchange.BlockScore(width)
+    kind = ratings.records.schema["rating"].dataType.simpleString()
+
+    def cell(key, factor_rows, records):
+        return score.predictions(factor_rows, records)
+
+    scored = ratings.meet(state).applyInArrow(
+        cell, f"rec_id long, user_key long, item_key long, rating {kind}, prediction double")
+    return scored.select("rec_id", F.col("user_key").cast("int").alias("user_id"),
+                         F.col("item_key").cast("int").alias("item_id"), "rating", "prediction",
+                         (F.col("prediction") - F.col("rating")).alias("residual"))
+
+
 def grid_gradients(ratings: PartedRatings, state: DataFrame, width: int) -> DataFrame:
     """``(side, id, gradient)``: sum of ``error * other side's features`` per touched row."""
     score = exchange.BlockScore(width)

@@ -15,6 +15,9 @@ from ratingloom.operators.skew import hot_keys, salted_join
 from ratingloom.plans import exchange
 from ratingloom.session import StagedTable, stage
 
+# Up to this many parts get a task each.
+MAX_PART_TASKS = 20_000
+
 
 def _node(side: Column, key: Column) -> Column:
     """One id space for both sides."""
@@ -24,39 +27,48 @@ def _node(side: Column, key: Column) -> Column:
 class PartedRatings:
     """Ratings laid out by part, with the factor rows that each part touches."""
 
-    def __init__(self, records: StagedTable, touched: StagedTable, hot: DataFrame, cache: bool):
+    def __init__(self, records: StagedTable, touched: StagedTable, hot: DataFrame, num_parts: int, cache: bool):
         self.table = records
         self.touched = touched
         self.hot = hot
+        self.num_parts = num_parts
         self.cache = cache
-        self.records = records.df.persist(StorageLevel.MEMORY_AND_DISK) if cache else records.df
+        placed = self._place(records.df)
+        self.records = placed.persist(StorageLevel.MEMORY_AND_DISK) if cache else placed
 
     @classmethod
     def of(cls, parts: DataFrame, precision: str = "double", ordered: bool = True,
            cache: bool = False) -> PartedRatings:
-        """``parts`` has ``part, user_id, item_id, rating`` and, if ``ordered``, the order ``pos``."""
+        """``parts`` has ``part, user_id, item_id, rating`` and the order ``pos`` (if ``ordered``) or ``rec_id``."""
         kind = "double" if precision == "double" else "float"
-        keyed = parts.select("part", F.col("user_id").cast("long").alias("user_key"),
+        keyed = parts.select(F.col("part").cast("int").alias("part"), F.col("user_id").cast("long").alias("user_key"),
                              F.col("item_id").cast("long").alias("item_key"),
                              F.col("rating").cast(kind).alias("rating"),
-                             *([F.col("pos").cast("long").alias("pos")] if ordered else []))
+                             F.col("pos" if ordered else "rec_id").cast("long"))
         if ordered:
             keyed = keyed.groupBy("part").applyInArrow(
                 exchange.add_waves,
-                f"part long, user_key long, item_key long, rating {kind}, pos long, wave int")
+                f"part int, user_key long, item_key long, rating {kind}, pos long, wave int")
         records = stage(keyed, "parted-ratings")
         sides = [records.df.groupBy("part", F.lit(side).alias("side"), F.col(column).alias("key"))
                  .agg(F.count("*").alias("n")) for side, column in ((USER, "user_key"), (ITEM, "item_key"))]
         counted = sides[0].unionByName(sides[1])
         touched = stage(counted.select("*", _node(F.col("side"), F.col("key"))), "touched-rows")
         hot = stage(hot_keys(touched.df, "node").coalesce(1), "hot-rows").df
-        return cls(records, touched, hot, cache)
+        last = records.df.agg(F.max("part").alias("last")).first().last
+        return cls(records, touched, hot, 1 if last is None else last + 1, cache)
+
+    def _place(self, rows: DataFrame) -> DataFrame:
+        """Bring the rows of a part together: a task of its own, or hashed when parts outnumber tasks."""
+        if self.num_parts <= MAX_PART_TASKS:
+            return rows.repartitionById(self.num_parts, "part")
+        return rows.repartition("part")
 
     def meet(self, state: DataFrame):
         """Cogroup of the touched factor rows ``(part, side, key, n, features)`` and the records, by part."""
         rows = state.select(_node(F.col("side"), F.col("id")), "features")
         copies = salted_join(self.touched.df, rows, "node", self.hot, F.col("part"))
-        placed = copies.select("part", "side", "key", "n", "features")
+        placed = self._place(copies.select("part", "side", "key", "n", "features"))
         return placed.groupBy("part").cogroup(self.records.groupBy("part"))
 
     def release(self) -> None:

@@ -49,7 +49,7 @@ class _Scorer:
         self._skew = skew
         self._ratings = ratings
         self.cells = None
-        if num_records > 2 * blocks * num_rows:
+        if grid.pays_off(num_records, num_rows, width, blocks):
             self.cells = grid.grid_ratings(ratings, blocks, precision, engine.cache)
 
     def rmse(self, state: DataFrame) -> float | None:

@@ -61,7 +61,7 @@ class CooText:
         starts = self.header().select("file", "num_records").withColumn(
             "start", F.coalesce(F.sum("num_records").over(before), F.lit(0)))
         index = self.blocks.select("file", "block", "first", "base").join(starts, "file")
-        if self._lines.rdd.getNumPartitions() <= MAX_BROADCAST_BLOCKS:
+        if self.blocks.count() <= MAX_BROADCAST_BLOCKS:
             index = F.broadcast(index)
         number = F.col("base") + F.col("line_id") - F.col("first")
         numbered = self._lines.join(index, ["file", "block"]).withColumn("number", number)

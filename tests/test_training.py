@@ -160,6 +160,15 @@ def test_grid_equals_join(make_ratings, triples, state, blocks):
     assert a.rmse == pytest.approx(b.rmse, abs=1e-12)
 
 
+def test_grid_predictions_equal_joined_ones(make_ratings, triples, state):
+    ratings = make_ratings(triples)
+    gridded = grid.grid_predict(grid.grid_ratings(ratings, 2), state, WIDTH).orderBy("rec_id").collect()
+    joined = factors.predict(ratings, state).orderBy("rec_id").collect()
+    assert [(r.rec_id, r.user_id, r.item_id, r.rating) for r in gridded] == [
+        (r.rec_id, r.user_id, r.item_id, r.rating) for r in joined]
+    np.testing.assert_allclose([r.residual for r in gridded], [r.residual for r in joined], atol=1e-12)
+
+
 def test_grid_leaves_out_unknown_ids(make_ratings, state):
     ratings = make_ratings([(0, 0, 3.0), (USERS + 5, 0, 1.0), (0, ITEMS + 9, 1.0)])
     row = grid.grid_square_error(grid.grid_ratings(ratings, 2), state, WIDTH).first()
@@ -301,18 +310,28 @@ def planted(rank=3, users=40, items=30):
     ({"gd_mode": 2, "precision": 1}, "adagrad"),
 ])
 def test_every_mode_converges(make_ratings, options, plan):
-    settings = {"num_features": 4, "max_num_iterations": 3, "regularization_factor": 0.001, "precision": 2,
+    settings = {"num_features": 4, "max_num_iterations": 2, "regularization_factor": 0.001, "precision": 2,
                 "show_train_rmse": 1, "show_test_rmse": 1} | options
     ratings = make_ratings(planted())
     train, test = ratings.where("rec_id % 10 <> 0"), ratings.where("rec_id % 10 = 0")
     model = fit(train, test, RunConfig(**settings), Engine(blocks=2, records_per_part=400), 40, 30)
     trace = model.metrics.orderBy("iter").collect()
     assert model.plan == plan
-    assert [r.iter for r in trace] == [0, 1, 2, 3]
-    assert trace[0].epoch_seconds is None and trace[3].epoch_seconds > 0
-    assert trace[3].train_rmse < trace[1].train_rmse < trace[0].train_rmse
-    assert trace[3].test_rmse < trace[0].test_rmse
-    assert model.evaluate(test).first().rmse == pytest.approx(trace[3].test_rmse, rel=1e-6)
+    assert [r.iter for r in trace] == [0, 1, 2]
+    assert trace[0].epoch_seconds is None and trace[2].epoch_seconds > 0
+    assert trace[2].train_rmse < trace[1].train_rmse < trace[0].train_rmse
+    assert trace[2].test_rmse < trace[0].test_rmse
+    assert model.evaluate(test).first().rmse == pytest.approx(trace[2].test_rmse, rel=1e-6)
+
+
+def test_batch_descent_by_grid_equals_joins(make_ratings, monkeypatch):
+    config = RunConfig(gd_mode=0, num_features=3, learning_rate=0.01, max_num_iterations=2, precision=2,
+                       show_train_rmse=1)
+    ratings = make_ratings([(u % 40, u * 7 % 30, u % 5 + 1) for u in range(2000)])
+    joined = [r.train_rmse for r in fit(ratings, None, config).metrics.orderBy("iter").collect()]
+    monkeypatch.setattr(grid, "MIN_JOIN_BYTES", 0)
+    gridded = [r.train_rmse for r in fit(ratings, None, config).metrics.orderBy("iter").collect()]
+    np.testing.assert_allclose(gridded, joined, rtol=1e-10)
 
 
 def test_adagrad_recovers_a_planted_matrix(make_ratings):
@@ -322,7 +341,7 @@ def test_adagrad_recovers_a_planted_matrix(make_ratings):
     assert model.metrics.orderBy(F.desc("iter")).first().train_rmse < 0.1
 
 
-def test_model_round_trip_and_cold_start(spark, make_ratings, tmp_path):
+def test_model_round_trip_and_cold_start(spark, make_ratings, tmp_path, monkeypatch):
     ratings = make_ratings(planted())
     model = fit(ratings, None, RunConfig(num_features=2, max_num_iterations=1), Engine(blocks=2))
     model.save(str(tmp_path / "model"))
@@ -334,6 +353,14 @@ def test_model_round_trip_and_cold_start(spark, make_ratings, tmp_path):
     assert [np.isnan(r.prediction) for r in kept] == [False, True, True]
     row = loaded.evaluate(unknown).first()
     assert (row.num_records, row.num_dropped) == (1, 2)
+    many = make_ratings([(u % 40, u * 7 % 30, 2.0) for u in range(2000)] + [(999, 0, 1.0)])
+    assert not grid.pays_off(2001, 70, 2, loaded._blocks(2001))
+    monkeypatch.setattr(grid, "MIN_JOIN_BYTES", 0)
+    assert grid.pays_off(2001, 70, 2, loaded._blocks(2001))
+    by_join = square_error(many, loaded.state).first().rmse
+    row = loaded.evaluate(many).first()
+    assert (row.num_records, row.num_dropped) == (2000, 1) and row.rmse == pytest.approx(by_join, rel=1e-9)
+    assert loaded.predict_on_grid(many).count() == 2000
     with pytest.raises(ValueError, match="cold_start"):
         loaded.predict(unknown, cold_start="zero")
 
