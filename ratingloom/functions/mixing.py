@@ -34,14 +34,14 @@ def shuffle_prefix(sort_key: Column, method: str = "mix") -> Column:
     return sort_key if method == "mix" else F.shiftright(sort_key, 50)
 
 
-def initial_value(key: Column, index: Column, salt: int, method: str = "mix") -> Column:
+def initial_value(key: Column, index: Column, salt: Column, method: str = "mix") -> Column:
     """Initial factor element for row ``key`` and feature ``index``."""
     if method == "mix":
         mixed = (key.cast("long") * KEY_MULTIPLIER + index * INDEX_MULTIPLIER
-                 + F.lit(salt * SALT_MULTIPLIER)) % MIX_MODULUS
+                 + salt * SALT_MULTIPLIER) % MIX_MODULUS
         return mixed / F.lit(MIX_MODULUS / INITIAL_SPAN)
     if method == "hash":
-        bits = F.shiftrightunsigned(F.xxhash64(key.cast("long"), index, F.lit(salt)), 11)
+        bits = F.shiftrightunsigned(F.xxhash64(key.cast("long"), index, salt), 11)
         return bits.cast("double") * F.lit(INITIAL_SPAN / 2.0**53)
     raise ValueError(f"unknown init method {method!r}; use 'mix' or 'hash'")
 

@@ -12,32 +12,27 @@ from pyspark.sql import functions as F
 from ratingloom.functions.arrays import array_type, dot
 from ratingloom.functions.half import rounded_features
 from ratingloom.functions.mixing import initial_value
-from ratingloom.operators.skew import hot_keys, salted_join
+from ratingloom.operators.skew import hot_keys, salted_join, stage_hot_keys
 
 USER, ITEM = 0, 1
 # Salts of the two initial matrices (fixed values).
 USER_SALT, ITEM_SALT = 1, 2
 
 
-def init_side(spark: SparkSession, rows: int, width: int, salt: int, method: str = "mix",
-              precision: str = "double", accumulators: bool = False) -> DataFrame:
-    """``(id, features[, acc])`` for ids ``0..rows-1``, uniform in [0, 0.1)."""
-    key = F.col("id")
+def init_state(spark: SparkSession, num_users: int, num_items: int, width: int, method: str = "mix",
+               precision: str = "double", accumulators: bool = False) -> DataFrame:
+    """``(side, id, features[, acc])`` for all ids of both dimensions, features uniform in [0, 0.1)."""
+    side = (F.col("id") >= num_users).cast("int")
+    rows = spark.range(num_users + num_items).select(
+        side.alias("side"), (F.col("id") - side * num_users).cast("int").alias("id"))
+    salt = F.when(F.col("side") == USER, USER_SALT).otherwise(ITEM_SALT)
     values = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                         lambda k: initial_value(key, k, salt, method))
-    columns = [key.cast("int").alias("id"), rounded_features(values, precision).alias("features")]
+                         lambda k: initial_value(F.col("id"), k, salt, method))
+    columns = ["side", "id", rounded_features(values, precision).alias("features")]
     if accumulators:
         zero = F.lit(0.0).cast("double")
         columns.append(F.array_repeat(zero, width).cast(array_type(precision)).alias("acc"))
-    return spark.range(rows).select(*columns)
-
-
-def init_state(spark: SparkSession, num_users: int, num_items: int, width: int, method: str = "mix",
-               precision: str = "double", accumulators: bool = False) -> DataFrame:
-    users = init_side(spark, num_users, width, USER_SALT, method, precision, accumulators)
-    items = init_side(spark, num_items, width, ITEM_SALT, method, precision, accumulators)
-    return (users.select(F.lit(USER).alias("side"), "*")
-            .unionByName(items.select(F.lit(ITEM).alias("side"), "*")))
+    return rows.select(*columns)
 
 
 def side_of(state: DataFrame, side: int) -> DataFrame:
@@ -45,9 +40,9 @@ def side_of(state: DataFrame, side: int) -> DataFrame:
 
 
 class RatingSkew:
-    """Hot users and hot items of a rating table, shared by all joins on it."""
+    """Hot users and hot items of a rating table (None: there are none), shared by all joins on it."""
 
-    def __init__(self, users: DataFrame, items: DataFrame):
+    def __init__(self, users: DataFrame | None, items: DataFrame | None):
         self.users = users
         self.items = items
 
@@ -55,6 +50,11 @@ class RatingSkew:
     def of(cls, ratings: DataFrame, **limits) -> RatingSkew:
         return cls(hot_keys(ratings, "user_id", **limits), hot_keys(ratings, "item_id", **limits))
 
+    @classmethod
+    def staged(cls, ratings: DataFrame, **limits) -> RatingSkew:
+        """As ``of``, but counted and written now, for runs that join again and again."""
+        return cls(stage_hot_keys(ratings, "user_id", **limits), stage_hot_keys(ratings, "item_id", **limits))
+
 
 def attach_factors(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None,
                    how: str = "inner", salt: str = "rec_id") -> DataFrame:

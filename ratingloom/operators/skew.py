@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratingloom.session import stage
+
 # An id is hot when it holds more than 1/MAX_HOT_KEYS of all rows, so there can be
 # at most MAX_HOT_KEYS of them: at 12 bytes a row, that makes the hot table safe to broadcast.
 MAX_HOT_KEYS = 1_000_000
@@ -26,15 +28,24 @@ def hot_keys(rows: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS,
     return hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("copies"))
 
 
-def salted_join(rows: DataFrame, factors: DataFrame, key: str, hot: DataFrame, salt: Column,
+def stage_hot_keys(rows: DataFrame, key: str, **limits) -> DataFrame | None:
+    """The hot keys written once for many joins, or None when there are none to care for."""
+    written = stage(hot_keys(rows, key, **limits).coalesce(1), f"hot-{key}").df
+    return None if written.isEmpty() else written
+
+
+def salted_join(rows: DataFrame, factors: DataFrame, key: str, hot: DataFrame | None, salt: Column,
                 how: str = "inner") -> DataFrame:
     """Join ``rows`` with the one matching factor row per ``key``.
 
     Rows of a hot key are spread over ``copies`` salted keys by ``salt`` (any well-spread
     integer column of ``rows``), and the key's single factor row is repeated that often.
     Other keys get salt 0 and are not repeated. ``hot`` is bounded by construction, see
-    ``hot_keys``; the join of the large sides is left to Spark's size-based choice.
+    ``hot_keys``; the join of the large sides is left to Spark's size-based choice. Without hot
+    keys (None) it is a plain join.
     """
+    if hot is None:
+        return rows.join(factors, key, how)
     copies = F.broadcast(hot.select(key, F.col("copies").alias("_copies")))
     spread = (rows.join(copies, key, "left")
               .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt), F.col("_copies")), F.lit(0)).cast("int"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.operators.factors import ITEM, USER
-from ratingloom.operators.skew import hot_keys, salted_join
+from ratingloom.operators.skew import salted_join, stage_hot_keys
 from ratingloom.plans import exchange
 from ratingloom.session import StagedTable, stage
 
@@ -27,7 +27,7 @@ def _node(side: Column, key: Column) -> Column:
 class PartedRatings:
     """Ratings laid out by part, with the factor rows that each part touches."""
 
-    def __init__(self, records: StagedTable, touched: StagedTable, hot: DataFrame, num_parts: int, cache: bool):
+    def __init__(self, records: StagedTable, touched: StagedTable, hot: DataFrame | None, num_parts: int, cache: bool):
         self.table = records
         self.touched = touched
         self.hot = hot
@@ -54,7 +54,7 @@ class PartedRatings:
                  .agg(F.count("*").alias("n")) for side, column in ((USER, "user_key"), (ITEM, "item_key"))]
         counted = sides[0].unionByName(sides[1])
         touched = stage(counted.select("*", _node(F.col("side"), F.col("key"))), "touched-rows")
-        hot = stage(hot_keys(touched.df, "node").coalesce(1), "hot-rows").df
+        hot = stage_hot_keys(touched.df, "node")
         last = records.df.agg(F.max("part").alias("last")).first().last
         return cls(records, touched, hot, 1 if last is None else last + 1, cache)
 

@@ -144,8 +144,7 @@ def fit(train: DataFrame, test: DataFrame | None = None, config: RunConfig = Run
     if size.num_users > users or size.num_items > items:
         raise ValueError(f"ids reach {size.num_users} x {size.num_items}, beyond {users} x {items}")
 
-    skew = RatingSkew(stage(RatingSkew.of(train).users.coalesce(1), "hot-users").df,
-                      stage(RatingSkew.of(train).items.coalesce(1), "hot-items").df)
+    skew = RatingSkew.staged(train)
     shape = (users + items, config.num_features, skew, engine, config.storage)
     scorers = {}
     if config.show_train_rmse or config.method == "gd":
