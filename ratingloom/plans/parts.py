@@ -15,8 +15,8 @@ from ratingloom.operators.skew import salted_join, stage_hot_keys
 from ratingloom.plans import exchange
 from ratingloom.session import StagedTable, stage
 
-# Up to this many parts get a task each.
-MAX_PART_TASKS = 20_000
+# Parts get a task each up to this multiple of the session's shuffle partitions.
+PARTS_PER_PARTITION = 4
 
 
 def _node(side: Column, key: Column) -> Column:
@@ -60,7 +60,8 @@ class PartedRatings:
 
     def _place(self, rows: DataFrame) -> DataFrame:
         """Bring the rows of a part together: a task of its own, or hashed when parts outnumber tasks."""
-        if self.num_parts <= MAX_PART_TASKS:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if self.num_parts <= PARTS_PER_PARTITION * partitions:
             return rows.repartitionById(self.num_parts, "part")
         return rows.repartition("part")
 
