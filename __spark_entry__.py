@@ -327,8 +327,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
               test_rmse_grid, minibatch_epoch, gd_trace, epochs_to_target, dims, dedupe_last, user_profiles,
               user_profile_text, csr_offsets, shuffle_records, shuffle_users, batch_sizes, sgd_epoch, adagrad_epoch,
               minibatch_block_epoch, sgd_half_epoch, adagrad_half_epoch, local_sgd_epoch, row_sgd_epoch, train_trace]
-    return {**{query.__name__: query for query in listed}, "check_ratings": check_ratings_query}
+    return {**{query.__name__: query for query in listed}, "check_ratings": check_ratings_query, **_corpus()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.statements()
+    return {**oracles.statements(), **_corpus()[1]}
+
+
+def _corpus() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the corpus operators, where that subpackage is installed."""
+    try:
+        import corpus_pipeline
+        from ratingloom.llm import queries as corpus
+    except ImportError:
+        return {}, {}
+    statements = corpus.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL is not None:
+        statements = {**statements, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {**corpus.queries(), "pipeline": corpus_pipeline.run}, statements
