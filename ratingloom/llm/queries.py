@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from ratingloom.llm.jaccard import near_duplicates
+from ratingloom.llm.packing import pack_documents
+from ratingloom.llm.token_ids import tokenizer_path
+from ratingloom.llm.token_store import read_documents, write_tokens
+from ratingloom.session import shared_root
 
 
 def _documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _folder(spark, name):
+    return f"{shared_root(spark)}/ratingloom/{name}-{uuid.uuid4().hex}"
+
+
+def op3_token_store(spark, sf_dir):
+    path = _folder(spark, "tokens")
+    write_tokens(_documents(spark, sf_dir), path, tokenizer_path())
+    return read_documents(spark, path)
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return pack_documents(_documents(spark, sf_dir), tokenizer_path())
+
+
 def op7_ngram_jaccard(spark, sf_dir):
     return near_duplicates(_documents(spark, sf_dir))
 
 
 def queries():
-    listed = [op7_ngram_jaccard]
+    listed = [op3_token_store, op6_best_fit_packing, op7_ngram_jaccard]
     return {query.__name__: query for query in listed}
 
 
