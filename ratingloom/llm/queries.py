@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from ratingloom.llm.jaccard import near_duplicates
 from ratingloom.llm.packing import pack_documents
+from ratingloom.llm.quality_model import THRESHOLD, fit_quality, held_out, quality_score
 from ratingloom.llm.token_ids import tokenizer_path
 from ratingloom.llm.token_store import read_documents, write_tokens
 from ratingloom.session import shared_root
@@ -33,8 +36,17 @@ def op7_ngram_jaccard(spark, sf_dir):
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op9_compression_quality(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
+                         quality_score(spark, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def queries():
-    listed = [op3_token_store, op6_best_fit_packing, op7_ngram_jaccard]
+    listed = [op3_token_store, op6_best_fit_packing, op7_ngram_jaccard,
+              op9_compression_quality]
     return {query.__name__: query for query in listed}
 
 
