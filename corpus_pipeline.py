@@ -1,24 +1,68 @@
-"""The corpus pipeline: stages that each apply one operator to what the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to what the stage before kept.
+
+All stages but the last return the columns of their input. Null and empty texts pass the
+filters unless the classifier rejects them. Rows with equal ids stand or fall together, except
+that the line stage looks at their texts. Columns beside ``doc_id``, ``text`` and ``n_chars``
+are carried along untouched, and empty tables stay empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratingloom.llm.decontaminate import contaminated
 from ratingloom.llm.jaccard import near_duplicates
+from ratingloom.llm.line_dedup import dedup_lines
+from ratingloom.llm.packing import pack_documents
+from ratingloom.llm.quality_model import THRESHOLD, fit_quality, quality_score
+from ratingloom.llm.token_ids import tokenizer_path
 from ratingloom.session import stage
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the compression classifier rejects."""
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality_score(spark, model) >= THRESHOLD)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut lines of repeated three-line windows; a document of which no line is left goes."""
+    cut = dedup_lines(docs).where("n_lines = 0 or n_removed_lines < n_lines")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(
+            F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each near-duplicate group."""
     groups = near_duplicates(docs)
-    others = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    others = stage(groups.where("component_id < doc_id").select("doc_id").distinct(), "others")
+    return docs.join(others.df, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that overlap with an item of the benchmark."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaked = stage(found.select("doc_id").distinct(), "leaked")
+    return docs.join(leaked.df, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of the documents that are left."""
+    return pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("near duplicates", drop_near_duplicates)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
 
-#: Similarity, classifier and packing have no SQL form; tests compare the stages with brute force.
+#: Compression, similarity and packing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ratingloom.llm.decontaminate import contaminated
 from ratingloom.llm.jaccard import near_duplicates
+from ratingloom.llm.line_dedup import dedup_lines
 from ratingloom.llm.packing import pack_documents
 from ratingloom.llm.quality_model import THRESHOLD, fit_quality, held_out, quality_score
 from ratingloom.llm.token_ids import tokenizer_path
@@ -22,6 +24,10 @@ def _folder(spark, name):
     return f"{shared_root(spark)}/ratingloom/{name}-{uuid.uuid4().hex}"
 
 
+def op2_line_windows(spark, sf_dir):
+    return dedup_lines(_documents(spark, sf_dir))
+
+
 def op3_token_store(spark, sf_dir):
     path = _folder(spark, "tokens")
     write_tokens(_documents(spark, sf_dir), path, tokenizer_path())
@@ -36,6 +42,10 @@ def op7_ngram_jaccard(spark, sf_dir):
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op8_spaced_seeds(spark, sf_dir):
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_compression_quality(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -45,7 +55,7 @@ def op9_compression_quality(spark, sf_dir):
 
 
 def queries():
-    listed = [op3_token_store, op6_best_fit_packing, op7_ngram_jaccard,
+    listed = [op2_line_windows, op3_token_store, op6_best_fit_packing, op7_ngram_jaccard, op8_spaced_seeds,
               op9_compression_quality]
     return {query.__name__: query for query in listed}
 
