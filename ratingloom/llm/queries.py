@@ -11,6 +11,8 @@ from ratingloom.llm.jaccard import near_duplicates
 from ratingloom.llm.line_dedup import dedup_lines
 from ratingloom.llm.packing import pack_documents
 from ratingloom.llm.quality_model import THRESHOLD, fit_quality, held_out, quality_score
+from ratingloom.llm.quality_rules import quality_rules
+from ratingloom.llm.secret_ledger import BASE_RULES, BlobLedger, span_text
 from ratingloom.llm.token_ids import tokenizer_path
 from ratingloom.llm.token_store import read_documents, write_tokens
 from ratingloom.session import shared_root
@@ -24,6 +26,15 @@ def _folder(spark, name):
     return f"{shared_root(spark)}/ratingloom/{name}-{uuid.uuid4().hex}"
 
 
+def op1_secret_ledger(spark, sf_dir):
+    found = BlobLedger(spark, _folder(spark, "ledger")).ingest(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
+    counts = [F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{rule.kind}")
+              for rank, rule in enumerate(BASE_RULES)]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"),
+                        span_text(F.col("spans")).alias("spans"), "blob")
+
+
 def op2_line_windows(spark, sf_dir):
     return dedup_lines(_documents(spark, sf_dir))
 
@@ -34,6 +45,11 @@ def op3_token_store(spark, sf_dir):
     return read_documents(spark, path)
 
 
+def op4_ngram_ratio(spark, sf_dir):
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return quality_rules(_documents(spark, sf_dir), trusted)
+
+
 def op6_best_fit_packing(spark, sf_dir):
     return pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
@@ -55,7 +71,7 @@ def op9_compression_quality(spark, sf_dir):
 
 
 def queries():
-    listed = [op2_line_windows, op3_token_store, op6_best_fit_packing, op7_ngram_jaccard, op8_spaced_seeds,
+    listed = [op1_secret_ledger, op2_line_windows, op3_token_store, op4_ngram_ratio, op6_best_fit_packing, op7_ngram_jaccard, op8_spaced_seeds,
               op9_compression_quality]
     return {query.__name__: query for query in listed}
 
