@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from ratingloom.llm.decontaminate import contaminated
 from ratingloom.llm.jaccard import near_duplicates
+from ratingloom.llm.license_rules import scan_licenses
 from ratingloom.llm.line_dedup import dedup_lines
 from ratingloom.llm.packing import pack_documents
 from ratingloom.llm.quality_model import THRESHOLD, fit_quality, held_out, quality_score
 from ratingloom.llm.quality_rules import quality_rules
 from ratingloom.llm.secret_ledger import BASE_RULES, BlobLedger, span_text
 from ratingloom.llm.token_ids import tokenizer_path
+from ratingloom.llm.token_rollups import TokenRollups, blank_words, counted, word_marks
 from ratingloom.llm.token_store import read_documents, write_tokens
 from ratingloom.session import shared_root
 
@@ -50,6 +52,10 @@ def op4_ngram_ratio(spark, sf_dir):
     return quality_rules(_documents(spark, sf_dir), trusted)
 
 
+def op5_license_rules(spark, sf_dir):
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     return pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
@@ -70,11 +76,43 @@ def op9_compression_quality(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def op10_token_rollups(spark, sf_dir):
+    """Load all documents, recount them by another tokenizer version, delete later copies, load again."""
+    docs = _documents(spark, sf_dir)
+    rollups = TokenRollups(spark, _folder(spark, "rollups"))
+    loaded = counted(docs, "words", blank_words)
+    rollups.insert("load", loaded)
+    rollups.insert("load-marks", counted(docs, "word-marks-draft", blank_words))
+    rollups.revise("recount", counted(docs, "word-marks", word_marks), replaces="word-marks-draft")
+    keys = docs.select("doc_id", F.sha2("text", 256).alias("content"))
+    firsts = keys.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
+    copies = keys.where("content is not null").select("doc_id").join(firsts.select("doc_id"), "doc_id", "left_anti")
+    rollups.delete("copies", copies)
+    rollups.insert("load", loaded)
+    return rollups.totals()
+
+
+OP10_SQL = r"""
+WITH copies AS (
+  SELECT doc_id FROM documents
+  QUALIFY text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text)),
+kept AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM copies)),
+counts AS (
+  SELECT source, lang, 'words' AS version,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS tokens FROM kept
+  UNION ALL
+  SELECT source, lang, 'word-marks',
+         len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9 \t-\r]')) FROM kept)
+SELECT source, lang, version, count(*) AS docs, sum(tokens)::BIGINT AS tokens
+FROM counts GROUP BY ALL
+"""
+
+
 def queries():
-    listed = [op1_secret_ledger, op2_line_windows, op3_token_store, op4_ngram_ratio, op6_best_fit_packing, op7_ngram_jaccard, op8_spaced_seeds,
-              op9_compression_quality]
+    listed = [op1_secret_ledger, op2_line_windows, op3_token_store, op4_ngram_ratio, op5_license_rules,
+              op6_best_fit_packing, op7_ngram_jaccard, op8_spaced_seeds, op9_compression_quality, op10_token_rollups]
     return {query.__name__: query for query in listed}
 
 
 def oracle_sql():
-    return {}
+    return {"op10_token_rollups": OP10_SQL}
