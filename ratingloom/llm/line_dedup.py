@@ -143,6 +143,7 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), doc_id: str = "doc
     first = stage(found.df.groupBy("window").agg(F.min(F.struct("doc_id", "row", "line")).alias("first")), "first")
     later = found.df.join(first.df, "window").where(F.struct("doc_id", "row", "line") > F.col("first"))
     covered = stage(later.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("lines")), "covered")
+    wanted.destroy()
     for table in (repeated, found, first):
         table.drop()
     covered_lines = covered.df.select(F.col("row").alias("__line_row"), F.col("lines").alias("__lines"))

@@ -8,10 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.session import StagedTable, stage
-
 #: Text bytes that an Arrow kernel works on at a time; one longer document makes a larger slice.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def text_column(text: str = "text") -> Column:
@@ -46,8 +44,3 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
             for part in slices(batch, column):
                 yield function(part)
     return df.mapInArrow(run, schema)
-
-
-def stage_small(df: DataFrame, name: str) -> StagedTable:
-    """Stage a table; AQE has merged small partitions, so few files result."""
-    return stage(df, name)
