@@ -300,7 +300,7 @@ def row_sgd_epoch(spark, sf_dir):
     train = fixtures.train(spark, sf_dir)
     deduped = profiles.dedupe_last(train)
     offsets = ordering.user_offsets(deduped, _dims(train).num_users, SEED)
-    ratings = PartedRatings.of(local_sgd.parts_by_user(deduped, offsets, RECORDS_PER_PART))
+    ratings = PartedRatings.of(local_sgd.parts_by_user(deduped, offsets, RECORDS_PER_PART, split_users=False))
     return _values(local_sgd.local_epoch(ratings, _start(train, oracles.SGD_WIDTH), oracles.SGD_WIDTH,
                                          SGD_RATE, PENALTY).df)
 

@@ -261,7 +261,8 @@ counted AS (
     count(*) FILTER (WHERE item_id < 0) AS bad_negative_items,
     count(*) FILTER (WHERE user_id >= (SELECT num_users FROM size)) AS bad_large_users,
     count(*) FILTER (WHERE item_id >= (SELECT num_items FROM size)) AS bad_large_items,
-    (SELECT num_records FROM size) - count(*) AS bad_missing_records
+    (SELECT num_records FROM size) - count(*) AS bad_missing_records,
+    CAST(0 AS BIGINT) AS surplus_records
   FROM ratings)
 SELECT *, bad_null_ids + bad_null_ratings + bad_negative_users + bad_negative_items + bad_large_users
   + bad_large_items + abs(bad_missing_records) = 0 AS valid FROM counted"""

@@ -16,16 +16,17 @@ from ratingloom.sources.factor_text import write_factor_text
 class FactorModel:
     """``state`` is ``(side, id, features[, acc])``; ``metrics`` has one row per epoch.
 
-    ``plan`` names the epoch that ran, e.g. ``blockwise_minibatch`` when there were too many
-    mini-batches for one job each.
+    ``plan`` names the epoch that ran; ``layout`` tells the blocks of stratified descent and
+    whether frequent rows were split into averaged copies.
     """
 
     def __init__(self, state: DataFrame, config: RunConfig, metrics: DataFrame | None = None,
-                 plan: str | None = None):
+                 plan: str | None = None, layout: str = ""):
         self.state = state
         self.config = config
         self.metrics = metrics
         self.plan = plan or config.method
+        self.layout = layout
 
     @property
     def user_factors(self) -> DataFrame:

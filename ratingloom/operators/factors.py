@@ -13,6 +13,7 @@ from ratingloom.functions.arrays import array_type, dot
 from ratingloom.functions.half import rounded_features
 from ratingloom.functions.mixing import initial_value
 from ratingloom.operators.skew import hot_keys, salted_join, stage_hot_keys
+from ratingloom.session import StagedTable
 
 USER, ITEM = 0, 1
 # Salts of the two initial matrices (fixed values).
@@ -42,9 +43,16 @@ def side_of(state: DataFrame, side: int) -> DataFrame:
 class RatingSkew:
     """Hot users and hot items of a rating table (None: there are none), shared by all joins on it."""
 
-    def __init__(self, users: DataFrame | None, items: DataFrame | None):
+    def __init__(self, users: DataFrame | None = None, items: DataFrame | None = None,
+                 tables: tuple[StagedTable, ...] = ()):
         self.users = users
         self.items = items
+        self._tables = tables
+
+    def drop(self) -> None:
+        """Delete what ``staged`` wrote."""
+        for table in self._tables:
+            table.drop()
 
     @classmethod
     def of(cls, ratings: DataFrame, **limits) -> RatingSkew:
@@ -53,17 +61,19 @@ class RatingSkew:
     @classmethod
     def staged(cls, ratings: DataFrame, **limits) -> RatingSkew:
         """As ``of``, but counted and written now, for runs that join again and again."""
-        return cls(stage_hot_keys(ratings, "user_id", **limits), stage_hot_keys(ratings, "item_id", **limits))
+        tables = [stage_hot_keys(ratings, key, **limits) for key in ("user_id", "item_id")]
+        return cls(*[table and table.df for table in tables], tuple(t for t in tables if t))
 
 
 def attach_factors(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None,
                    how: str = "inner", salt: str = "rec_id") -> DataFrame:
     """Ratings with the ``p`` (user) and ``q`` (item) arrays of their factor rows.
 
-    Users come first: they are usually the larger side, and when Spark finds the item factors
+    Without ``skew`` these are plain joins, whose large partitions Spark splits by itself; hot ids
+    are salted where they were counted before. Users come first: they are usually the larger side, and when Spark finds the item factors
     small enough to broadcast, no factor array is shuffled at all.
     """
-    skew = skew or RatingSkew.of(ratings)
+    skew = skew or RatingSkew()
     users = side_of(state, USER).select(F.col("id").alias("user_id"), F.col("features").alias("p"))
     items = side_of(state, ITEM).select(F.col("id").alias("item_id"), F.col("features").alias("q"))
     with_users = salted_join(ratings, users, "user_id", skew.users, F.col(salt), how)

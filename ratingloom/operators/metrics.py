@@ -9,10 +9,10 @@ from ratingloom.operators.factors import RatingSkew, predict
 
 
 def square_error(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None) -> DataFrame:
-    """One row ``(square_error_sum, num_records, rmse)`` over the records the model covers."""
+    """One row ``(square_error_sum, num_records, rmse)`` over the rated records the model covers."""
     scored = predict(ratings, state, skew)
     error = F.col("residual")
-    return scored.agg(F.sum(error * error).alias("square_error_sum"), F.count("*").alias("num_records"),
+    return scored.agg(F.sum(error * error).alias("square_error_sum"), F.count(error).alias("num_records"),
                       F.sqrt(F.avg(error * error)).alias("rmse"))
 
 

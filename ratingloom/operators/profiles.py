@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingloom.functions.number_text import general_format
 
-# Entries one profile row may hold. Users with more are split by item range.
+# Item ids, and so entries, that one profile row covers at most.
 MAX_PROFILE_ENTRIES = 100_000
-MAX_LONG_PROFILES = 1_000_000
 
 
 def dimensions(ratings: DataFrame) -> DataFrame:
@@ -21,9 +20,9 @@ def dimensions(ratings: DataFrame) -> DataFrame:
 
 
 def rebase_ids(ratings: DataFrame, id_base: int) -> DataFrame:
-    """Shift ids that start at ``id_base`` to start at 0."""
-    return ratings.withColumns({"user_id": (F.col("user_id") - id_base).cast("int"),
-                                "item_id": (F.col("item_id") - id_base).cast("int")})
+    """Shift ids that start at ``id_base`` to start at 0; ids beyond 31 bits become null, which checks count."""
+    return ratings.withColumns({"user_id": (F.col("user_id") - id_base).try_cast("int"),
+                                "item_id": (F.col("item_id") - id_base).try_cast("int")})
 
 
 def user_counts(ratings: DataFrame, num_users: int) -> DataFrame:
@@ -44,27 +43,16 @@ def dedupe_last(ratings: DataFrame, order: str = "rec_id") -> DataFrame:
 
 
 def _profile_parts(deduped: DataFrame, max_entries: int) -> DataFrame:
-    """Add ``part``: 0 for normal users, ranges of item ids for very long profiles.
-
-    Deduplicated, a range of item ids can not hold more entries than it has ids.
-    """
-    limit = F.greatest(F.lit(max_entries).cast("long"),
-                       F.ceil(deduped.agg(F.count("*")).scalar() / F.lit(MAX_LONG_PROFILES)))
-    spans = deduped.groupBy("user_id").agg(F.count("*").alias("_n"), F.min("item_id").alias("_low"))
-    # At most MAX_LONG_PROFILES users can be above the limit, which bounds the broadcast; it
-    # keeps the entries of a long profile from meeting in one task.
-    long_users = F.broadcast(spans.where(F.col("_n") > limit).select("user_id", "_low"))
-    part = F.floor((F.col("item_id") - F.col("_low")) / max_entries)
-    return (deduped.join(long_users, "user_id", "left")
-            .withColumn("part", F.coalesce(part, F.lit(0)).cast("int")).drop("_low"))
+    """Add ``part``: the range of ``max_entries`` item ids. Deduplicated, it can not hold more entries."""
+    return deduped.withColumn("part", F.floor(F.col("item_id") / max_entries).cast("int"))
 
 
 def user_profiles(ratings: DataFrame, order: str = "rec_id",
                   max_entries: int = MAX_PROFILE_ENTRIES) -> DataFrame:
     """``(user_id, part, profile)`` with ``profile`` a map from item id to rating.
 
-    A user has one row, unless the profile exceeds ``max_entries``; then it is split by
-    item range into parts of at most that many entries, in ascending item order.
+    A user has one row for each range of ``max_entries`` item ids with ratings, whatever the
+    length of the profile: part k covers the ids from ``k * max_entries`` on.
     """
     parts = _profile_parts(dedupe_last(ratings, order), max_entries)
     return parts.groupBy("user_id", "part").agg(
@@ -75,15 +63,16 @@ def profile_text(ratings: DataFrame, order: str = "rec_id",
                  max_entries: int = MAX_PROFILE_ENTRIES) -> DataFrame:
     """``(user_id, part, text)``: ``id count item rating item rating ...`` in item order.
 
-    Later parts of a split profile continue the list without repeating id and count.
+    The first part of a user begins with id and count, later ones continue the list.
     """
     deduped = dedupe_last(ratings, order)
-    counts = deduped.groupBy("user_id").agg(F.count("*").alias("_count"))
     entry = F.struct("item_id", F.concat_ws(
         " ", F.col("item_id").cast("string"), general_format(F.col("rating"), 6)).alias("entry"))
-    lines = (_profile_parts(deduped, max_entries).groupBy("user_id", "part")
-             .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-             .join(counts, "user_id"))
+    lines = _profile_parts(deduped, max_entries).groupBy("user_id", "part").agg(
+        F.array_sort(F.collect_list(entry)).alias("_entries"))
+    # One row a part: the window sees few and small rows of a user.
+    parts = Window.partitionBy("user_id")
+    lines = lines.withColumns({"_count": F.sum(F.size("_entries")).over(parts), "_first": F.min("part").over(parts)})
     body = F.concat_ws(" ", F.transform("_entries", lambda e: e["entry"]))
     head = F.concat_ws(" ", F.col("user_id").cast("string"), F.col("_count").cast("string"), body)
-    return lines.select("user_id", "part", F.when(F.col("part") == 0, head).otherwise(body).alias("text"))
+    return lines.select("user_id", "part", F.when(F.col("part") == F.col("_first"), head).otherwise(body).alias("text"))

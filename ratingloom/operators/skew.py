@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.session import stage
+from ratingloom.session import StagedTable, stage
 
 # An id is hot when it holds more than 1/MAX_HOT_KEYS of all rows, so there can be
 # at most MAX_HOT_KEYS of them: at 12 bytes a row, that makes the hot table safe to broadcast.
@@ -28,10 +28,13 @@ def hot_keys(rows: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS,
     return hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("copies"))
 
 
-def stage_hot_keys(rows: DataFrame, key: str, **limits) -> DataFrame | None:
+def stage_hot_keys(rows: DataFrame, key: str, **limits) -> StagedTable | None:
     """The hot keys written once for many joins, or None when there are none to care for."""
-    written = stage(hot_keys(rows, key, **limits).coalesce(1), f"hot-{key}").df
-    return None if written.isEmpty() else written
+    written = stage(hot_keys(rows, key, **limits), f"hot-{key}")
+    if written.df.isEmpty():
+        written.drop()
+        return None
+    return written
 
 
 def salted_join(rows: DataFrame, factors: DataFrame, key: str, hot: DataFrame | None, salt: Column,

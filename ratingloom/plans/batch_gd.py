@@ -9,7 +9,7 @@ from ratingloom.operators.factors import RatingSkew, apply_step
 from ratingloom.operators.gradients import gradient_sums
 from ratingloom.session import StagedTable, stage
 
-# More batches than this per epoch run inside blocks instead (see plans.strata).
+# A job each: more batches than this per epoch are refused.
 MAX_DATAFRAME_BATCHES = 64
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ratingloom.plans import kernels
 
@@ -119,6 +120,7 @@ class BlockScore:
         return features, users, items, found
 
     def gradients(self, state: pa.Table, records: pa.Table) -> pa.Table:
+        records = records.filter(pc.is_valid(records.column("rating")))
         features, users, items, found = self._scored(state, records)
         ratings = records.column("rating").to_numpy()[found]
         total = np.zeros(features.shape)
@@ -143,6 +145,7 @@ class BlockScore:
 
     def errors(self, state: pa.Table, records: pa.Table) -> pa.Table:
         scored = self.predictions(state, records)
+        scored = scored.filter(pc.is_valid(scored.column("rating")))
         error = scored.column("prediction").to_numpy() - scored.column("rating").to_numpy()
         return pa.table({"square_error_sum": pa.array([float(error @ error)]),
                          "num_records": pa.array([len(error)], pa.int64())})

@@ -32,16 +32,18 @@ def parts_by_record(ratings: DataFrame, records_per_part: int) -> DataFrame:
     return ratings.withColumn("part", F.floor(F.col("pos") / records_per_part))
 
 
-def parts_by_user(deduped: DataFrame, offsets: DataFrame, records_per_part: int) -> DataFrame:
+def parts_by_user(deduped: DataFrame, offsets: DataFrame, records_per_part: int,
+                  split_users: bool = True) -> DataFrame:
     """Users in shuffled order share a part; a user's records stay together, in item order.
 
-    Only a user with more records than a part holds is spread over several parts; its
-    copies are then averaged like those of an item.
+    With ``split_users`` a user with more records than a part holds is spread over several parts
+    and its copies are averaged like those of an item. Without it every user has one writer, and
+    a part may be as large as its largest user.
     """
-    hot = hot_keys(deduped, "user_id", min_rows=records_per_part)
+    hot = hot_keys(deduped, "user_id", min_rows=records_per_part) if split_users else None
     users = offsets.select("user_id", F.col("pos").alias("_user_pos"), "base", "cnt")
     placed = salted_join(deduped.select("user_id", "item_id", "rating"), users, "user_id", hot, F.col("item_id"))
-    pieces = F.ceil(F.col("cnt") / records_per_part)
+    pieces = F.ceil(F.col("cnt") / records_per_part) if split_users else F.lit(1)
     piece = F.when(pieces > 1, F.pmod(F.xxhash64("item_id"), pieces)).otherwise(F.lit(0))
     return placed.select(
         "user_id", "item_id", "rating",

@@ -25,7 +25,7 @@ from ratingloom.functions.mixing import block_of
 from ratingloom.operators.factors import ITEM, USER
 from ratingloom.operators.skew import hot_keys
 from ratingloom.plans import exchange, kernels
-from ratingloom.session import StagedTable, stage, task_slots
+from ratingloom.session import StagedTable, stage
 
 # Executors need only Spark, numpy and pyarrow: the task code travels with the job.
 for _module in (exchange, kernels):
@@ -34,6 +34,8 @@ for _module in (exchange, kernels):
 # A copy's key is ``id * COPY_SPAN + copy``.
 COPY_BITS = 20
 COPY_SPAN = 1 << COPY_BITS
+# Blocks that should be able to run at once, unless they got too small.
+PARALLELISM = 64
 MAX_BLOCK_RECORDS = 2_000_000
 MIN_BLOCK_RECORDS = 50_000
 MAX_BLOCK_BYTES = 256 << 20
@@ -43,12 +45,16 @@ MIN_SPLIT_RECORDS = 10_000
 STRATA_PER_JOB = 32
 
 
-def choose_blocks(num_records: int, num_rows: int, width: int, slots: int) -> int:
-    """Blocks per side: one per task slot while blocks stay worthwhile, more to bound their size."""
+def choose_blocks(num_records: int, num_rows: int, width: int, parallelism: int = PARALLELISM) -> int:
+    """Blocks per side: ``parallelism`` while blocks stay worthwhile, more to bound their size.
+
+    Blocks decide the order of the records, so the number follows from the data and this
+    parameter, never from the cluster at hand.
+    """
     for_size = math.ceil(math.sqrt(num_records / MAX_BLOCK_RECORDS))
     for_memory = math.ceil(num_rows * width * 16 / MAX_BLOCK_BYTES)
     worthwhile = math.ceil(math.sqrt(num_records / MIN_BLOCK_RECORDS))
-    return max(1, for_size, for_memory, min(slots, worthwhile))
+    return max(1, for_size, for_memory, min(parallelism, worthwhile))
 
 
 def split_copies(records: DataFrame, key: str, side: int, copies: DataFrame) -> DataFrame:
@@ -73,15 +79,20 @@ class BlockedRatings:
 
     @classmethod
     def of(cls, ratings: DataFrame, blocks: int, precision: str = "double", cache: bool = False,
-           min_split: int = MIN_SPLIT_RECORDS) -> BlockedRatings:
-        """``ratings`` has ``rec_id, user_id, item_id, rating`` and the training order ``pos``."""
-        limits = {"min_rows": min_split, "max_keys": 2 * blocks}
+           min_split: int = MIN_SPLIT_RECORDS, split_hot: bool = True) -> BlockedRatings:
+        """``ratings`` has ``rec_id, user_id, item_id, rating`` and the training order ``pos``.
+
+        With ``split_hot`` a row with more than 1/(2P) of the records, and more than ``min_split``,
+        is trained as several copies that are averaged; without it every row is exact, and a
+        block may hold all records of its most frequent id.
+        """
+        limits = {"min_rows": min_split if split_hot else 1 << 62, "max_keys": 2 * blocks}
         # Counting, sampling and laying out each scan the ratings; sort them only once.
         ordered = stage(ratings.select("rec_id", "user_id", "item_id", "rating", "pos"), "ordered-ratings")
         ratings = ordered.df
         # At most 2P rows per side can exceed the limit: small enough to write and broadcast.
-        user_copies = stage(hot_keys(ratings, "user_id", **limits).coalesce(1), "split-users").df
-        item_copies = stage(hot_keys(ratings, "item_id", **limits).coalesce(1), "split-items").df
+        user_copies = stage(hot_keys(ratings, "user_id", **limits), "split-users").df
+        item_copies = stage(hot_keys(ratings, "item_id", **limits), "split-items").df
         split = not (user_copies.isEmpty() and item_copies.isEmpty())
 
         kind = "double" if precision == "double" else "float"
@@ -116,7 +127,7 @@ class BlockedRatings:
                 F.broadcast(copies), column, "left_semi")
             parts.append(hot.groupBy(F.lit(side).alias("side"), F.col(key).alias("key"))
                          .agg(F.count("*").alias("n")))
-        return stage(parts[0].unionByName(parts[1]).coalesce(1), "copy-weights").df
+        return stage(parts[0].unionByName(parts[1]), "copy-weights").df
 
     def stratum(self, number: int) -> DataFrame:
         """The stratum's ratings, one task per block."""
@@ -212,7 +223,3 @@ def stratified_epoch(ratings: BlockedRatings, state: DataFrame, rule: str, width
     if written:
         written.drop()
     return result
-
-
-def blocks_for(ratings: DataFrame, num_records: int, num_rows: int, width: int) -> int:
-    return choose_blocks(num_records, num_rows, width, task_slots(ratings.sparkSession))

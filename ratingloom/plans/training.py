@@ -28,8 +28,14 @@ class Engine:
     # 'hash' spreads over all 64 bits; 'mix' is plain arithmetic that SQL can repeat.
     shuffle: str = "hash"
     init: str = "hash"
-    # Blocks per side for stratified descent; None picks by data size and task slots.
+    # Blocks per side for stratified descent; None picks by data size and ``parallelism``.
     blocks: int | None = None
+    # Blocks of stratified descent that should be able to run at once. Both decide the record order.
+    parallelism: int = strata.PARALLELISM
+    # Mini-batches are 'global', exact steps of one job each, or 'blockwise', steps inside blocks.
+    batching: str = "global"
+    # Train rows with very many records as averaged copies; False keeps every row exact.
+    split_hot: bool = True
     # Records per part of parallel descent; None picks what fits a task at the run's width.
     records_per_part: int | None = None
     # Keep the laid-out ratings cached on the executors between epochs.
@@ -78,6 +84,7 @@ class _Epochs:
         self.skew = skew
         self.scorer = scorer
         self.plan = config.method
+        self.layout = ""
         self._ratings = ratings
         self._owned: list = []
         if self.plan == "gd":
@@ -86,7 +93,10 @@ class _Epochs:
         positioned = ordering.shuffled_positions(ratings, "rec_id", engine.seed, method=engine.shuffle)
         if self.plan == "minibatch":
             self._batches = math.ceil(num_records / config.batch_size)
-            if self._batches <= batch_gd.MAX_DATAFRAME_BATCHES:
+            if engine.batching == "global":
+                if self._batches > batch_gd.MAX_DATAFRAME_BATCHES:
+                    raise ValueError(f"{self._batches} global batches an epoch, at most "
+                                     f"{batch_gd.MAX_DATAFRAME_BATCHES} are run; use Engine(batching='blockwise')")
                 batched = ordering.batch_numbers(positioned, config.batch_size)
                 table = stage(batched.repartitionByRange("batch", "rec_id"), "batched-ratings", ["batch"])
                 self._ratings = table.df
@@ -102,13 +112,15 @@ class _Epochs:
                 deduped = stage(profiles.dedupe_last(ordered.df, "pos"), "latest-ratings")
                 ordered.drop()
                 offsets = ordering.user_offsets(deduped.df, num_users, engine.seed, engine.shuffle)
-                parts = local_sgd.parts_by_user(deduped.df, offsets, size)
+                parts = local_sgd.parts_by_user(deduped.df, offsets, size, engine.split_hot)
                 self._owned.append(deduped)
             self._ratings = PartedRatings.of(parts, config.storage, cache=engine.cache)
             self._owned.append(self._ratings)
             return
-        blocks = engine.blocks or strata.blocks_for(ratings, num_records, num_users + num_items, width)
-        self._ratings = strata.BlockedRatings.of(positioned, blocks, config.storage, engine.cache)
+        blocks = engine.blocks or strata.choose_blocks(num_records, num_users + num_items, width, engine.parallelism)
+        self._ratings = strata.BlockedRatings.of(positioned, blocks, config.storage, engine.cache,
+                                                 split_hot=engine.split_hot)
+        self.layout = f"{blocks} x {blocks} blocks" + ", frequent rows split" * self._ratings.split
         self._owned.append(self._ratings.table)
 
     def step(self, state: DataFrame) -> StagedTable:
@@ -120,7 +132,7 @@ class _Epochs:
             return batch_gd.minibatch_epoch(self._ratings, self._batches, state, *common, self.skew)
         if self.plan in ("local_sgd", "row_sgd"):
             return local_sgd.local_epoch(self._ratings, state, *common)
-        rule = {"sgd": "sgd", "adagrad": "adagrad", "blockwise_minibatch": "minibatch"}[self.plan]
+        rule = {"sgd": "sgd", "adagrad": "adagrad", "minibatch": "minibatch"}[c.method]
         return strata.stratified_epoch(self._ratings, state, rule, *common, c.batch_size)
 
     def release(self) -> None:
@@ -137,6 +149,21 @@ def fit(train: DataFrame, test: DataFrame | None = None, config: RunConfig = Run
     The dimensions default to the largest ids of ``train`` plus one. Test records with ids
     outside them are left out of the test error.
     """
+    if engine.batching not in ("global", "blockwise"):
+        raise ValueError("batching must be 'global' or 'blockwise'")
+    spark = train.sparkSession
+    # Laying out, counting and scoring all read the ratings: parse them once.
+    columns = ("rec_id", "user_id", "item_id", "rating")
+    inputs = [stage(df.select(*columns), name) for df, name in ((train, "train"), (test, "test")) if df is not None]
+    try:
+        return _fit(inputs[0].df, inputs[1].df if test is not None else None, config, engine, num_users, num_items)
+    finally:
+        for table in inputs:
+            table.drop()
+
+
+def _fit(train: DataFrame, test: DataFrame | None, config: RunConfig, engine: Engine, num_users: int | None,
+         num_items: int | None) -> FactorModel:
     spark = train.sparkSession
     size = profiles.dimensions(train).first()
     users = size.num_users if num_users is None else num_users
@@ -144,18 +171,14 @@ def fit(train: DataFrame, test: DataFrame | None = None, config: RunConfig = Run
     if size.num_users > users or size.num_items > items:
         raise ValueError(f"ids reach {size.num_users} x {size.num_items}, beyond {users} x {items}")
 
-    skew = RatingSkew.staged(train)
-    shape = (users + items, config.num_features, skew, engine, config.storage)
-    scorers = {}
-    if config.show_train_rmse or config.method == "gd":
-        scorers["train"] = _Scorer(train, size.num_records, *shape)
-    if config.show_test_rmse and test is not None:
-        scorers["test"] = _Scorer(test, test.count(), *shape)
-    epochs = _Epochs(config, engine, train, users, items, size.num_records, skew, scorers.get("train"))
-    state = stage(factors.init_state(spark, users, items, config.num_features, engine.init, config.storage,
-                                     accumulators=config.method == "adagrad"), "factors")
+    owned: list = []
+    state = None
     rows = []
 
+    def own(made):
+        owned.append(made)
+        return made
+
     def report(number: int, seconds: float | None) -> None:
         errors = {name: scorer.rmse(state.df) for name, scorer in scorers.items()
                   if name == "test" or config.show_train_rmse}
@@ -163,6 +186,16 @@ def fit(train: DataFrame, test: DataFrame | None = None, config: RunConfig = Run
             rows.append((number, errors.get("train"), errors.get("test"), seconds))
 
     try:
+        skew = RatingSkew.staged(train)
+        shape = (users + items, config.num_features, skew, engine, config.storage)
+        scorers = {}
+        if config.show_train_rmse or config.method == "gd":
+            scorers["train"] = own(_Scorer(train, size.num_records, *shape))
+        if config.show_test_rmse and test is not None:
+            scorers["test"] = own(_Scorer(test, test.count(), *shape))
+        epochs = own(_Epochs(config, engine, train, users, items, size.num_records, skew, scorers.get("train")))
+        state = stage(factors.init_state(spark, users, items, config.num_features, engine.init, config.storage,
+                                         accumulators=config.method == "adagrad"), "factors")
         report(0, None)
         for number in range(1, config.max_num_iterations + 1):
             started = time.perf_counter()
@@ -171,7 +204,12 @@ def fit(train: DataFrame, test: DataFrame | None = None, config: RunConfig = Run
             state.drop()
             state = following
             report(number, seconds)
+    except BaseException:
+        if state is not None:
+            state.drop()
+        raise
     finally:
-        for used in (epochs, *scorers.values()):
+        for used in owned:
             used.release()
-    return FactorModel(state.df, config, spark.createDataFrame(rows, METRICS_SCHEMA), epochs.plan)
+        skew.drop()
+    return FactorModel(state.df, config, spark.createDataFrame(rows, METRICS_SCHEMA), epochs.plan, epochs.layout)

@@ -16,7 +16,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 RECORD_BYTES = 12
 HEADERS = {"narrow": "<u4,<u4,<u4", "wide": "<u4,<u4,<u8"}
 HEADER_BYTES = {"narrow": 12, "wide": 16}
-MAX_RECORDS = 0xFFFFFFFF
 
 DEFAULT_RANGE_BYTES = 64 << 20
 BATCH_RECORDS = 1 << 16
@@ -74,8 +73,6 @@ class CooBinaryReader(DataSourceReader):
         if len(raw) < size:
             raise ValueError(f"{path}: shorter than its header")
         users, items, records = np.frombuffer(raw, dtype=HEADERS[self.layout])[0]
-        if records > MAX_RECORDS:
-            raise ValueError(f"{path}: announces {records} records, the limit is {MAX_RECORDS}")
         return int(users), int(items), int(records)
 
     def partitions(self):

@@ -2,8 +2,9 @@
 
 Lines of a split file arrive in many tasks, while both the header and the record order
 depend on the line number. Line numbers come from two facts Spark keeps: the byte at which
-a file block starts, and the order of rows inside a block. One counting pass over the text
-indexes the blocks; the records are then read in one further pass.
+a file block starts, and the order of rows inside a block. The files are read once; lines are
+written with both, split into values, and numbered from what was written, so that how files
+are split into tasks never matters.
 """
 
 from __future__ import annotations
@@ -13,60 +14,68 @@ from pyspark.sql import functions as F
 
 from ratingloom.session import stage
 
-# Up to this many file blocks the block index (a few hundred bytes a row) is broadcast.
-MAX_BROADCAST_BLOCKS = 100_000
-
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file, block, line_id, value)`` of all lines that are neither comments nor blank."""
+    """``(file, block, line_id, t0, t1, t2)`` of all lines that are neither comments nor blank."""
     text = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     kept = text.where(~F.startswith("value", F.lit("%")) & (F.trim(F.translate("value", "\t\r", "  ")) != ""))
+    tokens = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     # Increasing within a task; a task reads each of its blocks from start to end.
-    return kept.withColumn("line_id", F.monotonically_increasing_id())
+    return kept.select("file", "block", F.monotonically_increasing_id().alias("line_id"),
+                       *[F.get(tokens, F.lit(k)).alias(f"t{k}") for k in range(3)])
 
 
-def _token(position: int, kind: str, line: str = "value") -> F.Column:
-    """A blank-separated token as ``kind``, or null if it is missing or malformed."""
-    tokens = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
-    return F.get(tokens, F.lit(position)).try_cast(kind)
+def _token(position: int, kind: str, prefix: str = "t") -> F.Column:
+    """A token as ``kind``, or null if it is missing or malformed."""
+    return F.col(f"{prefix}{position}").try_cast(kind)
 
 
 class CooText:
-    """Text files of one rating set, with their blocks indexed."""
+    """Text files of one rating set, with their lines written once."""
 
     def __init__(self, spark: SparkSession, path: str | list[str]):
-        self._lines = _lines(spark, path)
+        self._lines = stage(_lines(spark, path), "text-lines")
         earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = self._lines.groupBy("file", "block").agg(
-            F.count("*").alias("n"), F.min("line_id").alias("first"), F.min_by("value", "line_id").alias("head"))
-        based = sizes.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        head = F.when(F.col("base") == 0, F.col("head"))
-        self.blocks = stage(based.withColumn("head", head), "text-blocks").df
+        sizes = self._lines.df.groupBy("file", "block").agg(
+            F.count("*").alias("n"), F.min("line_id").alias("first"),
+            *[F.min_by(f"t{k}", "line_id").alias(f"h{k}") for k in range(3)])
+        self.blocks = stage(sizes.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "text-blocks")
+
+    def drop(self) -> None:
+        """Delete the written lines; readers of ``records`` must be done."""
+        self._lines.drop()
+        self.blocks.drop()
 
     def header(self) -> DataFrame:
         """``(file, num_users, num_items, num_records)``, one row per file."""
-        return self.blocks.where(F.col("base") == 0).select(
-            "file", _token(0, "int", "head").alias("num_users"), _token(1, "int", "head").alias("num_items"),
-            _token(2, "long", "head").alias("num_records"))
+        return self.blocks.df.where(F.col("base") == 0).select(
+            "file", _token(0, "int", "h").alias("num_users"), _token(1, "int", "h").alias("num_items"),
+            _token(2, "long", "h").alias("num_records"))
+
+    def surplus(self) -> DataFrame:
+        """One row ``(num_surplus)``: record lines beyond what the headers announce."""
+        lines = self.blocks.df.groupBy("file").agg((F.sum("n") - 1).alias("records")).join(self.header(), "file")
+        beyond = F.greatest(F.col("records") - F.coalesce("num_records", F.lit(0)), F.lit(0))
+        return lines.agg(F.coalesce(F.sum(beyond), F.lit(0)).alias("num_surplus"))
 
     def records(self, id_base: int = 0) -> DataFrame:
         """``(rec_id, user_id, item_id, rating)`` in file order, ids shifted to start at 0.
 
-        Lines beyond the number a header announces are ignored. Malformed values become null, for
-        ``check_ratings`` to report. Several files are read in the order of their names.
+        Lines beyond the number a header announces are left out and counted by ``surplus``. Malformed
+        values become null, for ``check_ratings`` to report. Several files are read in the order of
+        their names.
         """
         before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
         # One row per file, so one task can number the files.
         starts = self.header().select("file", "num_records").withColumn(
             "start", F.coalesce(F.sum("num_records").over(before), F.lit(0)))
-        index = self.blocks.select("file", "block", "first", "base").join(starts, "file")
-        if self.blocks.count() <= MAX_BROADCAST_BLOCKS:
-            index = F.broadcast(index)
+        index = self.blocks.df.select("file", "block", "first", "base").join(starts, "file")
         number = F.col("base") + F.col("line_id") - F.col("first")
-        numbered = self._lines.join(index, ["file", "block"]).withColumn("number", number)
+        # A row a block of some megabytes: small enough to broadcast as a rule; Spark decides by size.
+        numbered = self._lines.df.join(index, ["file", "block"]).withColumn("number", number)
         return numbered.where((F.col("number") > 0) & (F.col("number") <= F.col("num_records"))).select(
             (F.col("start") + F.col("number") - 1).alias("rec_id"),
-            (_token(0, "int") - id_base).alias("user_id"),
-            (_token(1, "int") - id_base).alias("item_id"),
+            (_token(0, "long") - id_base).try_cast("int").alias("user_id"),
+            (_token(1, "long") - id_base).try_cast("int").alias("item_id"),
             _token(2, "float").alias("rating"))

@@ -14,13 +14,17 @@ from ratingloom.sources import coo_binary, coo_text
 
 @dataclass(frozen=True)
 class RatingSet:
-    """``ratings`` with the dimensions of its header: ``(num_users, num_items, num_records)``."""
+    """``ratings`` with the dimensions of its header: ``(num_users, num_items, num_records)``.
+
+    ``surplus`` has one row ``(num_surplus)``, the records left out because no header announces them.
+    """
 
     ratings: DataFrame
     dims: DataFrame
+    surplus: DataFrame | None = None
 
     def check(self) -> DataFrame:
-        return check_ratings(self.ratings, self.dims)
+        return check_ratings(self.ratings, self.dims, self.surplus)
 
     def require_valid(self) -> RatingSet:
         """Raise if any load check fails."""
@@ -28,6 +32,8 @@ class RatingSet:
         if not row.valid:
             failed = {k: v for k, v in row.asDict().items() if k.startswith("bad_") and v}
             raise ValueError(f"rating set rejected: {failed}")
+        if row.surplus_records:
+            warnings.warn(f"{row.surplus_records} records beyond the announced number are left out", stacklevel=2)
         return self
 
 
@@ -57,13 +63,14 @@ def read_ratings(spark: SparkSession, path: str, id_base: int | None = None, lay
     if not suffix.endswith(".txt"):
         warnings.warn(f"unrecognized file type of {path!r}; reading it as text", stacklevel=2)
     text = coo_text.CooText(spark, path)
-    return RatingSet(text.records(id_base or 0), _merged(text.header()))
+    return RatingSet(text.records(id_base or 0), _merged(text.header()), text.surplus())
 
 
-def check_ratings(ratings: DataFrame, dims: DataFrame) -> DataFrame:
+def check_ratings(ratings: DataFrame, dims: DataFrame, surplus: DataFrame | None = None) -> DataFrame:
     """One row of counts over the whole set, and ``valid`` if none of the ``bad_`` ones is set.
 
-    ``dims`` has one row ``(num_users, num_items, num_records)``.
+    ``dims`` has one row ``(num_users, num_items, num_records)``, ``surplus`` one row ``(num_surplus)``:
+    records that were left out as no header announces them. They are counted, not a fault.
     """
     limit = {name: dims.select(name).scalar() for name in ("num_users", "num_items", "num_records")}
     user, item, rating = F.col("user_id"), F.col("item_id"), F.col("rating")
@@ -72,6 +79,7 @@ def check_ratings(ratings: DataFrame, dims: DataFrame) -> DataFrame:
              "bad_large_users": user >= limit["num_users"], "bad_large_items": item >= limit["num_items"]}
     flagged = ratings.select(*[test.alias(name) for name, test in flags.items()])
     counted = flagged.agg(F.count("*").alias("records"), *[F.count_if(name).alias(name) for name in flags])
-    result = counted.select("*", (limit["num_records"] - F.col("records")).alias("bad_missing_records"))
+    result = counted.select("*", (limit["num_records"] - F.col("records")).alias("bad_missing_records"),
+                            (surplus.scalar() if surplus else F.lit(0).cast("long")).alias("surplus_records"))
     bad = [c for c in result.columns if c.startswith("bad_")]
     return result.withColumn("valid", F.greatest(*[F.abs(F.col(c)) for c in bad]) == 0)

@@ -53,8 +53,11 @@ def read_run_config(spark: SparkSession, path: str) -> RunConfig:
             raise
         warnings.warn(f"configuration file {path!r} not found; using defaults", stacklevel=2)
         return RunConfig()
-    for row in unknown_keys(spark, path).limit(len(KEYS)).collect():
-        warnings.warn(f"unrecognized configuration {row.key!r} in {row.run}", stacklevel=2)
+    if len(rows) > 1:
+        raise ValueError(f"{path!r} holds several configurations; use read_run_configs")
+    unknown = sorted(row.key for row in unknown_keys(spark, path).collect())  # the keys of one file
+    if unknown:
+        warnings.warn(f"{len(unknown)} unrecognized configuration keys in {path!r}: {', '.join(unknown)}", stacklevel=2)
     return RunConfig.from_row(rows[0]) if rows else RunConfig()
 
 

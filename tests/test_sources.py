@@ -170,3 +170,41 @@ def test_factor_text(spark, tmp_path):
         "value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")).orderBy("f", "n").collect()]
     assert written == ["".join("%10.2g " % np.float32(x) for x in row) for _, row in values]
     assert factor_lines(table).count() == 50
+
+
+def test_surplus_records_are_counted(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("2 2 2\n0 0 1\n1 1 2\n0 1 3\n% note\n1 0 4\n")
+    loaded = read_ratings(spark, str(tmp_path / "a.txt"))
+    assert loaded.ratings.count() == 2 and loaded.check().first().surplus_records == 2
+    with pytest.warns(UserWarning, match="2 records beyond"):
+        loaded.require_valid()
+
+
+def test_text_does_not_depend_on_how_files_are_split(spark, tmp_path):
+    lines = [f"{k % 50} {k % 70} {k % 5 + 1}" for k in range(20000)]
+    (tmp_path / "big.txt").write_text("50 70 20000\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        loaded = read_ratings(spark, str(tmp_path / "big.txt"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+        rows = loaded.ratings.orderBy("rec_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.rec_id, r.user_id, r.item_id) for r in rows] == [(k, k % 50, k % 70) for k in range(20000)]
+
+
+def test_ids_beyond_31_bits_are_counted(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("2 2 2\n0 0 1\n3000000000 1 2\n")
+    row = read_ratings(spark, str(tmp_path / "a.txt")).check().first()
+    assert row.bad_null_ids == 1 and not row.valid
+
+
+def test_one_configuration_file_and_all_unknown_keys(spark, tmp_path):
+    (tmp_path / "runs").mkdir()
+    for name in ("a.in", "b.in"):
+        (tmp_path / "runs" / name).write_text("num_features 3\n" + "".join(f"odd{k} 1\n" for k in range(20)))
+    with pytest.raises(ValueError, match="several"):
+        read_run_config(spark, str(tmp_path / "runs"))
+    with pytest.warns(UserWarning, match="20 unrecognized"):
+        assert read_run_config(spark, str(tmp_path / "runs" / "a.in")).num_features == 3

@@ -314,7 +314,8 @@ def test_every_mode_converges(make_ratings, options, plan):
                 "show_train_rmse": 1, "show_test_rmse": 1} | options
     ratings = make_ratings(planted())
     train, test = ratings.where("rec_id % 10 <> 0"), ratings.where("rec_id % 10 = 0")
-    model = fit(train, test, RunConfig(**settings), Engine(blocks=2, records_per_part=400), 40, 30)
+    model = fit(train, test, RunConfig(**settings), Engine(blocks=2, records_per_part=400,
+                batching="blockwise" if plan == "blockwise_minibatch" else "global"), 40, 30)
     trace = model.metrics.orderBy("iter").collect()
     assert model.plan == plan
     assert [r.iter for r in trace] == [0, 1, 2]
