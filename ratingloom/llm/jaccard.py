@@ -63,8 +63,13 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
+def range_counts(shingles: np.ndarray) -> bytes:
+    """How many shingles of a set lie in each of 64 equal ranges of the key."""
+    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=SUFFIX_RANGES).astype("<u4").tobytes()
+
+
 def _sets(docs: DataFrame, rule: Jaccard) -> StagedTable:
-    """One row a document ``(doc_id, n, node)``, and frequency rows ``(slot, seen)`` of each task."""
+    """One row a document ``(doc_id, n, node, ranges)``, and frequency rows ``(slot, seen)`` of each task."""
     def run(batches: Iterator[pa.RecordBatch]):
         seen = np.zeros(1 << FREQUENCY_BITS, np.int64)
         for batch in batches:
@@ -77,14 +82,16 @@ def _sets(docs: DataFrame, rule: Jaccard) -> StagedTable:
                 yield pa.record_batch({
                     "doc_id": part.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "node": pa.array([set_key(s) for s in sets], pa.int64()),
+                    "ranges": pa.array([range_counts(s) for s in sets], pa.binary()),
                     "slot": pa.nulls(count, pa.int32()), "seen": pa.nulls(count, pa.int64())})
         slots = np.flatnonzero(seen)
         for k in range(0, len(slots), 1 << 15):
             some = slots[k: k + (1 << 15)]
             empty = pa.nulls(len(some), pa.int64())
             yield pa.record_batch({"doc_id": empty, "n": empty, "node": empty,
+                                   "ranges": pa.nulls(len(some), pa.binary()),
                                    "slot": pa.array(some, pa.int32()), "seen": pa.array(seen[some])})
-    return stage(docs.mapInArrow(run, "doc_id long, n long, node long, slot int, seen long"), "sets")
+    return stage(docs.mapInArrow(run, "doc_id long, n long, node long, ranges binary, slot int, seen long"), "sets")
 
 
 def _frequencies(sets: DataFrame):
@@ -137,6 +144,7 @@ def _shared_postings(docs: DataFrame, frequencies, rule: Jaccard) -> StagedTable
     wanted = key_bitmap(repeated.df, "key")
     rows = _postings(docs, frequencies, rule, wanted).groupBy("key", "node").agg(F.min("place").alias("place"))
     shared = stage(rows.join(repeated.df, "key"), "postings")
+    wanted.destroy()
     repeated.drop()
     return shared
 
@@ -181,37 +189,45 @@ def _candidates(active: DataFrame, pivots: DataFrame, rule: Jaccard) -> StagedTa
     return stage(pairs, "pairs")
 
 
-def _wanted_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, rule: Jaccard) -> StagedTable:
-    """The whole sets of some nodes, each from one of its documents: ``(node, n, ranges, shingles)``."""
-    chosen = stage(classes.where("least is not null").join(nodes, "node")
-                   .select("node", F.col("least").alias("doc_id")), "chosen")
-    bitmap = key_bitmap(chosen.df.select(F.xxhash64("doc_id").alias("h")), "h")
+def _likely(pairs: DataFrame, classes: DataFrame, rule: Jaccard) -> StagedTable:
+    """Pairs that pass the suffix filter, with a document of each side: ``(a, b, a_doc, b_doc)``.
 
-    def likely(batches: Iterator[pa.RecordBatch]):
+    Common shingles can not exceed the sum, over 64 ranges of the key, of the smaller count.
+    """
+    def bounded(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            keep = may_contain(bitmap.value, batch.column("h").to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(keep))
-
-    def build(part: pa.RecordBatch) -> pa.RecordBatch:
-        built = shingle_sets(part.column("text"), rule.shingle)
-        ranges = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SUFFIX_RANGES).astype("<u4").tobytes()
-                  for s in built]
-        return pa.record_batch({
-            "node": pa.array([set_key(s) for s in built], pa.int64()),
-            "n": pa.array([len(s) for s in built], pa.int64()),
-            "ranges": pa.array(ranges, pa.binary()),
-            "shingles": pa.array([s.astype("<u8").tobytes() for s in built], pa.binary())})
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SUFFIX_RANGES)
+                           .astype(np.int64) for c in ("a_ranges", "b_ranges"))
+            total = left.sum(1) + right.sum(1)
+            keep = (100 + rule.percent) * np.minimum(left, right).sum(1) >= rule.percent * total
+            yield batch.select(["a", "b", "a_doc", "b_doc"]).filter(pa.array(keep))
+
+    light = pairs
+    for name in ("a", "b"):
+        light = light.join(classes.select(F.col("node").alias(name), F.col("ranges").alias(f"{name}_ranges"),
+                                          F.col("least").alias(f"{name}_doc")), name)
+    return stage(light.mapInArrow(bounded, "a long, b long, a_doc long, b_doc long"), "likely")
+
+
+def _whole_sets(docs: DataFrame, pairs: DataFrame, rule: Jaccard) -> StagedTable:
+    """The whole sets ``(node, n, shingles)`` that pairs need, each from one of its documents."""
+    ends = [pairs.select(F.col(x).alias("node"), F.col(f"{x}_doc").alias("doc_id")) for x in ("a", "b")]
+    chosen = stage(ends[0].unionByName(ends[1]).distinct(), "chosen")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
-                yield build(part)
-
-    hashed = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(likely, "doc_id long, text string, h long")
-    texts = hashed.drop("h").join(chosen.df.select("doc_id"), "doc_id", "left_semi")
-    found = texts.mapInArrow(run, "node long, n long, ranges binary, shingles binary")
-    # Rows that share an id may hold different texts: only wanted nodes, and each once.
-    built = stage(found.join(nodes, "node", "left_semi"), "found")
+                built = shingle_sets(part.column("text"), rule.shingle)
+                yield pa.record_batch({
+                    "node": pa.array([set_key(s) for s in built], pa.int64()),
+                    "n": pa.array([len(s) for s in built], pa.int64()),
+                    "shingles": pa.array([s.astype("<u8").tobytes() for s in built], pa.binary())})
+
+    # Few documents are left to look at; their ids are broadcast by Spark if their table is small.
+    texts = docs.join(chosen.df.select("doc_id"), "doc_id", "left_semi")
+    found = texts.mapInArrow(run, "node long, n long, shingles binary")
+    # Rows that share an id may hold different texts, or the same text again.
+    built = stage(found.join(chosen.df.select("node"), "node", "left_semi"), "whole")
     chosen.drop()
     return built
 
@@ -220,40 +236,26 @@ def _common(a: bytes, b: bytes) -> int:
     return len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
-    """Pairs whose whole sets are similar enough: ``(a, b, common, total)``.
-
-    The suffix filter comes first, on small rows: common shingles can not exceed the sum over
-    64 ranges of the key of the smaller count. Whole sets are fetched for the pairs left.
-    """
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-
-    def bounded(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            left = np.array([np.frombuffer(x, "<u4") for x in batch.column("a_ranges").to_pylist()],
-                            np.int64).reshape(-1, SUFFIX_RANGES)
-            right = np.array([np.frombuffer(x, "<u4") for x in batch.column("b_ranges").to_pylist()],
-                             np.int64).reshape(-1, SUFFIX_RANGES)
-            most = np.minimum(left, right).sum(1)
-            total = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
-            keep = pa.array((100 + rule.percent) * most >= rule.percent * total)
-            yield batch.select(["a", "b"]).filter(keep)
-
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Jaccard) -> StagedTable:
+    """Pairs whose whole sets are similar enough: ``(a, b, common, total)``."""
     def exact(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            common = np.array([_common(x.as_py(), y.as_py()) for x, y in
+            common = np.array([_common(x.as_buffer(), y.as_buffer()) for x, y in
                                zip(batch.column("a_shingles"), batch.column("b_shingles"))], np.int64)
             total = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy() - common
             keep = pa.array(100 * common >= rule.percent * total)
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "common": pa.array(common),
                                    "total": pa.array(total)}).filter(keep)
 
-    light = pairs.join(side("a", "n", "ranges"), "a").join(side("b", "n", "ranges"), "b")
-    left = stage(light.mapInArrow(bounded, "a long, b long"), "left")
-    whole = left.df.join(side("a", "n", "shingles"), "a").join(side("b", "n", "shingles"), "b")
+    left = _likely(pairs, classes, rule)
+    sets = _whole_sets(docs, left.df, rule)
+    whole = left.df.select("a", "b")
+    for name in ("a", "b"):
+        whole = whole.join(sets.df.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"),
+                                          F.col("shingles").alias(f"{name}_shingles")), name)
     links = stage(whole.mapInArrow(exact, "a long, b long, common long, total long"), "links")
     left.drop()
+    sets.drop()
     return links
 
 
@@ -276,20 +278,20 @@ def _open(postings: DataFrame, labels: DataFrame | None) -> StagedTable:
 def similar_sets(docs: DataFrame, rule: Jaccard) -> tuple[StagedTable, StagedTable, StagedTable]:
     """``(doc_id, n, node)`` of every row, ``(node, least)`` of the sets, ``(node, component)`` of linked sets."""
     sets = _sets(docs, rule)
-    classes = stage(sets.df.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    postings = _shared_postings(docs, _frequencies(sets.df), rule)
+    classes = stage(sets.df.where("n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.first("ranges", True).alias("ranges")), "nodes")
+    frequencies = _frequencies(sets.df)
+    postings = _shared_postings(docs, frequencies, rule)
+    frequencies.destroy()
     active = _open(postings.df, None)
     postings.drop()
-    nodes = stage(active.df.select("node").distinct(), "wanted")
-    whole = _wanted_sets(docs, nodes.df, classes.df, rule)
-    nodes.drop()
     links = stage(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
     labels = components(links.df)
     width = 1
     while active.df.limit(1).count():
         pivots = _pivots(active.df, width)
         pairs = _candidates(active.df, pivots.df, rule)
-        found = _verified(pairs.df, whole.df, rule)
+        found = _verified(docs, pairs.df, classes.df, rule)
         more = stage(links.df.unionByName(found.df.select("a", "b")), "links")
         met = stage(active.df.join(pivots.df.withColumnRenamed("pivot", "node").select("key", "node"),
                                    ["key", "node"], "left_anti"), "met")
@@ -299,7 +301,7 @@ def similar_sets(docs: DataFrame, rule: Jaccard) -> tuple[StagedTable, StagedTab
         active = _open(met.df, labels.df)
         met.drop()
         width *= 2
-    for table in (active, links, whole):
+    for table in (active, links):
         table.drop()
     return sets, classes, labels
 
@@ -312,14 +314,14 @@ def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), doc_id: str = "d
     similarity; ``component_id`` is the smallest id reached by links. A null or wordless
     text has no shingles, links with nothing and is its own component; a text of fewer
     words than a shingle is one shingle. Repeated rows appear as often as they come; rows
-    that share an id each follow their own text. A row with a null id can link others and
-    gets the smallest id of its component that is not null, if there is one. An empty
-    table gives an empty table. Other columns of ``docs`` are not looked at.
+    that share an id each follow their own text. A row with a null id belongs to the component
+    of the rows with equal sets and an id; without such a row it links with nothing and its
+    component is null. An empty table gives an empty table. Other columns of ``docs`` are not looked at.
     """
     rows = documents(docs, doc_id, text)
     sets, classes, labels = similar_sets(rows, rule)
     own = sets.df.where("slot is null").select("doc_id", "n", "node")
-    placed = stage(classes.df.join(labels.df, "node", "left")
+    placed = stage(classes.df.select("node", "least").join(labels.df, "node", "left")
                    .withColumn("component", F.coalesce("component", "node")), "classes")
     least = stage(placed.df.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = stage(placed.df.join(least.df, "component").select("node", "component_id"), "named")
