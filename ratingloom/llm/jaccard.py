@@ -10,8 +10,8 @@ Frequencies are counted over all rows into a table of fixed size (shingles are h
 into it). Any fixed order gives exact results; the frequencies only make it selective.
 
 Equal sets are one node from the start. Inside a shared prefix shingle no all-pairs list
-is made: pivots are compared with the members outside their component, twice as many
-pivots each round, until the members left are in one component. A pivot has met every
+is made: pivots are compared with the members outside their component, more pivots each
+round, until the members left are in one component. A pivot has met every
 member and leaves. Links inside one component are not looked for: they can not change it.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ FREQUENCY_BITS = 18
 SUFFIX_RANGES = 64
 #: Orders from which pivots are taken: members of a group meet about so many of them at first.
 PIVOT_ORDERS = 8
+#: How many times more pivots each round takes.
+WIDER = 4
 
 
 @dataclass(frozen=True)
@@ -285,23 +288,25 @@ def similar_sets(docs: DataFrame, rule: Jaccard) -> tuple[StagedTable, StagedTab
     frequencies.destroy()
     active = _open(postings.df, None)
     postings.drop()
-    links = stage(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
-    labels = components(links.df)
+    links: list[StagedTable] = []
+    labels = stage(docs.sparkSession.createDataFrame([], "node long, component long"), "components")
     width = 1
     while active.df.limit(1).count():
         pivots = _pivots(active.df, width)
         pairs = _candidates(active.df, pivots.df, rule)
         found = _verified(docs, pairs.df, classes.df, rule)
-        more = stage(links.df.unionByName(found.df.select("a", "b")), "links")
-        met = stage(active.df.join(pivots.df.withColumnRenamed("pivot", "node").select("key", "node"),
-                                   ["key", "node"], "left_anti"), "met")
-        for table in (pairs, found, pivots, links, labels, active):
+        links.append(found)
+        if found.df.limit(1).count():
+            labels.drop()
+            labels = components(reduce(DataFrame.unionByName, [table.df.select("a", "b") for table in links]))
+        met = active.df.join(pivots.df.withColumnRenamed("pivot", "node").select("key", "node"),
+                             ["key", "node"], "left_anti")
+        following = _open(met, labels.df)
+        for table in (pairs, pivots, active):
             table.drop()
-        links, labels = more, components(more.df)
-        active = _open(met.df, labels.df)
-        met.drop()
-        width *= 2
-    for table in (active, links):
+        active = following
+        width *= WIDER
+    for table in (active, *links):
         table.drop()
     return sets, classes, labels
 
