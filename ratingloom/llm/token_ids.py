@@ -9,11 +9,12 @@ emptied when it holds ``MEMORY`` pieces, so it stays bounded; ids do not depend
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 
-MEMORY = 500_000
+MEMORY = 800_000
+#: New pieces that are handed to the tokenizer as one text.
+JOINED = 1000
 _UNEVEN = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, "Encoder"] = {}
@@ -44,6 +45,10 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        # In a byte-level vocabulary every character of an entry stands for one byte.
+        self.sizes = np.zeros(self.vocabulary, np.int64)
+        for entry, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.sizes[number] = len(entry)
         self._forget()
 
     @property
@@ -62,21 +67,49 @@ class Encoder:
         fresh, self.slots.fresh = self.slots.fresh, []
         if not fresh:
             return
-        # A first piece of a text is kept as a one-tuple, any other one without its blank.
-        texts = [piece[0] if type(piece) is tuple else " " + piece for piece in fresh]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, known = int(lengths.sum()), len(self.slots) - len(fresh)
+        ids, lengths = self._encode_pieces(fresh)
+        total, known = len(ids), len(self.slots) - len(fresh)
         while self.filled + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while len(self.slots) > len(self.begins):
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.pool[self.filled: self.filled + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.lengths[known: known + len(ids)] = lengths
-        self.begins[known: known + len(ids)] = self.filled + np.cumsum(lengths) - lengths
+        self.pool[self.filled: self.filled + total] = ids
+        self.lengths[known: known + len(fresh)] = lengths
+        self.begins[known: known + len(fresh)] = self.filled + np.cumsum(lengths) - lengths
         self.filled += total
 
+    def _encode_pieces(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has.
+
+        A first piece of a text is kept as a one-tuple, any other one without its blank. Pieces with
+        blanks on either side of them may follow each other in one text; the bytes of the ids then
+        tell where a piece ends.
+        """
+        alone = [k for k, piece in enumerate(pieces)
+                 if type(piece) is tuple or not piece or piece[0].isspace() or piece[-1].isspace()]
+        apart = set(alone)
+        joined = [piece for k, piece in enumerate(pieces) if k not in apart]
+        groups = [joined[k: k + JOINED] for k in range(0, len(joined), JOINED)]
+        texts = [pieces[k][0] if type(pieces[k]) is tuple else " " + pieces[k] for k in alone]
+        texts += [" " + " ".join(group) for group in groups]
+        encoded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.zeros(len(pieces), np.int64)
+        lengths[alone] = [len(ids) for ids in encoded[: len(alone)]]
+        counts = []
+        for group, ids in zip(groups, encoded[len(alone):]):
+            ends = np.cumsum([len(piece.encode()) + 1 for piece in group])
+            last = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+            counts.append(np.diff(last, prepend=0))
+        together = np.ones(len(pieces), dtype=bool)
+        together[alone] = False
+        lengths[together] = np.concatenate(counts) if counts else []
+        ids = np.zeros(int(lengths.sum()), np.uint32)
+        of_joined = np.repeat(together, lengths)
+        ids[~of_joined] = np.concatenate([np.zeros(0, np.uint32), *encoded[: len(alone)]])
+        ids[of_joined] = np.concatenate([np.zeros(0, np.uint32), *encoded[len(alone):]])
+        return ids, lengths
+
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end`` if given, and where each text begins (one more)."""
         if len(self.slots) > MEMORY:
