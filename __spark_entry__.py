@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracles  # noqa: E402
-from ratingloom import Engine, RunConfig, fit, fixtures, read_ratings, read_run_configs, read_targets  # noqa: E402
+from ratingloom import Engine, FactorModel, RunConfig, fit, fixtures, read_ratings, read_run_configs, read_targets  # noqa: E402
 from ratingloom.functions.half import array_to_half  # noqa: E402
 from ratingloom.operators import factors, gradients, metrics, ordering, profiles  # noqa: E402
 from ratingloom.plans import batch_gd, grid, local_sgd, strata  # noqa: E402
@@ -65,6 +65,13 @@ def scan_coo_text(spark, sf_dir):
     return read_ratings(spark, path).ratings.withColumn("rating", F.col("rating").cast("double"))
 
 
+def scan_coo_text_one_based(spark, sf_dir):
+    records = fixtures.ratings(spark, sf_dir)
+    shifted = records.withColumns({"user_id": F.col("user_id") + 1, "item_id": F.col("item_id") + 1})
+    path = fixtures.write_coo_text(shifted, _dims(records), _scratch(spark, "coo") + ".txt", files=4)
+    return read_ratings(spark, path, id_base=1).ratings.withColumn("rating", F.col("rating").cast("double"))
+
+
 def scan_coo_binary(spark, sf_dir):
     records = fixtures.ratings(spark, sf_dir)
     path = fixtures.write_coo_binary(records, _dims(records), _scratch(spark, "coo") + ".bin", "narrow", 0, files=4)
@@ -100,6 +107,27 @@ def predict(spark, sf_dir):
     return scored.select("rec_id", F.round("prediction", 6).alias("prediction"))
 
 
+def predict_wide(spark, sf_dir):
+    """At the width of the published runs."""
+    records = fixtures.ratings(spark, sf_dir)
+    scored = factors.predict(records, _start(records, oracles.PUBLISHED_WIDTH))
+    return scored.select("rec_id", F.round("prediction", 6).alias("prediction"))
+
+
+def _skewed(records: DataFrame) -> DataFrame:
+    """Half of the records moved to one user, a third to one item; all records are kept."""
+    return records.withColumns({"user_id": F.when(F.col("rec_id") % 2 == 0, 0).otherwise(F.col("user_id")),
+                                "item_id": F.when(F.col("rec_id") % 3 == 0, 0).otherwise(F.col("item_id"))})
+
+
+def predict_skewed(spark, sf_dir):
+    """Hot ids are counted first and their joins salted."""
+    records = _skewed(fixtures.ratings(spark, sf_dir))
+    skew = factors.RatingSkew.staged(records, min_rows=oracles.HOT_ROWS)
+    scored = factors.predict(records, _start(records), skew)
+    return scored.select("rec_id", F.round("prediction", 6).alias("prediction"))
+
+
 def residuals(spark, sf_dir):
     records = fixtures.ratings(spark, sf_dir)
     scored = factors.predict(records, _start(records))
@@ -169,6 +197,17 @@ def gd_epoch_grid(spark, sf_dir):
     return _values(grid.grid_epoch(_cells(train, _dims(train)), _start(train), WIDTH, RATE, PENALTY))
 
 
+def gd_epoch_wide(spark, sf_dir):
+    width = oracles.PUBLISHED_WIDTH
+    train = fixtures.train(spark, sf_dir)
+    return _values(batch_gd.gd_epoch(train, _start(train, width), width, RATE, PENALTY))
+
+
+def gd_epoch_grid_skewed(spark, sf_dir):
+    train = _skewed(fixtures.train(spark, sf_dir))
+    return _values(grid.grid_epoch(_cells(train, _dims(train)), _start(train), WIDTH, RATE, PENALTY))
+
+
 def predict_grid(spark, sf_dir):
     records = fixtures.ratings(spark, sf_dir)
     scored = grid.grid_predict(_cells(records, _dims(records)), _start(records), WIDTH)
@@ -197,6 +236,31 @@ def gd_trace(spark, sf_dir):
                                 F.round("test_rmse", 6).alias("test_rmse"))
 
 
+def _trained(spark, sf_dir):
+    config = RunConfig(gd_mode=0, num_features=WIDTH, learning_rate=RATE, regularization_factor=PENALTY,
+                       max_num_iterations=2, precision=2)
+    return fit(fixtures.train(spark, sf_dir), None, config, Engine(init="mix"))
+
+
+def predict_trained(spark, sf_dir):
+    scored = _trained(spark, sf_dir).predict(fixtures.test(spark, sf_dir))
+    return scored.select("rec_id", F.round("prediction", 6).alias("prediction"))
+
+
+def model_round_trip(spark, sf_dir):
+    path = _scratch(spark, "model")
+    _trained(spark, sf_dir).save(path)
+    return _values(FactorModel.load(spark, path).state)
+
+
+def factor_text_round_trip(spark, sf_dir):
+    """The written lines of both tables, each with how often it occurs."""
+    model = FactorModel(_start(fixtures.ratings(spark, sf_dir)), RunConfig(num_features=WIDTH))
+    tables = [spark.read.text(path).select(F.lit(side).alias("side"), F.col("value").alias("line"))
+              for side, path in enumerate(model.export_text(_scratch(spark, "factors")))]
+    return tables[0].unionByName(tables[1]).groupBy("side", "line").agg(F.count("*").alias("times"))
+
+
 def epochs_to_target(spark, sf_dir):
     """Run every configuration of a folder on the training ratings and compare with the targets."""
     folder = _scratch(spark, "runs")
@@ -321,7 +385,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [scan_coo_text, scan_coo_binary, scan_coo_binary_wide, rebase_ids, init_factors, predict, residuals,
+    listed = [scan_coo_text_one_based, predict_wide, predict_skewed, gd_epoch_wide, gd_epoch_grid_skewed, predict_trained,
+              model_round_trip, factor_text_round_trip, scan_coo_text, scan_coo_binary, scan_coo_binary_wide, rebase_ids, init_factors, predict, residuals,
               quantize_half, export_factors, square_error_sum, train_rmse, test_rmse, user_gradients, item_gradients,
               gd_epoch, gd_epoch_grid, predict_grid,
               test_rmse_grid, minibatch_epoch, gd_trace, epochs_to_target, dims, dedupe_last, user_profiles,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 # Parameters shared by the queries and their SQL.
 WIDTH = 4
+PUBLISHED_WIDTH = 128
 SGD_WIDTH = 2
 RATE = 0.02
 SGD_RATE = 0.01
@@ -14,6 +15,7 @@ BLOCKS = 8
 RECORDS_PER_PART = 2000
 BATCHES = 3
 BATCH_SIZE = 1000
+HOT_ROWS = 1000
 RUN_RATES = {"slow": 0.01, "fast": 0.03}
 RUN_TARGETS = {"slow": 3.25, "fast": 3.25}
 
@@ -249,7 +251,7 @@ def _parallel(placed: str, *before: str) -> str:
 
 def statements() -> dict[str, str]:
     sql = {}
-    for scan in ("scan_coo_text", "scan_coo_binary", "scan_coo_binary_wide"):
+    for scan in ("scan_coo_text", "scan_coo_text_one_based", "scan_coo_binary", "scan_coo_binary_wide"):
         sql[scan] = _with() + "SELECT * FROM ratings"
     sql["check_ratings"] = _with() + """, size AS (
   SELECT max(user_id) + 1 AS num_users, max(item_id) + 1 AS num_items, count(*) AS num_records FROM train),
@@ -293,6 +295,22 @@ SELECT vec_id, CAST(k AS INT) AS k, CASE WHEN x = 0 THEN x ELSE round_even(x / q
     sql["gd_epoch"] = _with(trained, _descent(["train"], WIDTH, RATE)) + _exploded("state1", WIDTH)
     sql["gd_epoch_grid"] = sql["gd_epoch"]
     sql["predict_grid"] = sql["predict"]
+    wide = PUBLISHED_WIDTH
+    sql["predict_wide"] = _with(_initial("ratings", wide), _scored("ratings", "state", wide, "scored")) + (
+        "SELECT rec_id, round(prediction, 6) AS prediction FROM scored")
+    sql["gd_epoch_wide"] = _with(_initial("train", wide), _descent(["train"], wide, RATE)) + _exploded("state1", wide)
+    skewed = ("skewed AS (SELECT rec_id, rating, CASE WHEN rec_id % 2 = 0 THEN 0 ELSE user_id END AS user_id,\n"
+              "  CASE WHEN rec_id % 3 = 0 THEN 0 ELSE item_id END AS item_id FROM {})")
+    sql["predict_skewed"] = _with(skewed.format("ratings"), _initial("skewed", WIDTH),
+                                  _scored("skewed", "state", WIDTH, "scored")) + (
+        "SELECT rec_id, round(prediction, 6) AS prediction FROM scored")
+    sql["gd_epoch_grid_skewed"] = _with(skewed.format("train"), _initial("skewed", WIDTH),
+                                        _descent(["skewed"], WIDTH, RATE)) + _exploded("state1", WIDTH)
+    sql["predict_trained"] = _with(trained, _descent(["train"] * 2, WIDTH, RATE),
+                                   _scored("test", "state2", WIDTH, "scored")) + (
+        "SELECT rec_id, round(prediction, 6) AS prediction FROM scored")
+    sql["model_round_trip"] = _with(trained, _descent(["train"] * 2, WIDTH, RATE)) + _exploded("state2", WIDTH)
+    sql["factor_text_round_trip"] = f"SELECT side, line, count(*) AS times FROM ({sql['export_factors']}) GROUP BY ALL"
     sql["test_rmse_grid"] = sql["test_rmse"]
     batches = [f"positioned AS (SELECT *, row_number() OVER (ORDER BY {_order('rec_id')}) - 1 AS pos FROM train)"]
     for n in range(BATCHES):
