@@ -61,26 +61,30 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 def scan_coo_text(spark, sf_dir):
     records = fixtures.ratings(spark, sf_dir)
-    path = fixtures.write_coo_text(records, _dims(records), _scratch(spark, "coo") + ".txt", files=4)
+    size = _dims(records)
+    path = fixtures.write_coo_text(records, size, _scratch(spark, "coo") + ".txt", files=fixtures.file_count(size.num_records))
     return read_ratings(spark, path).ratings.withColumn("rating", F.col("rating").cast("double"))
 
 
 def scan_coo_text_one_based(spark, sf_dir):
     records = fixtures.ratings(spark, sf_dir)
     shifted = records.withColumns({"user_id": F.col("user_id") + 1, "item_id": F.col("item_id") + 1})
-    path = fixtures.write_coo_text(shifted, _dims(records), _scratch(spark, "coo") + ".txt", files=4)
+    size = _dims(records)
+    path = fixtures.write_coo_text(shifted, size, _scratch(spark, "coo") + ".txt", files=fixtures.file_count(size.num_records))
     return read_ratings(spark, path, id_base=1).ratings.withColumn("rating", F.col("rating").cast("double"))
 
 
 def scan_coo_binary(spark, sf_dir):
     records = fixtures.ratings(spark, sf_dir)
-    path = fixtures.write_coo_binary(records, _dims(records), _scratch(spark, "coo") + ".bin", "narrow", 0, files=4)
+    size = _dims(records)
+    path = fixtures.write_coo_binary(records, size, _scratch(spark, "coo") + ".bin", "narrow", 0, files=fixtures.file_count(size.num_records))
     return read_ratings(spark, path).ratings.withColumn("rating", F.col("rating").cast("double"))
 
 
 def scan_coo_binary_wide(spark, sf_dir):
     records = fixtures.ratings(spark, sf_dir)
-    path = fixtures.write_coo_binary(records, _dims(records), _scratch(spark, "coo") + ".bin", "wide", 1, files=4)
+    size = _dims(records)
+    path = fixtures.write_coo_binary(records, size, _scratch(spark, "coo") + ".bin", "wide", 1, files=fixtures.file_count(size.num_records))
     ratings = read_ratings(spark, path, layout="wide").ratings
     return ratings.withColumn("rating", F.col("rating").cast("double"))
 

@@ -57,11 +57,16 @@ def write_coo_text(records: DataFrame, dims, path: str, files: int = 1) -> str:
     return path
 
 
+def file_count(num_records: int) -> int:
+    """Files for a written table: four, or one a million records."""
+    return max(4, -(-num_records // 1_000_000))
+
+
 def write_coo_binary(records: DataFrame, dims, path: str, layout: str, id_base: int, files: int = 1) -> str:
     """Write ``records`` in ``rec_id`` order as coordinate binary files, one task per file."""
     import numpy as np
     import pyarrow as pa
-    from pyarrow import fs
+    from ratingloom.sources.coo_binary import open_path
 
     header_type = {"narrow": "<u4,<u4,<u4", "wide": "<u4,<u4,<u8"}[layout]
     sizes = (int(dims.num_users), int(dims.num_items))
@@ -80,9 +85,9 @@ def write_coo_binary(records: DataFrame, dims, path: str, layout: str, id_base:
         body["f1"] = table.column("item_id").to_numpy() + id_base
         body["f2"] = table.column("rating").to_numpy()
         head = np.array([(*sizes, table.num_rows)], dtype=header_type)
-        system = fs.LocalFileSystem()
-        system.create_dir(path)
-        with system.open_output_stream(f"{path}/part-{table.column('file')[0].as_py():05d}.bin") as out:
+        system, folder = open_path(path)
+        system.create_dir(folder)
+        with system.open_output_stream(f"{folder}/part-{table.column('file')[0].as_py():05d}.bin") as out:
             out.write(head.tobytes() + body.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int64())], names=["n"])
 

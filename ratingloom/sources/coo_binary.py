@@ -32,7 +32,7 @@ class ByteRange(InputPartition):
         self.header = header
 
 
-def _open(path: str):
+def open_path(path: str):
     """File system and plain path for a URI or a local path; works on every executor."""
     from pyarrow import fs
     if "://" in path or path.startswith("file:"):
@@ -42,7 +42,7 @@ def _open(path: str):
 
 def _files(path: str) -> list[str]:
     from pyarrow import fs
-    system, plain = _open(path)
+    system, plain = open_path(path)
     info = system.get_file_info(plain)
     if info.type == fs.FileType.Directory:
         found = system.get_file_info(fs.FileSelector(plain))
@@ -66,7 +66,7 @@ class CooBinaryReader(DataSourceReader):
 
     def _header(self, path: str) -> tuple[int, int, int]:
         import numpy as np
-        system, plain = _open(path)
+        system, plain = open_path(path)
         size = HEADER_BYTES[self.layout]
         with system.open_input_file(plain) as file:
             raw = file.read(size)
@@ -99,7 +99,7 @@ class CooBinaryReader(DataSourceReader):
                 [pa.array([partition.path]), pa.array([users], pa.int64()), pa.array([items], pa.int64()),
                  pa.array([records], pa.int64())], names=["file", "num_users", "num_items", "num_records"])
             return
-        system, plain = _open(partition.path)
+        system, plain = open_path(partition.path)
         if partition.count == 0:
             return
         with system.open_input_file(plain) as file:
