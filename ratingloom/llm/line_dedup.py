@@ -158,8 +158,9 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), doc_id: str = "doc
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(totals, pa.int64()),
                                            pa.array(removed, pa.int64())], ["text", "n_lines", "n_removed"])
 
+    # The same plan at every size: both sides grow with the documents.
     joined = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("__line_key")).join(
-        covered_lines, F.col("__line_key") == F.col("__line_row"), "left")
+        covered_lines.hint("merge"), F.col("__line_key") == F.col("__line_row"), "left")
     done = joined.withColumn("__cut", cut(text_column(text), F.col("__lines")))
     return done.select(
         *[F.when(F.col(f"`{text}`").isNotNull(), F.col("__cut.text")).alias(text) if c == text else F.col(f"`{c}`")
