@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.llm.bitmap import key_bitmap, may_contain
+from ratingloom.llm.bitmap import bit_of, bitmap_column, key_bitmap, may_contain
 from ratingloom.llm.components import components
 from ratingloom.llm.tables import documents, slices
 from ratingloom.llm.text_keys import mix, shingle_sets
@@ -226,8 +226,9 @@ def _whole_sets(docs: DataFrame, pairs: DataFrame, rule: Jaccard) -> StagedTable
                     "n": pa.array([len(s) for s in built], pa.int64()),
                     "shingles": pa.array([s.astype("<u8").tobytes() for s in built], pa.binary())})
 
-    # Few documents are left to look at; their ids are broadcast by Spark if their table is small.
-    texts = docs.join(chosen.df.select("doc_id"), "doc_id", "left_semi")
+    # A bitmap of fixed size keeps most other texts out of the shuffle.
+    bitmap = bitmap_column(chosen.df.select(F.xxhash64("doc_id").alias("h")), "h")
+    texts = docs.where(bit_of(bitmap, F.xxhash64("doc_id"))).join(chosen.df.select("doc_id"), "doc_id", "left_semi")
     found = texts.mapInArrow(run, "node long, n long, shingles binary")
     # Rows that share an id may hold different texts, or the same text again.
     built = stage(found.join(chosen.df.select("node"), "node", "left_semi"), "whole")
