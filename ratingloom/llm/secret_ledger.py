@@ -145,8 +145,10 @@ class BlobLedger:
         holders = versions.select("blob", place.alias("place")).groupBy("blob").agg(F.min("place").alias("place"))
         unseen = stage(holders.join(self.scanned(rules), "blob", "left_anti"), "unseen")
         texts = hashed.withColumn("place", place).join(unseen.df.hint("shuffle_hash"), ["place", "blob"], "left_semi")
-        found = texts.select("blob", find_secrets(F.col("text"), rules.rules).alias("spans")).where(F.size("spans") > 0)
-        found.dropDuplicates(["blob"]).write.mode("append").parquet(f"{self.path}/findings/rules={rules.version}")
+        found = texts.select("blob", find_secrets(F.col("text"), rules.rules).alias("spans"))
+        # Blobs without a finding are left out after the grouping: a filter before it would be
+        # pushed below the join, and known blobs would be scanned as well.
+        found.dropDuplicates(["blob"]).where(F.size("spans") > 0).write.mode("append").parquet(f"{self.path}/findings/rules={rules.version}")
         unseen.df.select("blob").write.mode("append").parquet(f"{self.path}/scanned/rules={rules.version}")
         unseen.drop()
         # A scan that was interrupted may have written some findings twice.
