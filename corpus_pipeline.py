@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.llm.decontaminate import contaminated
 from ratingloom.llm.jaccard import near_duplicates
-from ratingloom.llm.line_dedup import dedup_lines
+from ratingloom.llm.line_dedup import WHOLE, dedup_lines
 from ratingloom.llm.packing import pack_documents
 from ratingloom.llm.quality_model import THRESHOLD, fit_quality, quality_score
 from ratingloom.llm.token_ids import tokenizer_path
@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut lines of repeated three-line windows; a document of which no line is left goes."""
-    cut = dedup_lines(docs).where("n_lines = 0 or n_removed_lines < n_lines")
+    cut = dedup_lines(docs, WHOLE).where("n_lines = 0 or n_removed_lines < n_lines")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(
             F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -32,12 +32,16 @@ _UNSTEP = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 @dataclass(frozen=True)
 class LineRule:
-    """Lines in a window, and the words that a window needs to count (shorter ones repeat by chance)."""
+    """Lines in a window, and the words that a window needs to count (0: all count; short ones repeat by chance, too)."""
 
     lines: int = 3
     words: int = 10
 
 
+#: Every window counts, however short: the rule of the query and of the pipeline.
+WHOLE = LineRule(words=0)
+
+
 @dataclass
 class Lines:
     """Lines of several texts: keys, byte starts, word counts, and each text's first line (one more)."""

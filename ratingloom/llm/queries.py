@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ratingloom.llm.decontaminate import contaminated
 from ratingloom.llm.jaccard import near_duplicates
 from ratingloom.llm.license_rules import scan_licenses
-from ratingloom.llm.line_dedup import dedup_lines
+from ratingloom.llm.line_dedup import WHOLE, dedup_lines
 from ratingloom.llm.packing import pack_documents
 from ratingloom.llm.quality_model import THRESHOLD, fit_quality, held_out, quality_score
 from ratingloom.llm.quality_rules import quality_rules
@@ -38,7 +38,7 @@ def op1_secret_ledger(spark, sf_dir):
 
 
 def op2_line_windows(spark, sf_dir):
-    return dedup_lines(_documents(spark, sf_dir))
+    return dedup_lines(_documents(spark, sf_dir), WHOLE)
 
 
 def op3_token_store(spark, sf_dir):
