@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -94,12 +95,21 @@ class SeedIndex:
         return np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
 
 
-def best_overlap(equal: np.ndarray) -> tuple[int, int]:
-    """First and last (end exclusive) place of the stretch with the most equal words less unequal ones."""
-    totals = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
+def best_overlap(equal: np.ndarray, min_share: float) -> tuple[int, int]:
+    """First and last (end exclusive) place of the stretch with the most equal words whose share is ``min_share``."""
+    # A stretch has the share if and only if these weights sum to 0 or more; whole numbers, so nothing is rounded.
+    share = Fraction(min_share).limit_denominator(1_000_000)
+    gain, loss = share.denominator - share.numerator, -share.numerator
+    totals = np.concatenate([[0], np.cumsum(np.where(equal, gain, loss), dtype=np.int64)])
+    same = np.concatenate([[0], np.cumsum(equal, dtype=np.int64)])
+    # The longest stretch to an end has the most equal words of it: from the first place whose total is not above the end's.
     lows = np.minimum.accumulate(totals)
-    high = int(np.argmax(totals - lows))
-    return int(np.argmin(totals[: high + 1])), high
+    first = np.searchsorted(-lows, -totals, side="left")
+    high = int(np.argmax(same - same[first]))
+    low = int(first[high])
+    # Unequal words at the edges add nothing.
+    inside = np.flatnonzero(equal[low:high])
+    return (low + int(inside[0]), low + int(inside[-1]) + 1) if len(inside) else (0, 0)
 
 
 def overlaps(keys: np.ndarray, firsts: np.ndarray, index: SeedIndex, rule: OverlapRule) -> list[tuple]:
@@ -113,9 +123,9 @@ def overlaps(keys: np.ndarray, firsts: np.ndarray, index: SeedIndex, rule: Overl
             low, high = max(shift, int(firsts[text])), min(shift + len(wanted), int(firsts[text + 1]))
             if high - low >= rule.min_equal:
                 equal = keys[low:high] == wanted[low - shift: high - shift]
-                a, b = best_overlap(equal)
+                a, b = best_overlap(equal, rule.min_share)
                 same = int(equal[a:b].sum())
-                if same >= rule.min_equal and same >= rule.min_share * (b - a):
+                if same >= rule.min_equal:
                     row = (text, item, low + a - int(firsts[text]), low + a - shift, b - a, same)
                     if (text, item) not in best or best[text, item][5] < same:
                         best[text, item] = row
