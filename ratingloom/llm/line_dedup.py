@@ -5,6 +5,11 @@ lines are compared by their words, so that blanks and the wrapping of a paragrap
 matter. Every three consecutive lines of a document are hashed. A window that occurs again,
 in the same or another document, is removed wherever it occurs later: the lines that removed
 windows cover are cut, overlapping windows being merged.
+
+With ``LineRule.span`` long lines are cut further, into pieces, at places that depend on the
+words within ``span`` of them alone, so that a passage is found inside lines that differ
+around it. Runs of three or more pieces and ten or more words are windows, too; a window of
+three whole lines still is one, whatever its length.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.llm.bitmap import key_bitmap, may_contain
 from ratingloom.llm.tables import slices, text_column
-from ratingloom.llm.text_keys import BLANKS, utf8, windows, words
+from ratingloom.llm.text_keys import BLANKS, mix, utf8, windows, words
 from ratingloom.session import stage
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -36,23 +41,56 @@ class LineRule:
 
     lines: int = 3
     words: int = 10
+    #: Longest piece of a line in words; 0 leaves lines whole.
+    span: int = 0
+    #: Words of a window that begins, ends or is cut inside a line.
+    piece_words: int = 10
 
 
-#: Every window counts, however short: the rule of the query and of the pipeline.
-WHOLE = LineRule(words=0)
+#: Every window counts, however short, and long lines are cut: the rule of the query and of the pipeline.
+#: Any run of 6 * span - 1 = 47 words or more holds a window, wherever it stands.
+WHOLE = LineRule(words=0, span=8)
 
 
 @dataclass
 class Lines:
-    """Lines of several texts: keys, byte starts, word counts, and each text's first line (one more)."""
+    """Lines of several texts: keys, byte starts, word counts, and each text's first line (one more).
+
+    With a span these are pieces of lines; ``whole`` tells which begin a line, ``sums`` are running
+    sums of the words' keys by which any run of pieces has a key.
+    """
 
     keys: np.ndarray
     starts: np.ndarray
     words: np.ndarray
     firsts: np.ndarray
-
-
-def lines_of(texts: pa.Array) -> Lines:
+    whole: np.ndarray | None = None
+    sums: np.ndarray | None = None
+    inverse: np.ndarray | None = None
+
+
+def _pieces(keys: np.ndarray, new: np.ndarray, span: int) -> np.ndarray:
+    """Which words begin a piece: those after the least word, the last of equals, of any ``span`` words of a line."""
+    rank = (keys >> np.uint64(32)).astype(np.uint32)
+    line = np.cumsum(new, dtype=np.int32)
+    count = len(keys)
+    reach = np.ones(count, np.uint8)
+    after, before = np.ones(count, bool), np.ones(count, bool)
+    for k in range(1, min(span, count)):
+        same = line[k:] == line[:-k]
+        less = rank[:-k] < rank[k:]
+        after[:-k] &= same & less
+        after[count - k:] = False
+        before[k:] &= same & ~less
+        before[:k] = False
+        reach += after
+        reach += before
+    begins = new.copy()
+    begins[1:] |= (reach >= span)[:-1]
+    return begins
+
+
+def lines_of(texts: pa.Array, span: int = 0) -> Lines:
     """Find the lines of whole texts; ``starts`` count from the first byte of the first text."""
     data, offsets = utf8(texts)
     found = words(texts, lower=False)
@@ -68,32 +106,61 @@ def lines_of(texts: pa.Array) -> Lines:
     new = np.ones(count, dtype=bool)
     new[1:] = _STOP[data[ends[:-1]]] | (breaks[found.starts[1:]] > breaks[found.starts[:-1]])
     new[found.firsts[:-1][found.counts > 0]] = True
-    begins = np.flatnonzero(new)
+    pieces = _pieces(found.keys, new, span) if span else new
+    begins = np.flatnonzero(pieces)
     powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(count, _STEP)]))
     inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(count, _UNSTEP)]))
-    keys = np.add.reduceat(found.keys * powers[:count], begins) * inverse[begins]
-    return Lines(keys, found.starts[begins], np.diff(np.append(begins, count)),
-                 np.searchsorted(begins, found.firsts))
+    values = found.keys * powers[:count]
+    keys = np.add.reduceat(values, begins) * inverse[begins]
+    lines = Lines(keys, found.starts[begins], np.diff(np.append(begins, count)),
+                  np.searchsorted(begins, found.firsts))
+    if span:
+        lines.whole = new[begins]
+        lines.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])[np.append(begins, count)]
+        lines.inverse = inverse[begins]
+    return lines
 
 
 def _line_windows(lines: Lines, rule: LineRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the windows that count, the text of each, and its first line inside that text."""
-    keys = windows(lines.keys, rule.lines)
-    if len(keys) == 0:
-        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.arange(len(keys))
-    text = np.searchsorted(lines.firsts, at, side="right") - 1
-    sums = np.concatenate([[0], np.cumsum(lines.words)])
-    keep = (at + rule.lines <= lines.firsts[text + 1]) & (sums[at + rule.lines] - sums[at] >= rule.words)
-    return keys[keep], text[keep], (at - lines.firsts[text])[keep]
+    """Keys of the windows that count, the text of each, and ``first line << 32 | end`` inside that text."""
+    none = np.zeros(0, np.int64)
+    if len(lines.keys) == 0:
+        return lines.keys, none, none
+    words_before = np.concatenate([[0], np.cumsum(lines.words)])
+    # Whole lines: the places of their first pieces.
+    begins = np.arange(len(lines.keys)) if lines.whole is None else np.flatnonzero(lines.whole)
+    edges = np.append(begins, len(lines.keys))
+    whole_keys = lines.keys
+    if lines.whole is not None:
+        whole_keys = (lines.sums[edges[1:]] - lines.sums[begins]) * lines.inverse[begins]
+    keys = windows(whole_keys, rule.lines)
+    low, high = begins[: len(keys)], edges[rule.lines: rule.lines + len(keys)]
+    keep = words_before[high] - words_before[low] >= rule.words
+    keys, low, high = keys[keep], low[keep], high[keep]
+    if lines.whole is not None:
+        first = np.arange(len(lines.keys))
+        end = np.searchsorted(words_before, words_before[:-1] + rule.piece_words, side="left")
+        end = np.maximum(end, first + rule.lines)
+        first, end = first[end <= len(lines.keys)], end[end <= len(lines.keys)]
+        # Runs without a cut inside a line are windows of whole lines already.
+        inner = np.concatenate([[0], np.cumsum(~lines.whole), [0]])
+        inner[-1] = inner[-2]
+        cut = inner[end + 1] > inner[first]
+        first, end = first[cut], end[cut]
+        runs = mix((lines.sums[end] - lines.sums[first]) * lines.inverse[first])
+        keys, low, high = np.concatenate([keys, runs]), np.concatenate([low, first]), np.concatenate([high, end])
+    text = np.searchsorted(lines.firsts, low, side="right") - 1
+    keep = high <= lines.firsts[text + 1]
+    keys, low, high, text = keys[keep], low[keep], high[keep], text[keep]
+    return keys, text, (low - lines.firsts[text]) << 32 | (high - lines.firsts[text])
 
 
 def _windows(rows: DataFrame, rule: LineRule, wanted=None) -> DataFrame:
-    """``(window, doc_id, row, line)``, or ``window`` alone where no bitmap of wanted ones is given."""
+    """``(window, doc_id, row, line)``, ``line`` being first line and end, or ``window`` alone where no bitmap of wanted ones is given."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
-                keys, text, line = _line_windows(lines_of(part.column("text")), rule)
+                keys, text, line = _line_windows(lines_of(part.column("text"), rule.span), rule)
                 if wanted is None:
                     yield pa.record_batch({"window": pa.array(keys.view(np.int64))})
                     continue
@@ -108,13 +175,13 @@ def _windows(rows: DataFrame, rule: LineRule, wanted=None) -> DataFrame:
 def _cut(texts: pa.Array, covered: pa.Array, rule: LineRule) -> tuple[list[str], list[int], list[int]]:
     """Texts without their covered lines, and their lines in all and removed."""
     data, offsets = utf8(texts)
-    lines = lines_of(texts)
+    lines = lines_of(texts, rule.span)
     kept, totals, removed = [], [], []
-    for n, first_lines in enumerate(covered.to_pylist()):
+    for n, spans in enumerate(covered.to_pylist()):
         low, high = lines.firsts[n], lines.firsts[n + 1]
         gone = np.zeros(high - low, dtype=bool)
-        for k in range(rule.lines):
-            gone[np.array(first_lines or [], np.int64) + k] = True
+        for span in spans or []:
+            gone[span >> 32: span & 0xFFFFFFFF] = True
         text = data[offsets[n]: offsets[n + 1]]
         if gone.any():
             starts = np.append(lines.starts[low:high], offsets[n + 1]) - offsets[n]
@@ -135,7 +202,7 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), doc_id: str = "doc
     ``rule.words`` do not count. Rows with the same id and text are one document and are cut
     alike. Null ids come before others. A text that loses nothing is returned byte for byte, a
     null text as null; texts with fewer lines than a window lose nothing, texts of any length
-    are read whole. An empty table gives an empty table.
+    are read whole. With ``rule.span`` the counts are of pieces of lines. An empty table gives an empty table.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     key = F.xxhash64(F.col(f"`{doc_id}`").cast("long"), text_column(text))
