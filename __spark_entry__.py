@@ -331,7 +331,7 @@ def batch_sizes(spark, sf_dir):
 def _stratified(spark, sf_dir, rule, rate, precision="double", batch_size=1):
     train = fixtures.train(spark, sf_dir)
     ordered = ordering.shuffled_positions(train, "rec_id", SEED)
-    ratings = strata.BlockedRatings.of(ordered, BLOCKS, precision)
+    ratings = strata.BlockedRatings.of(ordered, BLOCKS, precision, split_hot=False)
     state = _start(train, oracles.SGD_WIDTH, precision, accumulators=rule == "adagrad")
     return strata.stratified_epoch(ratings, state, rule, oracles.SGD_WIDTH, rate, PENALTY, precision, batch_size).df
 
@@ -377,7 +377,7 @@ def train_trace(spark, sf_dir):
     config = RunConfig(gd_mode=2, num_features=oracles.SGD_WIDTH, learning_rate=ADAPTIVE_RATE,
                        regularization_factor=PENALTY, max_num_iterations=2, precision=2,
                        show_train_rmse=1, show_test_rmse=1)
-    engine = Engine(seed=SEED, shuffle="mix", init="mix", blocks=BLOCKS)
+    engine = Engine(seed=SEED, shuffle="mix", init="mix", blocks=BLOCKS, split_hot=False)
     model = fit(fixtures.train(spark, sf_dir), fixtures.test(spark, sf_dir), config, engine)
     return model.metrics.select("iter", F.round("train_rmse", 6).alias("train_rmse"),
                                 F.round("test_rmse", 6).alias("test_rmse"))
