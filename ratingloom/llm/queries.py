@@ -11,6 +11,7 @@ from ratingloom.llm.jaccard import near_duplicates
 from ratingloom.llm.license_rules import scan_licenses
 from ratingloom.llm.line_dedup import WHOLE, dedup_lines
 from ratingloom.llm.packing import pack_documents
+from ratingloom.llm.piece_chunks import encode_pieces, model_path
 from ratingloom.llm.quality_model import THRESHOLD, fit_quality, held_out, quality_score
 from ratingloom.llm.quality_rules import quality_rules
 from ratingloom.llm.secret_ledger import BASE_RULES, BlobLedger, span_text
@@ -92,6 +93,13 @@ def op10_token_rollups(spark, sf_dir):
     return rollups.totals()
 
 
+def op12_piece_chunks(spark, sf_dir):
+    encoded = encode_pieces(_documents(spark, sf_dir), model_path())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP10_SQL = r"""
 WITH copies AS (
   SELECT doc_id FROM documents
@@ -110,7 +118,8 @@ FROM counts GROUP BY ALL
 
 def queries():
     listed = [op1_secret_ledger, op2_line_windows, op3_token_store, op4_ngram_ratio, op5_license_rules,
-              op6_best_fit_packing, op7_ngram_jaccard, op8_spaced_seeds, op9_compression_quality, op10_token_rollups]
+              op6_best_fit_packing, op7_ngram_jaccard, op8_spaced_seeds, op9_compression_quality, op10_token_rollups,
+              op12_piece_chunks]
     return {query.__name__: query for query in listed}
 
 
