@@ -18,6 +18,8 @@ from ratingloom.llm.secret_ledger import BASE_RULES, BlobLedger, span_text
 from ratingloom.llm.token_ids import tokenizer_path
 from ratingloom.llm.token_rollups import TokenRollups, blank_words, counted, word_marks
 from ratingloom.llm.token_store import read_documents, write_tokens
+from ratingloom.llm.turn_repair import damaged, repair
+from ratingloom.llm.whitening import whiten
 from ratingloom.session import shared_root
 
 
@@ -93,6 +95,10 @@ def op10_token_rollups(spark, sf_dir):
     return rollups.totals()
 
 
+def op11_exact_whitening(spark, sf_dir):
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_piece_chunks(spark, sf_dir):
     encoded = encode_pieces(_documents(spark, sf_dir), model_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -100,6 +106,10 @@ def op12_piece_chunks(spark, sf_dir):
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_turn_repair(spark, sf_dir):
+    return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))).summary()
+
+
 OP10_SQL = r"""
 WITH copies AS (
   SELECT doc_id FROM documents
@@ -119,7 +129,7 @@ FROM counts GROUP BY ALL
 def queries():
     listed = [op1_secret_ledger, op2_line_windows, op3_token_store, op4_ngram_ratio, op5_license_rules,
               op6_best_fit_packing, op7_ngram_jaccard, op8_spaced_seeds, op9_compression_quality, op10_token_rollups,
-              op12_piece_chunks]
+              op11_exact_whitening, op12_piece_chunks, op13_turn_repair]
     return {query.__name__: query for query in listed}
 
 
