@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.llm.tables import documents, slices
-from ratingloom.session import stage
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Text bytes of the whole table that one bucket of chunks stands for.
 BUCKET_BYTES = 16 << 20
 MARKER = "▁"
@@ -138,19 +137,22 @@ def string_hashes(strings: pa.LargeStringArray) -> np.ndarray:
 
 @dataclass
 class _Blocks:
-    """Cuts Arrow batches into blocks: one row of places and one row a bucket of its chunks."""
+    """Cuts Arrow batches into blocks: their places, one row each, or their chunks, one row a bucket."""
 
     buckets: int
+    block_bytes: int
+    places: bool
 
-    schema = "block long, bucket int, doc_ids array<long>, counts binary, payload binary, kind int"
+    places_schema = "block long, bucket int, mark long, doc_ids array<long>, counts binary, payload binary"
+    chunks_schema = "block long, bucket int, mark long, payload binary"
 
     def __call__(self, batches):
         number = TaskContext.get().partitionId() << 32
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, limit=BLOCK_BYTES):
+            for part in slices(batch, limit=self.block_bytes):
                 part_size = int(pc.sum(pc.binary_length(part.column("text"))).as_py() or 0)
-                if held and size + part_size > BLOCK_BYTES:
+                if held and size + part_size > self.block_bytes:
                     yield self.block(number, held)
                     number, held, size = number + 1, [], 0
                 held.append(part)
@@ -164,21 +166,31 @@ class _Blocks:
         chunks, counts = cut_chunks(texts)
         coded = chunks.dictionary_encode()
         found = coded.dictionary
-        bucket = (string_hashes(found) % np.uint64(self.buckets)).astype(np.int64)
+        hashes = string_hashes(found)
+        mark = _mark(hashes, counts)
+        bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
         order = np.lexsort([pc.rank(found, tiebreaker="first").to_numpy() if len(found) else bucket, bucket])
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
+        if self.places:
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            return pa.record_batch({
+                "block": pa.array([number], pa.int64()), "bucket": pa.array([-1], pa.int32()),
+                "mark": pa.array([mark], pa.int64()),
+                "doc_ids": pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                "counts": pa.array([pack(counts)], pa.binary()),
+                "payload": pa.array([pack(rank[coded.indices.to_numpy()])], pa.binary())})
         found = found.take(pa.array(order))
         used, firsts = np.unique(bucket[order], return_index=True)
         lists = [pack_strings(found.slice(a, b - a)) for a, b in zip(firsts, np.append(firsts, len(found))[1:])]
-        rows, none = len(lists) + 1, [None] * len(lists)
         return pa.record_batch({
-            "block": pa.array([number] * rows, pa.int64()),
-            "bucket": pa.array([-1, *used.tolist()], pa.int32()),
-            "doc_ids": pa.array([table.column("doc_id").to_pylist(), *none], pa.list_(pa.int64())),
-            "counts": pa.array([pack(counts), *none], pa.binary()),
-            "payload": pa.array([pack(rank[coded.indices.to_numpy()]), *lists], pa.binary()),
-            "kind": pa.array([0] + [1] * len(lists), pa.int32())})
+            "block": pa.array([number] * len(lists), pa.int64()), "bucket": pa.array(used, pa.int32()),
+            "mark": pa.array([mark] * len(lists), pa.int64()), "payload": pa.array(lists, pa.binary())})
+
+
+def _mark(hashes: np.ndarray, counts: np.ndarray) -> int:
+    """Tells whether a block holds the same chunks on another read."""
+    import xxhash
+    return xxhash.xxh3_64_intdigest(hashes.tobytes() + counts.tobytes()) >> 1
 
 
 @dataclass
@@ -187,23 +199,23 @@ class _Segment:
 
     path: str
 
-    schema = "block long, bucket int, payload binary, counts binary"
+    schema = "block long, bucket int, mark long, payload binary, counts binary"
 
     def __call__(self, batches):
         current, rows = None, []
         for batch in batches:
-            for block, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "payload"))):
+            for block, bucket, mark, data in zip(*(column.to_pylist() for column in batch.columns)):
                 if bucket != current and rows:
                     yield self.bucket(current, rows)
                     rows = []
                 current = bucket
-                rows.append((block, data))
+                rows.append((block, mark, data))
         if rows:
             yield self.bucket(current, rows)
 
     def bucket(self, bucket: int, rows: list) -> pa.RecordBatch:
         model = processor(self.path)
-        lists = [unpack_strings(data) for _, data in rows]
+        lists = [unpack_strings(data) for _, _, data in rows]
         coded = pa.concat_arrays(lists).dictionary_encode()
         # The library puts the first marker there by itself.
         chunks = pc.utf8_slice_codeunits(coded.dictionary, 1)
@@ -224,8 +236,9 @@ class _Segment:
             counts.append(pack(lengths[at]))
             payloads.append(pack(ids[_spread(begins[at], lengths[at])]))
         return pa.record_batch({
-            "block": pa.array([block for block, _ in rows], pa.int64()),
+            "block": pa.array([block for block, _, _ in rows], pa.int64()),
             "bucket": pa.array([bucket] * len(rows), pa.int32()),
+            "mark": pa.array([mark for _, mark, _ in rows], pa.int64()),
             "payload": pa.array(payloads, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
@@ -260,11 +273,15 @@ class _Join:
     def __call__(self, group: pa.Table) -> pa.Table:
         group = group.sort_by("bucket")
         row = group.slice(0, 1).to_pylist()[0]
+        if row["bucket"] != -1 or set(group.column("mark").to_pylist()) != {row["mark"]}:
+            raise RuntimeError("the table gave other rows when it was read again; write it first")
         at, counts = unpack(row["payload"]), unpack(row["counts"]).astype(np.int64)
         found = group.slice(1)
         none = np.zeros(0, np.uint32)
         ids = np.concatenate([none, *map(unpack, found.column("payload").to_pylist())]).astype(np.int32)
         lengths = np.concatenate([none, *map(unpack, found.column("counts").to_pylist())]).astype(np.int64)
+        if len(at) and int(at.max()) >= len(lengths):
+            raise RuntimeError("ids of a block are missing")
         begins = np.cumsum(lengths) - lengths
         bounds = np.concatenate([[0], np.cumsum(counts)])
         texts, tables, first = piece_texts(self.path), [], 0
@@ -290,18 +307,23 @@ class _Join:
             "decoded": pc.utf8_slice_codeunits(decoded, 1).cast(pa.string())})
 
 
-def encode_pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
+                  block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, ids, decoded)``: each row's ids with the end id, and the text decoded from them.
 
     One row for each row of ``docs``, repeated and null ids included; a null text is empty and has
     the end id alone. Other columns are left out. Equals the library on whole texts.
+
+    ``docs`` is read twice, for its chunks and for their places, which saves a copy of the places;
+    files give the same rows in the same order each time. Blocks that differ raise an error, so
+    stage the result of a shuffle first.
     """
     check_model(path)
     texts = documents(docs, doc_id, text)
     total = texts.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
-    blocks = stage(texts.mapInArrow(_Blocks(max(1, -(-total // BUCKET_BYTES))), _Blocks.schema), "piece-blocks", ["kind"]).df
-    places = blocks.where("kind = 0").select("block", "bucket", "doc_ids", "counts", "payload")
-    chunks = blocks.where("kind = 1").select("block", "bucket", "payload")
+    cut = max(1, -(-total // bucket_bytes)), block_bytes
+    places = texts.mapInArrow(_Blocks(*cut, places=True), _Blocks.places_schema)
+    chunks = texts.mapInArrow(_Blocks(*cut, places=False), _Blocks.chunks_schema)
     found = (chunks.repartition("bucket").sortWithinPartitions("bucket", "block")
              .mapInArrow(_Segment(path), _Segment.schema))
     # A block's places and the ids of its buckets meet in one group, the places first.

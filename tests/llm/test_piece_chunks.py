@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from ratingloom.llm import piece_chunks, queries
@@ -22,9 +24,9 @@ def plain(text):
     return ids, model.decode(ids)
 
 
-def check(spark, rows):
+def check(spark, rows, **cut):
     df = spark.createDataFrame([(i, t, 7, "c") for i, t in rows], "doc_id long, text string, block int, payload string")
-    found = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in encode_pieces(df, model_path()).collect())
+    found = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in encode_pieces(df, model_path(), **cut).collect())
     assert found == Counter((i, tuple(plain(t)[0]), plain(t)[1]) for i, t in rows)
 
 
@@ -32,11 +34,21 @@ def test_awkward_texts(spark):
     check(spark, [*enumerate(TEXTS), (None, "no id"), (3, "same id"), (3, "same id"), (None, None)])
 
 
-def test_small_blocks_and_buckets(spark, monkeypatch):
+def test_small_blocks_and_buckets(spark):
     """Many blocks and buckets give what one gives."""
-    monkeypatch.setattr(piece_chunks, "BLOCK_BYTES", 400)
-    monkeypatch.setattr(piece_chunks, "BUCKET_BYTES", 20_000)
-    check(spark, [(k, f"{t} word{k % 7} {t}") for k, t in enumerate(TEXTS * 3) if t is None or len(t) < 4_000])
+    check(spark, [(k, f"{t} word{k % 7} {t}") for k, t in enumerate(TEXTS * 3) if t is None or len(t) < 4_000],
+          block_bytes=400, bucket_bytes=2_000)
+
+
+def test_changed_rows_are_noticed(spark):
+    def other(batches):
+        for batch in batches:
+            words = [uuid.uuid4().hex for _ in range(batch.num_rows)]
+            yield pa.record_batch({"doc_id": batch.column(0), "text": pa.array(words)})
+
+    texts = spark.range(50).mapInArrow(other, "doc_id long, text string")
+    with pytest.raises(Exception, match="read again"):
+        encode_pieces(texts, model_path()).collect()
 
 
 def test_empty_table(spark):
