@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracles  # noqa: E402
-from ratingloom import Engine, FactorModel, RunConfig, fit, fixtures, read_ratings, read_run_configs, read_targets  # noqa: E402
+from ratingloom import Engine, FactorModel, RunConfig, fit, fit_runs, fixtures, read_ratings, read_run_configs, read_targets  # noqa: E402
 from ratingloom.functions.half import array_to_half  # noqa: E402
 from ratingloom.operators import factors, gradients, metrics, ordering, profiles  # noqa: E402
-from ratingloom.plans import batch_gd, grid, local_sgd, strata  # noqa: E402
+from ratingloom.plans import batch_gd, feature_shards, grid, local_sgd, strata  # noqa: E402
 from ratingloom.plans.parts import PartedRatings  # noqa: E402
-from ratingloom.session import shared_root, stage, task_slots  # noqa: E402
+from ratingloom.session import Folder, shared_root, stage, task_slots  # noqa: E402
 from ratingloom.sources.factor_text import factor_lines  # noqa: E402
 from ratingloom.sources.ratings import check_ratings  # noqa: E402
 
@@ -81,6 +81,15 @@ def scan_coo_binary(spark, sf_dir):
     return read_ratings(spark, path).ratings.withColumn("rating", F.col("rating").cast("double"))
 
 
+def scan_coo_binary_range(spark, sf_dir):
+    """A range of record numbers; byte ranges of the files outside it are not opened."""
+    records = fixtures.ratings(spark, sf_dir)
+    size = _dims(records)
+    path = fixtures.write_coo_binary(records, size, _scratch(spark, "coo") + ".bin", "narrow", 0, files=fixtures.file_count(size.num_records))
+    ratings = read_ratings(spark, path).ratings.where(F.col("rec_id").between(size.num_records // 5, size.num_records // 2))
+    return ratings.withColumn("rating", F.col("rating").cast("double"))
+
+
 def scan_coo_binary_wide(spark, sf_dir):
     records = fixtures.ratings(spark, sf_dir)
     size = _dims(records)
@@ -105,6 +114,14 @@ def init_factors(spark, sf_dir):
     return _values(_start(fixtures.ratings(spark, sf_dir)))
 
 
+def init_factors_parity(spark, sf_dir):
+    """The start of a serial program that draws from the minimal standard generator."""
+    size = _dims(fixtures.ratings(spark, sf_dir))
+    state = factors.init_state(spark, size.num_users, size.num_items, WIDTH, "parity", "single")
+    return factors.explode_features(state, "side", "id").select(
+        "side", "id", "k", F.round(F.col("value").cast("double"), 10).alias("value"))
+
+
 def predict(spark, sf_dir):
     records = fixtures.ratings(spark, sf_dir)
     scored = factors.predict(records, _start(records))
@@ -159,6 +176,12 @@ def square_error_sum(spark, sf_dir):
     return total.select(F.round("square_error_sum", 4).alias("square_error_sum"), "num_records")
 
 
+def square_error_exact(spark, sf_dir):
+    records = fixtures.ratings(spark, sf_dir)
+    total = metrics.square_error_exact(records, _start(records))
+    return total.select(F.round("square_error_sum", 4).alias("square_error_sum"), "num_records")
+
+
 def train_rmse(spark, sf_dir):
     train = fixtures.train(spark, sf_dir)
     return metrics.square_error(train, _start(train)).select(F.round("rmse", 6).alias("train_rmse"))
@@ -191,6 +214,16 @@ def gd_epoch(spark, sf_dir):
     return _values(batch_gd.gd_epoch(train, _start(train), WIDTH, RATE, PENALTY))
 
 
+def gd_epoch_feature_sharded(spark, sf_dir):
+    """At the published width, with rows cut into slices of 32 features."""
+    train = fixtures.train(spark, sf_dir)
+    slices = feature_shards.sliced(_start(train, oracles.PUBLISHED_WIDTH))
+    done = feature_shards.sharded_epoch(train, slices, feature_shards.SLICE_WIDTH, RATE, PENALTY)
+    return done.select("side", "id", "shard", F.posexplode("features").alias("place", "value")).select(
+        "side", "id", (F.col("shard") * feature_shards.SLICE_WIDTH + F.col("place")).alias("k"),
+        F.round("value", 6).alias("value"))
+
+
 def _cells(records: DataFrame, size) -> PartedRatings:
     blocks = grid.grid_size(size.num_records, size.num_users + size.num_items, WIDTH, task_slots(records.sparkSession))
     return grid.grid_ratings(records, blocks)
@@ -265,25 +298,45 @@ def factor_text_round_trip(spark, sf_dir):
     return tables[0].unionByName(tables[1]).groupBy("side", "line").agg(F.count("*").alias("times"))
 
 
+def _runs(spark) -> DataFrame:
+    """A folder of configuration files, one a run, read as a table."""
+    folder = Folder(spark, _scratch(spark, "runs"))
+    for name, values in oracles.RUNS.items():
+        lines = [f"{key} {value}" for key, value in {**oracles.RUN_COMMON, **values}.items()]
+        folder.write(f"{name}.in", "\n".join(["# a run", *lines]) + "\n")
+    return read_run_configs(spark, folder.path).withColumn("run", F.regexp_replace("run", r"\.in$", ""))
+
+
+def _targets(spark) -> DataFrame:
+    folder = Folder(spark, _scratch(spark, "targets"))
+    folder.write("targets.txt", "".join(f"{name}   {goal}\n" for name, goal in oracles.RUN_TARGETS.items()))
+    return read_targets(spark, folder.path)
+
+
+def run_configs(spark, sf_dir):
+    """Every run of the table with what it does an epoch on the training ratings."""
+    size = _dims(fixtures.train(spark, sf_dir))
+    records = F.lit(size.num_records).cast("long")
+    values = F.lit(size.num_users + size.num_items).cast("long") * F.col("num_features")
+    return _runs(spark).select(
+        "run", *RunConfig().to_dict(), records.alias("num_records"),
+        F.ceil(records / F.col("batch_size")).alias("batches"), values.alias("factor_values"))
+
+
+def _traces(spark, sf_dir):
+    targets = _targets(spark).withColumnRenamed("dataset", "run")
+    engine = Engine(seed=SEED, shuffle="mix", init="mix", blocks=BLOCKS)
+    return fit_runs(fixtures.train(spark, sf_dir), fixtures.test(spark, sf_dir), _runs(spark).join(targets, "run", "left"), engine).traces
+
+
+def run_traces(spark, sf_dir):
+    """Errors of all runs, trained together; a run ends with the epoch that reaches its target."""
+    return _traces(spark, sf_dir).select("run", "iter", F.round("test_rmse", 6).alias("test_rmse"))
+
+
 def epochs_to_target(spark, sf_dir):
-    """Run every configuration of a folder on the training ratings and compare with the targets."""
-    folder = _scratch(spark, "runs")
-    common = (f"gd_mode 0\nnum_features {WIDTH}\nregularization_factor {PENALTY}\nmax_num_iterations 2\n"
-              "precision 2\nshow_test_rmse 1")
-    rates = spark.createDataFrame(list(oracles.RUN_RATES.items()), "dataset string, rate double")
-    rates.select(F.concat(F.lit(f"# {common[:9]}\n{common}\nlearning_rate "), F.col("rate")).alias("value"),
-                 "dataset").write.partitionBy("dataset").text(folder)
-    goals = _scratch(spark, "targets")
-    targets = spark.createDataFrame(list(oracles.RUN_TARGETS.items()), "dataset string, goal double")
-    targets.select(F.concat_ws("   ", "dataset", "goal").alias("value")).write.text(goals)
-    train, test = fixtures.train(spark, sf_dir), fixtures.test(spark, sf_dir)
-    traces = None
-    for dataset in oracles.RUN_RATES:
-        for row in read_run_configs(spark, f"{folder}/dataset={dataset}").collect():
-            model = fit(train, test, RunConfig.from_row(row), Engine(init="mix"))
-            trace = model.metrics.select(F.lit(dataset).alias("dataset"), "iter", "test_rmse")
-            traces = trace if traces is None else traces.unionByName(trace)
-    return metrics.epochs_to_target(traces, read_targets(spark, goals))
+    """Train the table of runs on the training ratings and compare with the targets."""
+    return metrics.epochs_to_target(_traces(spark, sf_dir).withColumnRenamed("run", "dataset"), _targets(spark))
 
 
 # Preparation
@@ -314,6 +367,11 @@ def shuffle_records(spark, sf_dir):
     return ordering.shuffled_positions(fixtures.ratings(spark, sf_dir), "rec_id", SEED).select("rec_id", "pos")
 
 
+def shuffle_records_bijective(spark, sf_dir):
+    """A permutation by arithmetic on the record number: nothing is sorted or shuffled."""
+    return ordering.shuffled_positions(fixtures.ratings(spark, sf_dir), "rec_id", SEED, method="bijective").select("rec_id", "pos")
+
+
 def shuffle_users(spark, sf_dir):
     users = spark.range(_dims(fixtures.ratings(spark, sf_dir)).num_users).select(
         F.col("id").cast("int").alias("user_id"))
@@ -331,7 +389,7 @@ def batch_sizes(spark, sf_dir):
 def _stratified(spark, sf_dir, rule, rate, precision="double", batch_size=1):
     train = fixtures.train(spark, sf_dir)
     ordered = ordering.shuffled_positions(train, "rec_id", SEED)
-    ratings = strata.BlockedRatings.of(ordered, BLOCKS, precision, split_hot=False)
+    ratings = strata.BlockedRatings.of(ordered, BLOCKS, precision)
     state = _start(train, oracles.SGD_WIDTH, precision, accumulators=rule == "adagrad")
     return strata.stratified_epoch(ratings, state, rule, oracles.SGD_WIDTH, rate, PENALTY, precision, batch_size).df
 
@@ -377,12 +435,26 @@ def train_trace(spark, sf_dir):
     config = RunConfig(gd_mode=2, num_features=oracles.SGD_WIDTH, learning_rate=ADAPTIVE_RATE,
                        regularization_factor=PENALTY, max_num_iterations=2, precision=2,
                        show_train_rmse=1, show_test_rmse=1)
-    engine = Engine(seed=SEED, shuffle="mix", init="mix", blocks=BLOCKS, split_hot=False)
+    engine = Engine(seed=SEED, shuffle="mix", init="mix", blocks=BLOCKS)
     model = fit(fixtures.train(spark, sf_dir), fixtures.test(spark, sf_dir), config, engine)
     return model.metrics.select("iter", F.round("train_rmse", 6).alias("train_rmse"),
                                 F.round("test_rmse", 6).alias("test_rmse"))
 
 
+def train_resumed(spark, sf_dir):
+    """The run of ``train_trace``, ended after one epoch and taken up again from its ledger."""
+    path = _scratch(spark, "ledger")
+    train, test = fixtures.train(spark, sf_dir), fixtures.test(spark, sf_dir)
+    engine = Engine(seed=SEED, shuffle="mix", init="mix", blocks=BLOCKS)
+    for epochs in (1, 2):
+        config = RunConfig(gd_mode=2, num_features=oracles.SGD_WIDTH, learning_rate=ADAPTIVE_RATE,
+                           regularization_factor=PENALTY, max_num_iterations=epochs, precision=2,
+                           show_train_rmse=1, show_test_rmse=1)
+        model = fit(train, test, config, engine, resume=path)
+    return model.metrics.select("iter", F.round("train_rmse", 6).alias("train_rmse"),
+                                F.round("test_rmse", 6).alias("test_rmse"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Error of a freshly initialized model on the training ratings."""
     return train_rmse(spark, "/root/testdata/sf0.001")
@@ -395,7 +467,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
               gd_epoch, gd_epoch_grid, predict_grid,
               test_rmse_grid, minibatch_epoch, gd_trace, epochs_to_target, dims, dedupe_last, user_profiles,
               user_profile_text, csr_offsets, shuffle_records, shuffle_users, batch_sizes, sgd_epoch, adagrad_epoch,
-              minibatch_block_epoch, sgd_half_epoch, adagrad_half_epoch, local_sgd_epoch, row_sgd_epoch, train_trace]
+              minibatch_block_epoch, sgd_half_epoch, adagrad_half_epoch, local_sgd_epoch, row_sgd_epoch, train_trace,
+              train_resumed, run_configs, run_traces, gd_epoch_feature_sharded, shuffle_records_bijective,
+              init_factors_parity, square_error_exact, scan_coo_binary_range]
     return {**{query.__name__: query for query in listed}, "check_ratings": check_ratings_query, **_corpus()[0]}
 
 

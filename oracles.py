@@ -16,8 +16,13 @@ RECORDS_PER_PART = 2000
 BATCHES = 3
 BATCH_SIZE = 1000
 HOT_ROWS = 1000
-RUN_RATES = {"slow": 0.01, "fast": 0.03}
-RUN_TARGETS = {"slow": 3.25, "fast": 3.25}
+# A table of runs: what they share, what each changes, and the errors at which they stop.
+RUN_COMMON = {"regularization_factor": 0.05, "max_num_iterations": 2, "precision": 2, "show_test_rmse": 1}
+RUNS = {"slow": {"gd_mode": 0, "num_features": 4, "learning_rate": 0.01},
+        "fast": {"gd_mode": 0, "num_features": 4, "learning_rate": 0.03},
+        "wide": {"gd_mode": 0, "num_features": 6, "learning_rate": 0.02},
+        "adaptive": {"gd_mode": 2, "num_features": 2, "learning_rate": 0.1}}
+RUN_TARGETS = {"slow": 3.25, "fast": 3.25, "adaptive": 3.0}
 
 RATINGS = """ratings AS (
   SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1
@@ -249,10 +254,77 @@ def _parallel(placed: str, *before: str) -> str:
     return _with(_initial("train", SGD_WIDTH), *parts) + _exploded("merged", SGD_WIDTH)
 
 
+def _run_table() -> tuple[str, str, str]:
+    """The table of runs, its traces, and the epochs that reach the targets."""
+    defaults = {"gd_mode": 2, "batch_size": 1, "num_features": 128, "learning_rate": 0.1, "regularization_factor": 0.05,
+                "max_num_iterations": 70, "decomp_mode": 2, "lock": 0, "precision": 0, "show_train_rmse": 0,
+                "show_test_rmse": 0}
+    rows, traces = [], []
+    for name, values in RUNS.items():
+        given = {**defaults, **RUN_COMMON, **values}
+        columns = ", ".join(f"{_double(v) if isinstance(v, float) else f'CAST({v} AS INT)'} AS {k}" for k, v in given.items())
+        rows.append(f"SELECT '{name}' AS run, {columns}")
+        if given["gd_mode"] == 2:
+            traces.append(f"SELECT '{name}' AS run, iter, test_rmse FROM (\n"
+                          f"{_sequential(True, False, given['learning_rate'], epochs=2, trace=True)})")
+            continue
+        width, states = given["num_features"], ("state", "state1", "state2")
+        steps = [f"SELECT '{name}' AS run, CAST({n} AS INT) AS iter, round({_rmse('test', s, width)}, 6) AS test_rmse"
+                 for n, s in enumerate(states)]
+        traces.append(f"SELECT * FROM (\n{_with(_initial('train', width), _descent(['train'] * 2, width, given['learning_rate']))}"
+                      + " UNION ALL ".join(steps) + ")")
+    goals = " UNION ALL ".join(f"SELECT '{name}' AS run, {_double(goal)} AS target_rmse" for name, goal in RUN_TARGETS.items())
+    table = (_with(f"runs AS ({' UNION ALL '.join(rows)})", """size AS (
+  SELECT max(user_id) + 1 AS num_users, max(item_id) + 1 AS num_items, count(*) AS num_records FROM train)""")
+             + "SELECT runs.*, num_records, CAST(ceil(num_records / batch_size) AS BIGINT) AS batches,\n"
+             "  CAST((num_users + num_items) * num_features AS BIGINT) AS factor_values FROM runs, size")
+    ended = (f"WITH traces AS ({' UNION ALL '.join(traces)}), targets AS ({goals}),\n"
+             "reached AS (SELECT run, min(target_rmse) AS target_rmse, CAST(min(iter) FILTER (WHERE test_rmse <= target_rmse) AS INT)\n"
+             "  AS epochs FROM traces JOIN targets USING (run) GROUP BY run)\n")
+    return (table, ended + "SELECT traces.* FROM traces LEFT JOIN reached USING (run) WHERE iter <= coalesce(epochs, iter)",
+            ended + "SELECT run AS dataset, target_rmse, epochs FROM reached")
+
+
+def _parity(width: int) -> str:
+    """Draws ``id * width + k + 1`` of the minimal standard generator, by modular powers."""
+    modulus = 2147483647
+    powers = ", ".join(str(pow(16807, 1 << bit, modulus)) for bit in range(40))
+    draw = (f"list_reduce(list_transform(range(40), lambda j: CASE WHEN (n >> CAST(j AS INT)) & 1 = 1 THEN CAST(([{powers}])[j + 1] AS BIGINT)"
+            f" ELSE CAST(1 AS BIGINT) END), lambda a, b: a * b % {modulus})")
+    value = (f"CAST(CAST(least(CAST(CAST({draw} - 1 AS FLOAT) AS DOUBLE) / 2147483648, 1 - power(2, -24)) AS DOUBLE)"
+             " * CAST(CAST(0.1 AS FLOAT) AS DOUBLE) AS FLOAT)")
+    return (_with(_initial("ratings", width), f"places AS (SELECT side, id, CAST(k AS INT) AS k, CAST(id AS BIGINT) * {width} + k + 1 AS n\n"
+                  f"  FROM state, (SELECT unnest(range({width})) AS k))")
+            + f"SELECT side, id, k, round(CAST({value} AS DOUBLE), 10) AS value FROM places")
+
+
+def _bijective(source: str, key: str, seed: int, rounds: int = 4, walks: int = 4) -> str:
+    """Feistel rounds on a grid of barely more cells than ids; ids that land beyond walk on."""
+    keys = [(seed * 1299709 + n * 104729) % 2147483647 for n in range(1, 2 * rounds + 1)]
+
+    def mixed(half: str, number: int) -> str:
+        once = f"(({half}) % 2147483647 * 7919 + {number}) % 2147483647"
+        return f"(({once}) * ({once}) + {number}) % 2147483647"
+
+    parts = [f"size AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (\n"
+             f"  SELECT max({key}) + 1 AS n FROM {source})))",
+             f"walk0 AS (SELECT {key}, {key} AS cell, n, a, b FROM {source}, size)"]
+    for walk in range(walks):
+        parts.append(f"turn{walk}_0 AS (SELECT {key}, cell AS before, cell // b AS l, cell % b AS r, n, a, b FROM walk{walk})")
+        for k in range(rounds):
+            parts.append(f"half{walk}_{k} AS (SELECT {key}, before, (l + {mixed('r', keys[2 * k])}) % a AS l, r, n, a, b FROM turn{walk}_{k})")
+            parts.append(f"turn{walk}_{k + 1} AS (SELECT {key}, before, l, (r + {mixed('l', keys[2 * k + 1])}) % b AS r, n, a, b FROM half{walk}_{k})")
+        kept = "l * b + r" if walk == 0 else "CASE WHEN before < n THEN before ELSE l * b + r END"
+        parts.append(f"walk{walk + 1} AS (SELECT {key}, {kept} AS cell, n, a, b FROM turn{walk}_{rounds})")
+    return _with(*parts) + f"SELECT {key}, CAST(cell AS BIGINT) AS pos FROM walk{walks}"
+
+
 def statements() -> dict[str, str]:
     sql = {}
     for scan in ("scan_coo_text", "scan_coo_text_one_based", "scan_coo_binary", "scan_coo_binary_wide"):
         sql[scan] = _with() + "SELECT * FROM ratings"
+    sql["scan_coo_binary_range"] = _with() + (
+        "SELECT * FROM ratings WHERE rec_id BETWEEN (SELECT count(*) FROM ratings) // 5 AND (SELECT count(*) FROM ratings) // 2")
     sql["check_ratings"] = _with() + """, size AS (
   SELECT max(user_id) + 1 AS num_users, max(item_id) + 1 AS num_items, count(*) AS num_records FROM train),
 counted AS (
@@ -321,15 +393,12 @@ SELECT vec_id, CAST(k AS INT) AS k, CASE WHEN x = 0 THEN x ELSE round_even(x / q
     trace = [f"SELECT CAST({n} AS INT) AS iter, round({_rmse('train', s)}, 6) AS train_rmse, "
              f"round({_rmse('test', s)}, 6) AS test_rmse" for n, s in enumerate(("state", "state1", "state2", "state3"))]
     sql["gd_trace"] = _with(trained, _descent(["train"] * 3, WIDTH, RATE)) + " UNION ALL ".join(trace)
-    runs, goals = [], []
-    for tag, rate in RUN_RATES.items():
-        goals.append(f"SELECT '{tag}' AS dataset, {_double(RUN_TARGETS[tag])} AS target_rmse")
-        runs += [f"SELECT '{tag}' AS dataset, {n} AS iter, {_rmse('test', s)} AS test_rmse"
-                 for n, s in enumerate(("state", f"state1{tag}", f"state2{tag}"))]
-    sql["epochs_to_target"] = _with(trained, *[_descent(["train"] * 2, WIDTH, r, t) for t, r in RUN_RATES.items()]) + (
-        f", traces AS ({' UNION ALL '.join(runs)}), targets AS ({' UNION ALL '.join(goals)})\n"
-        "SELECT dataset, target_rmse, CAST(min(iter) FILTER (WHERE test_rmse <= target_rmse) AS INT) AS epochs\n"
-        "FROM traces JOIN targets USING (dataset) GROUP BY dataset, target_rmse")
+    sql["run_configs"], sql["run_traces"], sql["epochs_to_target"] = _run_table()
+    sql["train_resumed"] = _sequential(True, False, ADAPTIVE_RATE, epochs=2, trace=True)
+    sql["gd_epoch_feature_sharded"] = sql["gd_epoch_wide"]
+    sql["square_error_exact"] = sql["square_error_sum"]
+    sql["init_factors_parity"] = _parity(WIDTH)
+    sql["shuffle_records_bijective"] = _bijective("ratings", "rec_id", SEED)
     sql["dims"] = _with() + ("SELECT CAST(max(user_id) + 1 AS BIGINT) AS num_users, "
                              "CAST(max(item_id) + 1 AS BIGINT) AS num_items, count(*) AS num_records FROM ratings")
     last = "SELECT user_id, item_id, arg_max(rating, rec_id) AS rating, max(rec_id) AS rec_id FROM {} GROUP BY ALL"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions.arrays import array_type, dot
 from ratingloom.functions.half import rounded_features
-from ratingloom.functions.mixing import initial_value
+from ratingloom.functions.mixing import initial_value, parity_values
 from ratingloom.operators.skew import hot_keys, salted_join, stage_hot_keys
 from ratingloom.session import StagedTable
 
@@ -27,8 +27,12 @@ def init_state(spark: SparkSession, num_users: int, num_items: int, width: int,
     rows = spark.range(num_users + num_items).select(
         side.alias("side"), (F.col("id") - side * num_users).cast("int").alias("id"))
     salt = F.when(F.col("side") == USER, USER_SALT).otherwise(ITEM_SALT)
-    values = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                         lambda k: initial_value(F.col("id"), k, salt, method))
+    if method == "parity":
+        # Both sides begin with the same draws, as two generators with the default seed do.
+        values = parity_values(F.col("id"), width).cast("array<double>")
+    else:
+        values = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
+                             lambda k: initial_value(F.col("id"), k, salt, method))
     columns = ["side", "id", rounded_features(values, precision).alias("features")]
     if accumulators:
         zero = F.lit(0.0).cast("double")

@@ -12,12 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratingloom.functions.bijection import Bijection
 from ratingloom.functions.mixing import shuffle_key, shuffle_prefix
 from ratingloom.session import StagedTable, stage
 
 # Consecutive keys that share one sub-bucket of a shuffle prefix: 2**30 dense keys over
 # ~10,000 prefixes leave about 100,000 rows per bucket at any table size.
 SUB_BUCKET_BITS = 30
+# Ranges of positions, where these are known without sorting.
+MAX_PREFIXES = 10_000
 
 
 def range_positions(df: DataFrame, order: list[str], keep: list[str], position: str = "rec_id",
@@ -55,7 +58,12 @@ def _bucket_bases(sizes: DataFrame, prefix: str, sub: str, size: str) -> DataFra
         prefix, sub, (F.col("_start") + F.col("_local")).alias("_base"))
 
 
-def _bucketed(df: DataFrame, key: str, seed: int, method: str) -> DataFrame:
+def _bucketed(df: DataFrame, key: str, seed: int, method: str, shuffle: Bijection | None = None) -> DataFrame:
+    if shuffle:
+        # Positions are known: buckets are ranges of them.
+        width = max(1, -(-shuffle.size // MAX_PREFIXES))
+        return (df.withColumn("_order", shuffle.position(F.col(key)))
+                .withColumn("_prefix", F.floor(F.col("_order") / width)).withColumn("_sub", F.lit(0)))
     order = shuffle_key(F.col(key), seed, method)
     return (df.withColumn("_order", order)
             .withColumn("_prefix", shuffle_prefix(F.col("_order"), method))
@@ -68,8 +76,12 @@ def shuffled_positions(df: DataFrame, key: str, seed: int, position: str = "pos"
     """Add the dense position of each row in a seeded random permutation of ``key``.
 
     Everything derives from the key, so no sampling and no materialisation is needed and
-    any recomputation gives the same permutation. ``key`` must be unique.
+    any recomputation gives the same permutation. ``key`` must be unique. With ``bijective`` the
+    position is arithmetic on the key: no sort and no shuffle, and as dense as the keys are, which must not be negative.
     """
+    if method == "bijective":
+        last = df.agg(F.max(key).alias("last")).first().last
+        return df.withColumn(position, Bijection(0 if last is None else last + 1, seed).position(F.col(key)))
     rows = _bucketed(df, key, seed, method)
     bucket = ["_prefix", "_sub"]
     sizes = (_bucketed(df.select(key), key, seed, method)
@@ -93,11 +105,12 @@ def user_offsets(ratings: DataFrame, num_users: int, seed: int, method: str = "m
     records are kept with a count of 0.
     """
     spark = ratings.sparkSession
+    shuffle = Bijection(num_users, seed) if method == "bijective" else None
     counts = ratings.groupBy("user_id").agg(F.count("*").alias("cnt"))
     users = spark.range(num_users).select(F.col("id").cast("int").alias("user_id"))
     counted = (users.join(counts, "user_id", "left")
                .withColumn("cnt", F.coalesce("cnt", F.lit(0))))
-    rows = _bucketed(counted, "user_id", seed, method)
+    rows = _bucketed(counted, "user_id", seed, method, shuffle)
     bucket = ["_prefix", "_sub"]
     sizes = rows.groupBy(*bucket).agg(F.sum("cnt").alias("_n"), F.count("*").alias("_users"))
     order = Window.partitionBy(*bucket).orderBy("_order", "user_id")

@@ -28,9 +28,9 @@ def hot_keys(rows: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS,
     return hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("copies"))
 
 
-def stage_hot_keys(rows: DataFrame, key: str, **limits) -> StagedTable | None:
+def stage_hot_keys(rows: DataFrame, key: str, root: str | None = None, **limits) -> StagedTable | None:
     """The hot keys written once for many joins, or None when there are none to care for."""
-    written = stage(hot_keys(rows, key, **limits), f"hot-{key}")
+    written = stage(hot_keys(rows, key, **limits), f"hot-{key}", root=root)
     if written.df.isEmpty():
         written.drop()
         return None

@@ -22,7 +22,7 @@ def gd_epoch(ratings: DataFrame, state: DataFrame, width: int, learning_rate: fl
 
 def minibatch_epoch(batched: DataFrame, num_batches: int, state: DataFrame, width: int, learning_rate: float,
                     regularization: float, precision: str = "double",
-                    skew: RatingSkew | None = None) -> StagedTable:
+                    skew: RatingSkew | None = None, root: str | None = None) -> StagedTable:
     """One epoch of exact global mini-batches, in batch order.
 
     ``batched`` has a ``batch`` column and should be stored partitioned by it, so that each
@@ -36,8 +36,8 @@ def minibatch_epoch(batched: DataFrame, num_batches: int, state: DataFrame, widt
         records = batched.where(F.col("batch") == number)
         before = current.df if current else state
         following = stage(gd_epoch(records, before, width, learning_rate, regularization, precision, skew),
-                          "minibatch-state")
+                          "minibatch-state", root=root)
         if current:
             current.drop()
         current = following
-    return current if current else stage(state, "minibatch-state")
+    return current if current else stage(state, "minibatch-state", root=root)

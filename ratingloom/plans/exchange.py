@@ -14,9 +14,27 @@ SCORE_CHUNK = 1 << 16
 
 
 def matrix(table: pa.Table, column: str, width: int) -> np.ndarray:
-    """A list column as a writable ``(rows, width)`` array."""
-    values = table.column(column).combine_chunks().flatten()
-    return np.array(values.to_numpy(zero_copy_only=False)).reshape(-1, width)
+    """A list column, or packed rows of two bytes a value, as a writable ``(rows, width)`` array."""
+    rows = table.column(column).combine_chunks()
+    if pa.types.is_binary(rows.type):
+        return packed_values(rows).reshape(-1, width).astype(np.float32)
+    return np.array(rows.flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
+
+
+def packed_values(rows: pa.BinaryArray) -> np.ndarray:
+    """The binary16 values of packed rows, one after the other."""
+    if len(rows) == 0:
+        return np.zeros(0, np.float16)
+    offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset: rows.offset + len(rows) + 1]
+    return np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0]: offsets[-1]].view(np.float16)
+
+
+def packed_column(values: np.ndarray) -> pa.Array:
+    """Rows of binary16 values as buffers of two bytes a value."""
+    rows, width = values.shape
+    offsets = np.arange(0, 2 * rows * width + 1, 2 * width, dtype=np.int32) if rows and width else np.zeros(rows + 1, np.int32)
+    data = np.ascontiguousarray(values, np.float16)
+    return pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def list_column(values: np.ndarray) -> pa.Array:
@@ -41,35 +59,40 @@ class BlockUpdate:
         self.precision = precision
         self.batch_size = batch_size
 
+    @property
+    def lists(self) -> dict[str, int]:
+        """The list columns of the state and how long they are."""
+        return {"features": self.width, **({"acc": self.width} if self.rule == "adagrad" else {})}
+
     def __call__(self, state: pa.Table, records: pa.Table) -> pa.Table:
         if records.num_rows == 0:
             return self._with_lists(state, {})
         sides = state.column("side").to_numpy()
         keys = state.column("key").to_numpy()
-        features = matrix(state, "features", self.width)
-        acc = matrix(state, "acc", self.width) if self.rule == "adagrad" else None
+        changed = {name: matrix(state, name, width) for name, width in self.lists.items()}
         rows = {side: np.flatnonzero(sides == side) for side in (USER, ITEM)}
         for side in rows:
             rows[side] = rows[side][np.argsort(keys[rows[side]])]
         users = self._locate(keys[rows[USER]], records.column("user_key").to_numpy())
         items = self._locate(keys[rows[ITEM]], records.column("item_key").to_numpy())
+        halves = {name: (values[rows[USER]], values[rows[ITEM]]) for name, values in changed.items()}
+        self._descend(halves, users, items, records)
+        for name, (p, q) in halves.items():
+            changed[name][rows[USER]], changed[name][rows[ITEM]] = p, q
+        return self._with_lists(state, changed)
+
+    def _descend(self, halves: dict, users: np.ndarray, items: np.ndarray, records: pa.Table) -> None:
+        """Change the user and item arrays in ``halves`` in place."""
         ratings = records.column("rating").to_numpy().astype(kernels.arithmetic_type(self.precision))
-        p, q = features[rows[USER]], features[rows[ITEM]]
+        p, q = halves["features"]
         if self.rule == "minibatch":
             order = np.argsort(records.column("pos").to_numpy(), kind="stable")
             kernels.batched(p, q, users[order], items[order], ratings[order], self.batch_size,
                             self.rate, self.penalty, self.precision)
         else:
-            adaptive = self.rule == "adagrad"
-            p_acc = acc[rows[USER]] if adaptive else None
-            q_acc = acc[rows[ITEM]] if adaptive else None
-            kernels.sequential(p, q, p_acc, q_acc, users, items, ratings, records.column("wave").to_numpy(),
-                               self.rate, self.penalty, self.precision, adaptive)
-            if adaptive:
-                acc[rows[USER]], acc[rows[ITEM]] = p_acc, q_acc
-        features[rows[USER]], features[rows[ITEM]] = p, q
-        changed = {"features": features} if acc is None else {"features": features, "acc": acc}
-        return self._with_lists(state, changed)
+            kernels.sequential(p, q, *halves.get("acc", (None, None)), users, items, ratings,
+                               records.column("wave").to_numpy(), self.rate, self.penalty, self.precision,
+                               self.rule == "adagrad")
 
     @staticmethod
     def _locate(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -82,15 +105,45 @@ class BlockUpdate:
         """Output columns; lists are rebuilt so that their element type is always nullable."""
         columns = {}
         for name in state.column_names:
+            packed = pa.types.is_binary(state.schema.field(name).type)
             if name in changed:
-                columns[name] = list_column(changed[name])
+                columns[name] = packed_column(changed[name]) if packed else list_column(changed[name])
             elif pa.types.is_list(state.schema.field(name).type):
-                columns[name] = list_column(matrix(state, name, self.width))
+                columns[name] = list_column(matrix(state, name, self.lists[name]))
             else:
                 columns[name] = state.column(name)
         return pa.table(columns)
 
 
+class RunsUpdate(BlockUpdate):
+    """Several runs' updates on factor rows that hold all runs' features one after the other.
+
+    ``features`` holds every run's, ``acc`` those of the adaptive runs, both in the order of ``updates``.
+    """
+
+    def __init__(self, updates: list[BlockUpdate]):
+        self.updates = updates
+
+    @property
+    def lists(self) -> dict[str, int]:
+        sums = sum(u.width for u in self.updates if u.rule == "adagrad")
+        return {"features": sum(u.width for u in self.updates), **({"acc": sums} if sums else {})}
+
+    def _descend(self, halves: dict, users: np.ndarray, items: np.ndarray, records: pa.Table) -> None:
+        begins = dict.fromkeys(halves, 0)
+        for update in self.updates:
+            kind = kernels.arithmetic_type(update.precision)
+            slices = {}
+            for name in update.lists:
+                slices[name] = slice(begins[name], begins[name] + update.width)
+                begins[name] += update.width
+            own = {name: tuple(half[:, part].astype(kind) for half in halves[name]) for name, part in slices.items()}
+            update._descend(own, users, items, records)
+            for name, part in slices.items():
+                for half, moved in zip(halves[name], own[name]):
+                    half[:, part] = moved
+
+
 class BlockScore:
     """Scores the ratings of a part against its factor rows, without changing them.
 

@@ -7,10 +7,13 @@ are cut by position, so their size is bounded whatever the distribution of ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.arrays import array_type
+from ratingloom.functions.half import rounded_features
 from ratingloom.operators.skew import hot_keys, salted_join
 from ratingloom.plans import exchange
 from ratingloom.plans.parts import PartedRatings
@@ -52,17 +55,22 @@ def parts_by_user(deduped: DataFrame, offsets: DataFrame, records_per_part: int,
 
 
 def local_epoch(ratings: PartedRatings, state: DataFrame, width: int, learning_rate: float, regularization: float,
-                precision: str = "double") -> StagedTable:
+                precision: str = "double", root: str | None = None) -> StagedTable:
     """One pass of every part over its own records, then the weighted mean of the copies."""
     update = exchange.BlockUpdate("sgd", width, float(learning_rate), float(regularization), precision)
+    return local_pass(ratings, state, update, precision, lambda mean: rounded_features(mean, precision), root)
+
 
+def local_pass(ratings: PartedRatings, state: DataFrame, update: exchange.BlockUpdate, precision: str,
+               rounding: Callable[[Column], Column], root: str | None = None) -> StagedTable:
+    """Apply ``update`` to all parts; ``rounding`` brings the mean of the copies to storage precision."""
     def step(key, factor_rows, records):
         return update(factor_rows, records).drop_columns("part")
 
     trained = ratings.meet(state).applyInArrow(
         step, f"side int, key long, n long, features {array_type(precision)}")
     named = trained.select("side", F.col("key").cast("int").alias("id"), "n", "features")
-    averaged = average_copies(named, ["side", "id"], ["features"], width, precision)
+    averaged = average_copies(named, ["side", "id"], ["features"], update.lists["features"], rounding)
     moved = averaged.withColumnRenamed("features", "_moved")
     joined = state.join(moved, ["side", "id"], "left")
-    return stage(joined.select("side", "id", F.coalesce("_moved", "features").alias("features")), "factors")
+    return stage(joined.select("side", "id", F.coalesce("_moved", "features").alias("features")), "factors", root=root)

@@ -27,10 +27,11 @@ def _node(side: Column, key: Column) -> Column:
 class PartedRatings:
     """Ratings laid out by part, with the factor rows that each part touches."""
 
-    def __init__(self, records: StagedTable, touched: StagedTable, hot: DataFrame | None, num_parts: int, cache: bool):
+    def __init__(self, records: StagedTable, touched: StagedTable, hot: StagedTable | None, num_parts: int, cache: bool):
+        self.tables = {"records": records, "touched": touched, "hot": hot}
         self.table = records
         self.touched = touched
-        self.hot = hot
+        self.hot = hot and hot.df
         self.num_parts = num_parts
         self.cache = cache
         placed = self._place(records.df)
@@ -38,7 +39,7 @@ class PartedRatings:
 
     @classmethod
     def of(cls, parts: DataFrame, precision: str = "double", ordered: bool = True,
-           cache: bool = False) -> PartedRatings:
+           cache: bool = False, root: str | None = None) -> PartedRatings:
         """``parts`` has ``part, user_id, item_id, rating`` and the order ``pos`` (if ``ordered``) or ``rec_id``."""
         kind = "double" if precision == "double" else "float"
         keyed = parts.select(F.col("part").cast("int").alias("part"), F.col("user_id").cast("long").alias("user_key"),
@@ -49,12 +50,12 @@ class PartedRatings:
             keyed = keyed.groupBy("part").applyInArrow(
                 exchange.add_waves,
                 f"part int, user_key long, item_key long, rating {kind}, pos long, wave int")
-        records = stage(keyed, "parted-ratings")
+        records = stage(keyed, "parted-ratings", root=root)
         sides = [records.df.groupBy("part", F.lit(side).alias("side"), F.col(column).alias("key"))
                  .agg(F.count("*").alias("n")) for side, column in ((USER, "user_key"), (ITEM, "item_key"))]
         counted = sides[0].unionByName(sides[1])
-        touched = stage(counted.select("*", _node(F.col("side"), F.col("key"))), "touched-rows")
-        hot = stage_hot_keys(touched.df, "node")
+        touched = stage(counted.select("*", _node(F.col("side"), F.col("key"))), "touched-rows", root=root)
+        hot = stage_hot_keys(touched.df, "node", root=root)
         last = records.df.agg(F.max("part").alias("last")).first().last
         return cls(records, touched, hot, 1 if last is None else last + 1, cache)
 
@@ -77,5 +78,6 @@ class PartedRatings:
             self.records.unpersist()
 
     def drop(self) -> None:
-        self.table.drop()
-        self.touched.drop()
+        for table in self.tables.values():
+            if table:
+                table.drop()

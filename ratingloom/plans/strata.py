@@ -5,7 +5,7 @@ item block, so its P blocks share no factor row and can run in parallel; P strat
 all ratings (Gemulla et al., KDD 2011). The result equals a one-by-one run in
 (stratum, block, position) order.
 
-A row that holds more than 1/(2P) of the ratings would make its block the bottleneck. It
+A row that holds more than 1/(2P) of the ratings makes its block the bottleneck. On demand it
 is split into copies, each with its own share of the ratings and its own block, and the
 copies are averaged by their record counts after the epoch. All other rows stay exact.
 """
@@ -13,12 +13,14 @@ copies are averaged by their record counts after the epoch. All other rows stay
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratingloom.functions import half_rows
 from ratingloom.functions.arrays import array_type, scaled, sum_arrays
 from ratingloom.functions.half import rounded_features
 from ratingloom.functions.mixing import block_of
@@ -67,37 +69,40 @@ def split_copies(records: DataFrame, key: str, side: int, copies: DataFrame) ->
 class BlockedRatings:
     """Ratings laid out by (stratum, block), written once and reused by every epoch."""
 
-    def __init__(self, table: StagedTable, blocks: int, user_copies: DataFrame, item_copies: DataFrame,
-                 weights: DataFrame, split: bool, cache: bool):
-        self.table = table
+    def __init__(self, tables: dict[str, StagedTable], blocks: int, cache: bool):
+        """``tables`` are ``ratings`` and, where rows were split, ``users``, ``items`` and ``weights`` of the copies."""
+        self.tables = tables
+        self.table = tables["ratings"]
         self.blocks = blocks
-        self.copies = {USER: user_copies, ITEM: item_copies}
-        self.weights = weights
-        self.split = split
+        self.split = "weights" in tables
         self.cache = cache
         self._strata: dict[int, DataFrame] = {}
 
     @classmethod
     def of(cls, ratings: DataFrame, blocks: int, precision: str = "double", cache: bool = False,
-           min_split: int = MIN_SPLIT_RECORDS, split_hot: bool = True) -> BlockedRatings:
+           min_split: int = MIN_SPLIT_RECORDS, split_hot: bool = False, root: str | None = None) -> BlockedRatings:
         """``ratings`` has ``rec_id, user_id, item_id, rating`` and the training order ``pos``.
 
-        With ``split_hot`` a row with more than 1/(2P) of the records, and more than ``min_split``,
-        is trained as several copies that are averaged; without it every row is exact, and a
-        block may hold all records of its most frequent id.
+        Every row is exact, and a block may hold all records of its most frequent id. With ``split_hot``
+        a row with more than 1/(2P) of the records, and more than ``min_split``, is trained as several
+        copies that are averaged. Tables lie under ``root`` if given.
         """
-        limits = {"min_rows": min_split if split_hot else 1 << 62, "max_keys": 2 * blocks}
         # Counting, sampling and laying out each scan the ratings; sort them only once.
         ordered = stage(ratings.select("rec_id", "user_id", "item_id", "rating", "pos"), "ordered-ratings")
         ratings = ordered.df
-        # At most 2P rows per side can exceed the limit: small enough to write and broadcast.
-        user_copies = stage(hot_keys(ratings, "user_id", **limits), "split-users").df
-        item_copies = stage(hot_keys(ratings, "item_id", **limits), "split-items").df
-        split = not (user_copies.isEmpty() and item_copies.isEmpty())
+        copies = {}
+        if split_hot:
+            # At most 2P rows per side can exceed the limit: small enough to write and broadcast.
+            limits = {"min_rows": min_split, "max_keys": 2 * blocks}
+            for side, key in ((USER, "user_id"), (ITEM, "item_id")):
+                copies[side] = stage(hot_keys(ratings, key, **limits), f"split-{key}", root=root)
+        split = not all(table.df.isEmpty() for table in copies.values())
 
         kind = "double" if precision == "double" else "float"
-        assigned = split_copies(ratings, "user_id", USER, user_copies).withColumnsRenamed({"_copy": "_uc"})
-        assigned = split_copies(assigned, "item_id", ITEM, item_copies).withColumnsRenamed({"_copy": "_ic"})
+        assigned = ratings.withColumns({"_uc": F.lit(0).cast("long"), "_ic": F.lit(0).cast("long")})
+        if split:
+            assigned = split_copies(ratings, "user_id", USER, copies[USER].df).withColumnsRenamed({"_copy": "_uc"})
+            assigned = split_copies(assigned, "item_id", ITEM, copies[ITEM].df).withColumnsRenamed({"_copy": "_ic"})
         assigned = (assigned
                     .withColumn("block", block_of(F.col("user_id"), F.col("_uc"), blocks))
                     .withColumn("_other", block_of(F.col("item_id"), F.col("_ic"), blocks))
@@ -110,12 +115,12 @@ class BlockedRatings:
         waves = (assigned.repartitionByRange("stratum", "block").groupBy("stratum", "block")
                  .applyInArrow(exchange.add_waves, "stratum int, block int, user_key long, item_key long, "
                                                    f"rating {kind}, pos long, wave int"))
-        table = stage(waves, "blocked-ratings", ["stratum"])
+        tables = {"ratings": stage(waves, "blocked-ratings", ["stratum"], root)}
         ordered.drop()
-        weights = None
         if split:
-            weights = cls._copy_weights(table.df, user_copies, item_copies)
-        return cls(table, blocks, user_copies, item_copies, weights, split, cache)
+            weights = cls._copy_weights(tables["ratings"].df, copies[USER].df, copies[ITEM].df)
+            tables |= {"users": copies[USER], "items": copies[ITEM], "weights": stage(weights, "copy-weights", root=root)}
+        return cls(tables, blocks, cache)
 
     @staticmethod
     def _copy_weights(table: DataFrame, user_copies: DataFrame, item_copies: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ class BlockedRatings:
                 F.broadcast(copies), column, "left_semi")
             parts.append(hot.groupBy(F.lit(side).alias("side"), F.col(key).alias("key"))
                          .agg(F.count("*").alias("n")))
-        return stage(parts[0].unionByName(parts[1]), "copy-weights").df
+        return parts[0].unionByName(parts[1])
 
     def stratum(self, number: int) -> DataFrame:
         """The stratum's ratings, one task per block."""
@@ -143,6 +148,10 @@ class BlockedRatings:
                 rows.unpersist()
         self._strata.clear()
 
+    def drop(self) -> None:
+        for table in self.tables.values():
+            table.drop()
+
     def expand(self, state: DataFrame) -> DataFrame:
         """Factor rows with ``key`` and home ``block``; split rows once per copy."""
         lists = [c for c in state.columns if c not in ("side", "id")]
@@ -164,14 +173,15 @@ class BlockedRatings:
         marked = rows.join(F.broadcast(self._split_rows()), ["side", "id"], "left")
         whole = marked.where(F.col("copies").isNull()).select("side", "id", *lists)
         # Copies without a record have no weight and drop out.
-        copies = marked.where(F.col("copies").isNotNull()).join(F.broadcast(self.weights), ["side", "key"])
-        return whole.unionByName(average_copies(copies, ["side", "id"], lists, width, precision))
+        copies = marked.where(F.col("copies").isNotNull()).join(F.broadcast(self.tables["weights"].df), ["side", "key"])
+        rounding = lambda mean: rounded_features(mean, precision)
+        return whole.unionByName(average_copies(copies, ["side", "id"], lists, width, rounding))
 
     def _split_rows(self) -> DataFrame:
         """``(side, id, copies)`` of the split rows, at most 2P a side."""
-        return (self.copies[USER].select(F.lit(USER).alias("side"), F.col("user_id").alias("id"), "copies")
-                .unionByName(self.copies[ITEM].select(F.lit(ITEM).alias("side"), F.col("item_id").alias("id"),
-                                                      "copies")))
+        sides = [self.tables[name].df.select(F.lit(side).alias("side"), F.col(key).alias("id"), "copies")
+                 for name, side, key in (("users", USER, "user_id"), ("items", ITEM, "item_id"))]
+        return sides[0].unionByName(sides[1])
 
 
 def _id_of(key: str) -> Column:
@@ -179,33 +189,43 @@ def _id_of(key: str) -> Column:
 
 
 def average_copies(copies: DataFrame, keys: list[str], lists: list[str], width: int,
-                   precision: str) -> DataFrame:
+                   rounding: Callable[[Column], Column]) -> DataFrame:
     """Record-weighted mean of each row's copies (``n`` records each), combined on the map side."""
     result = None
     for column in lists:
         weighted = copies.select(*keys, "n", scaled(F.col("n").cast("double"), F.col(column)).alias(column))
         summed = sum_arrays(weighted, keys, column, width, [F.sum("n").alias("_total")])
         mean = F.transform(column, lambda x: x / F.col("_total"))
-        part = summed.select(*keys, rounded_features(mean, precision).alias(column))
+        part = summed.select(*keys, rounding(mean).alias(column))
         result = part if result is None else result.join(part, keys)
     return result
 
 
 def stratified_epoch(ratings: BlockedRatings, state: DataFrame, rule: str, width: int, learning_rate: float,
-                     regularization: float, precision: str = "double", batch_size: int = 1) -> StagedTable:
+                     regularization: float, precision: str = "double", batch_size: int = 1,
+                     root: str | None = None) -> StagedTable:
     """One pass over all ratings. ``rule`` is 'sgd', 'adagrad' or 'minibatch'.
 
     With 'minibatch' the batches are consecutive records of a block instead of the whole table.
     """
-    blocks = ratings.blocks
     update = exchange.BlockUpdate(rule, width, float(learning_rate), float(regularization), precision, batch_size)
-    lists = array_type(precision)
-    schema = f"side int, key long, home int, features {lists}" + (f", acc {lists}" if rule == "adagrad" else "")
+    return stratified_pass(ratings, state, update, precision, root)
+
+
+def stratified_pass(ratings: BlockedRatings, state: DataFrame, update: exchange.BlockUpdate, precision: str,
+                    root: str | None = None) -> StagedTable:
+    """Apply ``update`` to all blocks, stratum after stratum."""
+    blocks, lists = ratings.blocks, list(update.lists)
+    # Half rows travel and are written as two bytes a value.
+    kind = "binary" if precision == "half" else array_type(precision)
+    schema = "side int, key long, home int" + "".join(f", {name} {kind}" for name in lists)
 
     def step(key, factor_rows, records):
         return update(factor_rows.drop_columns("block"), records)
 
     current = ratings.expand(state)
+    if precision == "half":
+        current = half_rows.packed(current, lists)
     written: StagedTable | None = None
     for number in range(blocks):
         # User blocks stay put; item blocks move on by one block per stratum.
@@ -219,7 +239,14 @@ def stratified_epoch(ratings: BlockedRatings, state: DataFrame, rule: str, width
             if written:
                 written.drop()
             written, current = following, following.df
-    result = stage(ratings.collapse(current, width, precision), "factors")
+    if precision == "half" and ratings.split:
+        current = half_rows.unpacked(current, lists)
+    last = ratings.collapse(current, update.lists["features"], precision)
+    if precision == "half":
+        result = stage(half_rows.packed(last, lists) if ratings.split else last, "factors", root=root)
+        result = StagedTable(half_rows.unpacked(result.df, lists), result.path)
+    else:
+        result = stage(last, "factors", root=root)
     if written:
         written.drop()
     return result

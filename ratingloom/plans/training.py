@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ratingloom.config import RunConfig
 from ratingloom.model import FactorModel
@@ -14,6 +15,7 @@ from ratingloom.operators import factors, ordering, profiles
 from ratingloom.operators.factors import RatingSkew
 from ratingloom.operators.metrics import square_error
 from ratingloom.plans import batch_gd, grid, local_sgd, strata
+from ratingloom.plans.ledger import EpochLedger, fingerprint
 from ratingloom.plans.parts import PartedRatings
 from ratingloom.session import StagedTable, stage, task_slots
 
@@ -25,8 +27,9 @@ class Engine:
     """How a run is executed; none of it changes which ratings are used."""
 
     seed: int = 1
-    # 'hash' spreads over all 64 bits; 'mix' is plain arithmetic that SQL can repeat.
+    # 'hash' spreads over all 64 bits; 'mix' is plain arithmetic that SQL can repeat; 'bijective' needs no sort.
     shuffle: str = "hash"
+    # 'parity' draws what the minimal standard generator gives a serial program.
     init: str = "hash"
     # Blocks per side for stratified descent; None picks by data size and ``parallelism``.
     blocks: int | None = None
@@ -34,8 +37,8 @@ class Engine:
     parallelism: int = strata.PARALLELISM
     # Mini-batches are 'global', exact steps of one job each, or 'blockwise', steps inside blocks.
     batching: str = "global"
-    # Train rows with very many records as averaged copies; False keeps every row exact.
-    split_hot: bool = True
+    # Train rows with very many records as averaged copies; otherwise every row is exact.
+    split_hot: bool = False
     # Records per part of parallel descent; None picks what fits a task at the run's width.
     records_per_part: int | None = None
     # Keep the laid-out ratings cached on the executors between epochs.
@@ -79,32 +82,66 @@ class _Epochs:
     """The prepared ratings of one run and the step from one state to the next."""
 
     def __init__(self, config: RunConfig, engine: Engine, ratings: DataFrame, num_users: int, num_items: int,
-                 num_records: int, skew: RatingSkew, scorer: _Scorer):
+                 num_records: int, skew: RatingSkew, scorer: _Scorer, ledger: EpochLedger | None = None):
         self.config = config
         self.skew = skew
         self.scorer = scorer
         self.plan = config.method
         self.layout = ""
+        self.ledger = ledger
+        self._root = ledger and ledger.path
         self._ratings = ratings
         self._owned: list = []
+        self._batches = math.ceil(num_records / config.batch_size)
         if self.plan == "gd":
             return
-        width = config.num_features
+        if self.plan == "minibatch":
+            if engine.batching == "blockwise":
+                self.plan = "blockwise_minibatch"
+            elif self._batches > batch_gd.MAX_DATAFRAME_BATCHES:
+                raise ValueError(f"{self._batches} global batches an epoch, at most "
+                                 f"{batch_gd.MAX_DATAFRAME_BATCHES} are run; use Engine(batching='blockwise')")
+        if not (ledger and self._kept(ledger, engine)):
+            self._lay_out(ratings, engine, num_users, num_items, num_records)
+        if isinstance(self._ratings, strata.BlockedRatings):
+            blocks = self._ratings.blocks
+            self.layout = f"{blocks} x {blocks} blocks" + ", frequent rows split" * self._ratings.split
+
+    def _kept(self, ledger: EpochLedger, engine: Engine) -> bool:
+        """Take up the layout that an earlier driver left in the ledger."""
+        kept = ledger.layout()
+        if kept is None:
+            return False
+        tables = {name: table and ledger.table(table) for name, table in kept["tables"].items()}
+        if self.plan == "minibatch":
+            self._ratings = tables["batched"].df
+        elif self.plan in ("local_sgd", "row_sgd"):
+            self._ratings = PartedRatings(tables["records"], tables["touched"], tables["hot"], kept["values"]["parts"],
+                                          engine.cache)
+        else:
+            self._ratings = strata.BlockedRatings(tables, kept["values"]["blocks"], engine.cache)
+        return True
+
+    def _keep(self, values: dict, tables: dict) -> None:
+        """Tables of the layout stay in the ledger, or go with the run."""
+        if self.ledger:
+            self.ledger.keep_layout(values, tables)
+        else:
+            self._owned += [table for table in tables.values() if table]
+
+    def _lay_out(self, ratings: DataFrame, engine: Engine, num_users: int, num_items: int, num_records: int) -> None:
+        config, width = self.config, self.config.num_features
         positioned = ordering.shuffled_positions(ratings, "rec_id", engine.seed, method=engine.shuffle)
         if self.plan == "minibatch":
-            self._batches = math.ceil(num_records / config.batch_size)
-            if engine.batching == "global":
-                if self._batches > batch_gd.MAX_DATAFRAME_BATCHES:
-                    raise ValueError(f"{self._batches} global batches an epoch, at most "
-                                     f"{batch_gd.MAX_DATAFRAME_BATCHES} are run; use Engine(batching='blockwise')")
-                batched = ordering.batch_numbers(positioned, config.batch_size)
-                table = stage(batched.repartitionByRange("batch", "rec_id"), "batched-ratings", ["batch"])
-                self._ratings = table.df
-                self._owned.append(table)
-                return
-            self.plan = "blockwise_minibatch"
-        if self.plan in ("local_sgd", "row_sgd"):
+            if engine.shuffle == "bijective" and ratings.agg(F.max("rec_id")).first()[0] != num_records - 1:
+                raise ValueError("global batches by a bijection need record numbers without gaps")
+            batched = ordering.batch_numbers(positioned, config.batch_size)
+            table = stage(batched.repartitionByRange("batch", "rec_id"), "batched-ratings", ["batch"], self._root)
+            self._ratings = table.df
+            self._keep({}, {"batched": table})
+        elif self.plan in ("local_sgd", "row_sgd"):
             size = engine.records_per_part or local_sgd.part_records(width)
+            deduped = None
             if self.plan == "local_sgd":
                 parts = local_sgd.parts_by_record(positioned, size)
             else:
@@ -113,27 +150,26 @@ class _Epochs:
                 ordered.drop()
                 offsets = ordering.user_offsets(deduped.df, num_users, engine.seed, engine.shuffle)
                 parts = local_sgd.parts_by_user(deduped.df, offsets, size, engine.split_hot)
-                self._owned.append(deduped)
-            self._ratings = PartedRatings.of(parts, config.storage, cache=engine.cache)
-            self._owned.append(self._ratings)
-            return
-        blocks = engine.blocks or strata.choose_blocks(num_records, num_users + num_items, width, engine.parallelism)
-        self._ratings = strata.BlockedRatings.of(positioned, blocks, config.storage, engine.cache,
-                                                 split_hot=engine.split_hot)
-        self.layout = f"{blocks} x {blocks} blocks" + ", frequent rows split" * self._ratings.split
-        self._owned.append(self._ratings.table)
+            self._ratings = PartedRatings.of(parts, config.storage, cache=engine.cache, root=self._root)
+            if deduped:
+                deduped.drop()
+            self._keep({"parts": self._ratings.num_parts}, self._ratings.tables)
+        else:
+            blocks = engine.blocks or strata.choose_blocks(num_records, num_users + num_items, width, engine.parallelism)
+            self._ratings = strata.BlockedRatings.of(positioned, blocks, config.storage, engine.cache,
+                                                     split_hot=engine.split_hot, root=self._root)
+            self._keep({"blocks": blocks}, self._ratings.tables)
 
     def step(self, state: DataFrame) -> StagedTable:
         c = self.config
         common = (c.num_features, c.learning_rate, c.regularization_factor, c.storage)
         if self.plan == "gd":
-            return stage(self.scorer.descend(state, c), "factors")
+            return stage(self.scorer.descend(state, c), "factors", root=self._root)
         if self.plan == "minibatch":
-            return batch_gd.minibatch_epoch(self._ratings, self._batches, state, *common, self.skew)
+            return batch_gd.minibatch_epoch(self._ratings, self._batches, state, *common, self.skew, self._root)
         if self.plan in ("local_sgd", "row_sgd"):
-            return local_sgd.local_epoch(self._ratings, state, *common)
-        rule = {"sgd": "sgd", "adagrad": "adagrad", "minibatch": "minibatch"}[c.method]
-        return strata.stratified_epoch(self._ratings, state, rule, *common, c.batch_size)
+            return local_sgd.local_epoch(self._ratings, state, *common, self._root)
+        return strata.stratified_epoch(self._ratings, state, c.method, *common, c.batch_size, self._root)
 
     def release(self) -> None:
         if hasattr(self._ratings, "release"):
@@ -143,11 +179,16 @@ class _Epochs:
 
 
 def fit(train: DataFrame, test: DataFrame | None = None, config: RunConfig = RunConfig(),
-        engine: Engine = Engine(), num_users: int | None = None, num_items: int | None = None) -> FactorModel:
+        engine: Engine = Engine(), num_users: int | None = None, num_items: int | None = None,
+        resume: str | None = None) -> FactorModel:
     """Factorize ``train`` (``rec_id, user_id, item_id, rating``) and report errors per epoch.
 
     The dimensions default to the largest ids of ``train`` plus one. Test records with ids
     outside them are left out of the test error.
+
+    ``resume`` names a ledger folder on storage that outlives the driver. Every epoch is committed there,
+    and a call with the same ratings, configuration and engine goes on behind the last committed one; with
+    more epochs it trains a finished run further.
     """
     if engine.batching not in ("global", "blockwise"):
         raise ValueError("batching must be 'global' or 'blockwise'")
@@ -156,24 +197,30 @@ def fit(train: DataFrame, test: DataFrame | None = None, config: RunConfig = Run
     columns = ("rec_id", "user_id", "item_id", "rating")
     inputs = [stage(df.select(*columns), name) for df, name in ((train, "train"), (test, "test")) if df is not None]
     try:
-        return _fit(inputs[0].df, inputs[1].df if test is not None else None, config, engine, num_users, num_items)
+        return _fit(inputs[0].df, inputs[1].df if test is not None else None, config, engine, num_users, num_items,
+                    EpochLedger(spark, resume) if resume else None)
     finally:
         for table in inputs:
             table.drop()
 
 
 def _fit(train: DataFrame, test: DataFrame | None, config: RunConfig, engine: Engine, num_users: int | None,
-         num_items: int | None) -> FactorModel:
+         num_items: int | None, ledger: EpochLedger | None) -> FactorModel:
     spark = train.sparkSession
     size = profiles.dimensions(train).first()
     users = size.num_users if num_users is None else num_users
     items = size.num_items if num_items is None else num_items
     if size.num_users > users or size.num_items > items:
         raise ValueError(f"ids reach {size.num_users} x {size.num_items}, beyond {users} x {items}")
+    if ledger:
+        options = {**asdict(engine), "cache": None}
+        ledger.open({"config": {**config.to_dict(), "max_num_iterations": None}, "engine": options,
+                     "users": users, "items": items, "train": fingerprint(train),
+                     "test": None if test is None else fingerprint(test)})
 
     owned: list = []
     state = None
-    rows = []
+    rows = [(c["epoch"], c["train"], c["test"], c["seconds"]) for c in ledger.commits()] if ledger else []
 
     def own(made):
         owned.append(made)
@@ -182,8 +229,9 @@ def _fit(train: DataFrame, test: DataFrame | None, config: RunConfig, engine: En
     def report(number: int, seconds: float | None) -> None:
         errors = {name: scorer.rmse(state.df) for name, scorer in scorers.items()
                   if name == "test" or config.show_train_rmse}
-        if errors or seconds is not None:
-            rows.append((number, errors.get("train"), errors.get("test"), seconds))
+        rows.append((number, errors.get("train"), errors.get("test"), seconds))
+        if ledger:
+            ledger.commit(number, state, {"train": errors.get("train"), "test": errors.get("test")}, seconds)
 
     try:
         skew = RatingSkew.staged(train)
@@ -193,23 +241,29 @@ def _fit(train: DataFrame, test: DataFrame | None, config: RunConfig, engine: En
             scorers["train"] = own(_Scorer(train, size.num_records, *shape))
         if config.show_test_rmse and test is not None:
             scorers["test"] = own(_Scorer(test, test.count(), *shape))
-        epochs = own(_Epochs(config, engine, train, users, items, size.num_records, skew, scorers.get("train")))
-        state = stage(factors.init_state(spark, users, items, config.num_features, engine.init, config.storage,
-                                         accumulators=config.method == "adagrad"), "factors")
-        report(0, None)
-        for number in range(1, config.max_num_iterations + 1):
+        epochs = own(_Epochs(config, engine, train, users, items, size.num_records, skew, scorers.get("train"), ledger))
+        done, state = (ledger.last() if ledger else None) or (0, None)
+        if state is None:
+            state = stage(factors.init_state(spark, users, items, config.num_features, engine.init, config.storage,
+                                             accumulators=config.method == "adagrad"), "factors",
+                          root=ledger and ledger.path)
+            report(0, None)
+        for number in range(done + 1, config.max_num_iterations + 1):
             started = time.perf_counter()
             following = epochs.step(state.df)
             seconds = time.perf_counter() - started
-            state.drop()
+            if not ledger:
+                state.drop()
             state = following
             report(number, seconds)
     except BaseException:
-        if state is not None:
+        # What a ledger committed stays; the rest is swept when it is opened again.
+        if state is not None and not ledger:
             state.drop()
         raise
     finally:
         for used in owned:
             used.release()
         skew.drop()
-    return FactorModel(state.df, config, spark.createDataFrame(rows, METRICS_SCHEMA), epochs.plan, epochs.layout)
+    reported = [row for row in rows if any(value is not None for value in row[1:])]
+    return FactorModel(state.df, config, spark.createDataFrame(reported, METRICS_SCHEMA), epochs.plan, epochs.layout)

@@ -29,6 +29,51 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
+class Folder:
+    """Small files under a path of any file system that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm = spark.sparkContext._jvm
+        self.path = path
+        root = self._path("")
+        self._system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, name: str = "") -> list[str]:
+        """Names of what lies there; none if it is missing."""
+        if not self._system.exists(self._path(name)):
+            return []
+        return [entry.getPath().getName() for entry in self._system.listStatus(self._path(name))]
+
+    def read(self, name: str) -> str | None:
+        """The text of a file, or None if it is missing."""
+        if not self._system.exists(self._path(name)):
+            return None
+        stream = self._system.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Write a file whole or not at all; one that is there already is an error."""
+        folder, _, base = name.rpartition("/")
+        beside = f"{folder}/.{base}-{uuid.uuid4().hex}"
+        stream = self._system.create(self._path(beside), False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if self._system.exists(self._path(name)) or not self._system.rename(self._path(beside), self._path(name)):
+            self._system.delete(self._path(beside), False)
+            raise FileExistsError(f"{self.path}/{name}")
+
+    def delete(self, name: str) -> None:
+        self._system.delete(self._path(name), True)
+
+
 class StagedTable:
     """A DataFrame backed by files this process wrote, with a way to drop them."""
 
@@ -37,15 +82,13 @@ class StagedTable:
         self.path = path
 
     def drop(self) -> None:
-        context = self.df.sparkSession.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        Folder(self.df.sparkSession, self.path).delete("")
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> StagedTable:
-    """Write ``df`` to the shared folder and return the table read back from it."""
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, root: str | None = None) -> StagedTable:
+    """Write ``df`` to the shared folder, or under ``root``, and return the table read back from it."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/ratingloom/{name}-{uuid.uuid4().hex}"
+    path = f"{root or shared_root(spark)}/ratingloom/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

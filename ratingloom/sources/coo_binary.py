@@ -3,14 +3,16 @@
 Little-endian: a header ``users, items, records`` and then 12-byte records
 ``user, item, rating``. The record count takes 4 bytes (layout ``narrow``) or 8 (``wide``).
 Records have a fixed size, so a file is cut into byte ranges that tasks read on their own,
-and a record's position follows from its offset.
+and a record's position follows from its offset. A filter on ``rec_id`` bounds leaves ranges
+outside unread.
 """
 
 from __future__ import annotations
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual,
+                                    InputPartition, LessThan, LessThanOrEqual)
 
 # Fixed values of the file format.
 RECORD_BYTES = 12
@@ -61,9 +63,29 @@ class CooBinaryReader(DataSourceReader):
         self.layout = options.get("layout", "narrow")
         self.range_bytes = int(options.get("rangeBytes", DEFAULT_RANGE_BYTES))
         self.what = options.get("what", "records")
+        # Records wanted, by number; filters narrow this.
+        self.first, self.end = 0, 1 << 63
         if self.layout not in HEADERS:
             raise ValueError(f"layout must be one of {sorted(HEADERS)}, not {self.layout!r}")
 
+    def pushFilters(self, filters):
+        """Take over bounds of ``rec_id``; other filters stay with Spark."""
+        for given in filters:
+            bounds = self._bounds(given)
+            if bounds is None:
+                yield given
+            else:
+                self.first, self.end = max(self.first, bounds[0]), min(self.end, bounds[1])
+
+    @staticmethod
+    def _bounds(given) -> tuple[int, int] | None:
+        """First and end of the record numbers that a filter lets through."""
+        if getattr(given, "attribute", None) != ("rec_id",) or not isinstance(getattr(given, "value", None), int):
+            return None
+        n, all_of = given.value, (0, 1 << 63)
+        return {EqualTo: (n, n + 1), GreaterThan: (n + 1, all_of[1]), GreaterThanOrEqual: (n, all_of[1]),
+                LessThan: (0, n), LessThanOrEqual: (0, n + 1)}.get(type(given))
+
     def _header(self, path: str) -> tuple[int, int, int]:
         import numpy as np
         system, plain = open_path(path)
@@ -85,8 +107,9 @@ class CooBinaryReader(DataSourceReader):
             if self.what == "header":
                 ranges.append(ByteRange(path, 0, 0, start, header))
             else:
-                ranges += [ByteRange(path, first, min(step, records - first), start + first, header)
-                           for first in range(0, records, step)]
+                begin, end = max(0, self.first - start), min(records, self.end - start)
+                ranges += [ByteRange(path, first, min(step, end - first), start + first, header)
+                           for first in range(begin, end, step)]
             start += records
         return ranges or [ByteRange(self.path, 0, 0, 0, (0, 0, 0))]
 
@@ -138,6 +161,8 @@ def _load(spark: SparkSession, path: str, layout: str, what: str, range_bytes: i
     import sys
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(CooBinarySource)
+    # Spark asks Python sources for filters only where this is set.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return (spark.read.format("coo_binary").option("layout", layout).option("what", what)
             .option("rangeBytes", str(range_bytes)).load(path))
 

@@ -208,3 +208,20 @@ def test_one_configuration_file_and_all_unknown_keys(spark, tmp_path):
         read_run_config(spark, str(tmp_path / "runs"))
     with pytest.warns(UserWarning, match="20 unrecognized"):
         assert read_run_config(spark, str(tmp_path / "runs" / "a.in")).num_features == 3
+
+
+def test_record_ranges_outside_a_filter_are_not_opened(spark, tmp_path, make_ratings):
+    from ratingloom import fixtures
+    from ratingloom.operators import profiles
+    from ratingloom.sources import coo_binary
+    records = make_ratings([(n % 7, n % 5, float(n % 3)) for n in range(1000)])
+    path = fixtures.write_coo_binary(records, profiles.dimensions(records).first(), str(tmp_path / "r.bin"), "narrow", 0, files=2)
+    ranged = coo_binary.read_coo_binary(spark, path, range_bytes=600).where("rec_id >= 230 and rec_id < 270 and user_id <> 3")
+    assert ranged.rdd.getNumPartitions() == 1
+    assert sorted(r.rec_id for r in ranged.collect()) == [n for n in range(230, 270) if n % 7 != 3]
+    assert [r.rec_id for r in coo_binary.read_coo_binary(spark, path).where("rec_id = 777").collect()] == [777]
+    assert coo_binary.read_coo_binary(spark, path).where("rec_id > 5000").count() == 0
+    reader = coo_binary.CooBinaryReader({"path": path, "layout": "narrow", "rangeBytes": "600"})
+    whole = reader.partitions()
+    list(reader.pushFilters([coo_binary.GreaterThan(("rec_id",), 699), coo_binary.LessThanOrEqual(("rec_id",), 720)]))
+    assert len(whole) == 20 and sum(p.count for p in reader.partitions()) == 21

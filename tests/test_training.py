@@ -218,7 +218,7 @@ def skewed(n=3000):
 def test_hot_rows_are_split_and_every_rating_is_used(spark, make_ratings):
     triples = skewed()
     blocks = 4
-    ratings = strata.BlockedRatings.of(positioned(make_ratings(triples)), blocks, min_split=10)
+    ratings = strata.BlockedRatings.of(positioned(make_ratings(triples)), blocks, min_split=10, split_hot=True)
     assert ratings.split
     sizes = ratings.table.df.groupBy("stratum", "block").count().agg(F.max("count"), F.sum("count")).first()
     assert sizes[1] == len(triples)
@@ -234,7 +234,7 @@ def test_hot_rows_are_split_and_every_rating_is_used(spark, make_ratings):
 
 def test_split_rows_are_the_weighted_mean_of_their_copies(spark, make_ratings):
     triples = [(0, i % 5, 3.0) for i in range(60)]
-    ratings = strata.BlockedRatings.of(positioned(make_ratings(triples)), 2, min_split=10)
+    ratings = strata.BlockedRatings.of(positioned(make_ratings(triples)), 2, min_split=10, split_hot=True)
     table = factors.init_state(spark, 1, 5, 2)
     placed = {r.pos: (r.user_key % strata.COPY_SPAN, r.item_key % strata.COPY_SPAN, r.stratum, r.block)
               for r in ratings.table.df.collect()}
