@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingloom.llm.tables import documents, slices
-from ratingloom.llm.token_ids import encoder
+from ratingloom.llm.token_ids import SLICE_BYTES, encoder
 from ratingloom.session import stage
 
 CAPACITY = 2048
@@ -79,8 +79,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int =
         part_id = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
-            for part in slices(batch):
-                ids, firsts = encode.encode(part.column("text").to_pylist(), end)
+            for part in slices(batch, limit=SLICE_BYTES):
+                ids, firsts = encode.encode(part.column("text"), end)
                 ids = ids.astype("<u4")
                 rows = []
                 for name, low, high in zip(part.column("doc_id").to_pylist(), firsts[:-1].tolist(),

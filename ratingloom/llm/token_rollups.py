@@ -40,7 +40,7 @@ def file_tokens(path: str):
     """Tokens by a public tokenizer file, as a function of a text column."""
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        _, firsts = encoder(path).encode(texts.to_pylist())
+        _, firsts = encoder(path).encode(texts)
         return pa.array(firsts[1:] - firsts[:-1], pa.int64())
     return count
 

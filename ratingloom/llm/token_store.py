@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingloom.llm.tables import documents, slices
-from ratingloom.llm.token_ids import encoder
+from ratingloom.llm.token_ids import SLICE_BYTES, encoder
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
@@ -84,8 +84,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, doc_i
                 "packed": pa.array([pack(np.concatenate(parts), width)], pa.binary())})
 
         for batch in batches:
-            for part in slices(batch):
-                ids, firsts = encode.encode(part.column("text").to_pylist(), end)
+            for part in slices(batch, limit=SLICE_BYTES):
+                ids, firsts = encode.encode(part.column("text"), end)
                 for name, low, high in zip(part.column("doc_id").to_pylist(), firsts[:-1], firsts[1:]):
                     if names and filled + high - low > BLOCK_IDS:
                         yield close()

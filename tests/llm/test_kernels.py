@@ -60,7 +60,7 @@ def test_remembered_pieces_encode_like_whole_texts(texts):
 def test_forgetting_pieces_changes_no_ids(encoder, monkeypatch):
     texts = [f"word{k} other{k} {k}" for k in range(50)]
     before, _ = encoder.encode(texts)
-    monkeypatch.setattr(token_ids, "MEMORY", 10)
+    monkeypatch.setattr(token_ids, "MEMORY_BYTES", 10)
     for k in range(3):
         after, _ = encoder.encode(texts)
         assert (before == after).all()
@@ -133,3 +133,16 @@ def test_dictionary_from_few_texts_and_prior_without_labels():
     assert QualityModel(b"", b"", (), 0.25, bounds).scores(["", "x" * 9999]).tolist() == [0.25, 0.25]
     model = QualityModel(b"good text " * 9, b"bad text " * 9, (0.0, 5.0, 0.0), 0.5, bounds)
     assert ((0 <= model.scores(["", "good text good text", "é" * 5000])) & (model.scores(["", "a", "b"]) <= 1)).all()
+
+
+def test_memory_turns_over(encoder, monkeypatch):
+    """Generations fill, move over and drop out while texts go on; long pieces are not remembered."""
+    monkeypatch.setattr(token_ids, "MEMORY_BYTES", 4_000)
+    own = token_ids.Encoder(token_ids.tokenizer_path())
+    for k in range(60):
+        texts = [f"often {'long' * 40} w{k} w{k - 1} w{k // 2}  x", ""]
+        ids, firsts = own.encode(texts, 0)
+        want = own.tokenizer.encode(texts[0], add_special_tokens=False).ids + [0]
+        assert ids[: firsts[1]].tolist() == want and ids[firsts[1]:].tolist() == [0]
+    assert own.young.bytes + own.old.bytes < 20_000
+    assert not any(len(piece) > token_ids.LONGEST_PIECE for piece in own.young.slots)
