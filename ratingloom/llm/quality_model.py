@@ -28,7 +28,7 @@ _compressors: dict[tuple[bytes, int], zstandard.ZstdCompressor] = {}
 class FitBounds:
     """What is learned from at most: documents of each label for the dictionaries, and as many others for calibration.
 
-    ``piece`` and ``pieces`` bound what the dictionaries take of one document.
+    The dictionaries take ``pieces`` stretches of at most ``piece`` characters of a document, spread over all of it.
     """
 
     documents: int = 2500
@@ -93,9 +93,8 @@ def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 def train_dictionary(texts: list[str], bounds: FitBounds) -> bytes:
-    """A dictionary from pieces of texts; their plain bytes where there are too few to train on."""
-    pieces = [data[k: k + bounds.piece] for data in (t.encode() for t in texts)
-              for k in range(0, min(len(data), bounds.piece * bounds.pieces), bounds.piece)]
+    """A dictionary from stretches of texts; their plain bytes where there are too few to train on."""
+    pieces = [text.encode() for text in texts if text]
     try:
         return zstandard.train_dictionary(bounds.dictionary_bytes, pieces).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -144,9 +143,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bounds: FitBounds = FitBound
     # At most 4 * bounds.documents ids, whatever the input.
     learned = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_column(text).alias("text")).join(
         F.broadcast(chosen), "doc_id").withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)))
-    taken = bounds.piece * bounds.pieces
-    trained = learned.where("turn = 0").select(
-        "quality", F.substring("text", 1, taken).alias("text")).toArrow().to_pydict()
+    step = F.greatest(F.lit(bounds.piece), F.ceil(F.length("text") / bounds.pieces)).cast("int")
+    stretches = F.transform(F.sequence(F.lit(0), F.lit(bounds.pieces - 1)),
+                            lambda k: F.substring(F.col("text"), k * step + 1, F.lit(bounds.piece)))
+    # In an order of its own, so that the layout of the files does not matter.
+    trained = learned.where("turn = 0").select("quality", "doc_id", "text", F.posexplode(stretches).alias("place", "part")).orderBy(
+        F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "place").select("quality", F.col("part").alias("text")).toArrow().to_pydict()
     texts = {label: [t for t, q in zip(trained["text"], trained["quality"]) if q == label] for label in (0, 1)}
     draft = QualityModel(train_dictionary(texts[1], bounds), train_dictionary(texts[0], bounds), (), prior, bounds)
     measured = learned.where("turn = 1").mapInArrow(
@@ -155,6 +157,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bounds: FitBounds = FitBound
     if len(set(marks.tolist())) < 2:
         return QualityModel(b"", b"", (), prior, bounds)
     features = np.column_stack([measured.column("difference").to_numpy(), measured.column("size").to_numpy()])
+    order = np.lexsort([features[:, 1], features[:, 0], marks])
+    features, marks = features[order], marks[order]
     share = {label: counts[label] / total / (marks == label).sum() * len(marks) for label in (0, 1)}
     weights = np.where(marks == 1, share[1], share[0])
     return QualityModel(draft.good, draft.bad, calibrate(features, marks.astype(float), weights), prior, bounds)

@@ -25,12 +25,11 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class RatioRule:
-    """Slots of the multinomials, smoothing, the threshold, and how many trusted documents are read at most."""
+    """Slots of the multinomials, smoothing and the threshold."""
 
     slots: int = 1 << 16
     smoothing: float = 0.5
     threshold: float = -0.1
-    trusted: int = 20_000
 
 
 def words(text: Column) -> Column:
@@ -86,11 +85,10 @@ def _repeated_words(rows: DataFrame) -> DataFrame:
 def _ratios(rows: DataFrame, trusted: DataFrame, rule: RatioRule) -> Column:
     """The log ratios of all slots, by slot, as one array of fixed length (a scalar subquery).
 
-    At most ``rule.trusted`` ids, those of least hash, are broadcast; the corpus is counted whole.
+    All trusted documents and the whole corpus are counted. Spark broadcasts the ids where they are small.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.trusted).withColumn("_trusted", F.lit(1))
-    marked = rows.join(F.broadcast(some), "doc_id", "left")
+    marked = rows.join(ids.withColumn("_trusted", F.lit(1)), "doc_id", "left")
     counts = (_with_keys(marked).select(F.explode(_slots(rule)).alias("slot"), "_trusted")
               .groupBy("slot").agg(F.count("*").alias("corpus"), F.count("_trusted").alias("target")))
     counts = stage(counts, "slots").df

@@ -42,3 +42,20 @@ def test_run_packs_what_is_left(spark):
     rows = corpus_pipeline.run(spark, SF_DIR)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert 0 < rows.select("doc_id").distinct().count() < 200
+
+
+def test_rows_with_null_and_shared_ids(spark):
+    """Copies go by text, clean rows stay whatever their id, and other columns pass through."""
+    text = " ".join(f"word{k}" for k in range(40))
+    clean = " ".join(f"other{k}" for k in range(40))
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text
+    rows = [(None, text), (None, text), (5, text), (5, text), (6, text), (5, clean), (None, f"{clean} {item}"), (6, item)]
+    docs = spark.createDataFrame([(i, t, "s", len(t), 7, 8) for i, t in rows],
+                                 "doc_id long, text string, source string, n_chars long, n_lines int, `a.b` int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept if r.text in (text, clean)) == [(0, text), (5, clean)]
+    assert len(kept) == 4
+    kept = corpus_pipeline.drop_contaminated(spark, docs, SF_DIR).collect()
+    assert len(kept) == 6 and not any(item in r.text for r in kept)
+    kept = corpus_pipeline.drop_repeated_lines(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns and {r["n_lines"] for r in kept.collect()} == {7}
