@@ -482,7 +482,9 @@ def _corpus() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict
     try:
         import corpus_pipeline
         from ratingloom.llm import queries as corpus
-    except ImportError:
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "ratingloom.llm"):
+            raise
         return {}, {}
     statements = corpus.oracle_sql()
     if corpus_pipeline.ORACLE_SQL is not None:

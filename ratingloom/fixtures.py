@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom.operators.ordering import range_positions
+from ratingloom.sources import part_files
 
 # Every tenth record is held out for testing.
 TEST_EVERY = 10
@@ -64,32 +65,10 @@ def file_count(num_records: int) -> int:
 
 def write_coo_binary(records: DataFrame, dims, path: str, layout: str, id_base: int, files: int = 1) -> str:
     """Write ``records`` in ``rec_id`` order as coordinate binary files, one task per file."""
-    import numpy as np
-    import pyarrow as pa
-    from ratingloom.sources.coo_binary import open_path
-
-    header_type = {"narrow": "<u4,<u4,<u4", "wide": "<u4,<u4,<u8"}[layout]
-    sizes = (int(dims.num_users), int(dims.num_items))
+    part_files.register(records.sparkSession)
     total = max(1, dims.num_records)
     placed = (records.withColumn("file", F.floor(F.col("rec_id") * files / total).cast("int"))
-              .repartitionById(files, "file").sortWithinPartitions("rec_id")
-              .select("file", "user_id", "item_id", "rating"))
-
-    def write(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)
-        body = np.zeros(table.num_rows, dtype="<u4,<u4,<f4")
-        body["f0"] = table.column("user_id").to_numpy() + id_base
-        body["f1"] = table.column("item_id").to_numpy() + id_base
-        body["f2"] = table.column("rating").to_numpy()
-        head = np.array([(*sizes, table.num_rows)], dtype=header_type)
-        system, folder = open_path(path)
-        system.create_dir(folder)
-        with system.open_output_stream(f"{folder}/part-{table.column('file')[0].as_py():05d}.bin") as out:
-            out.write(head.tobytes() + body.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int64())], names=["n"])
-
-    placed.mapInArrow(write, "n long").agg(F.sum("n")).first()
+              .repartitionById(files, "file").sortWithinPartitions("rec_id").select("user_id", "item_id", "rating"))
+    (placed.write.format("coo_binary_files").mode("append").option("layout", layout).option("idBase", id_base)
+     .option("numUsers", dims.num_users).option("numItems", dims.num_items).save(path))
     return path

@@ -82,7 +82,7 @@ class FactorModel:
         state = sides[0].unionByName(sides[1]).select("side", "id", *lists)
         return cls(state, config)
 
-    def export_text(self, folder: str) -> tuple[str, str]:
-        """Write both factor tables as text, users first; returns the two paths."""
-        return (write_factor_text(self.user_factors, folder, "user"),
-                write_factor_text(self.item_factors, folder, "item"))
+    def export_text(self, folder: str, single: bool = False) -> tuple[str, str]:
+        """Write both factor tables as text, users first, each as a folder or a ``single`` file; returns the two paths."""
+        return (write_factor_text(self.user_factors, folder, "user", single=single),
+                write_factor_text(self.item_factors, folder, "item", single=single))

@@ -1,10 +1,12 @@
 """Coordinate-format text: ``%`` comments, a header line, then ``user item rating`` lines.
 
 Lines of a split file arrive in many tasks, while both the header and the record order
-depend on the line number. Line numbers come from two facts Spark keeps: the byte at which
-a file block starts, and the order of rows inside a block. The files are read once; lines are
-written with both, split into values, and numbered from what was written, so that how files
-are split into tasks never matters.
+depend on the line number. Tasks read fixed byte ranges that begin at line breaks; a first
+pass counts the lines of each range, and a line's number follows from its place in the range.
+
+Where tasks can not open the files themselves (patterns, packed files, stores that only Spark
+reads), Spark's text reader gives the byte at which a block starts and the order of rows
+inside it. How it splits files may change between two reads, so lines are then written once.
 """
 
 from __future__ import annotations
@@ -13,6 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingloom.session import stage
+from ratingloom.sources import text_ranges
+
+
+def _split(lines: DataFrame) -> DataFrame:
+    tokens = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    return lines.select("file", "block", "line_id", *[F.get(tokens, F.lit(k)).alias(f"t{k}") for k in range(3)])
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -20,10 +28,8 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     text = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     kept = text.where(~F.startswith("value", F.lit("%")) & (F.trim(F.translate("value", "\t\r", "  ")) != ""))
-    tokens = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     # Increasing within a task; a task reads each of its blocks from start to end.
-    return kept.select("file", "block", F.monotonically_increasing_id().alias("line_id"),
-                       *[F.get(tokens, F.lit(k)).alias(f"t{k}") for k in range(3)])
+    return _split(kept.withColumn("line_id", F.monotonically_increasing_id()))
 
 
 def _token(position: int, kind: str, prefix: str = "t") -> F.Column:
@@ -32,19 +38,25 @@ def _token(position: int, kind: str, prefix: str = "t") -> F.Column:
 
 
 class CooText:
-    """Text files of one rating set, with their lines written once."""
-
-    def __init__(self, spark: SparkSession, path: str | list[str]):
-        self._lines = stage(_lines(spark, path), "text-lines")
+    """Text files of one rating set, read by fixed byte ranges where tasks can open them, else written once."""
+
+    def __init__(self, spark: SparkSession, path: str | list[str], range_bytes: int = text_ranges.DEFAULT_RANGE_BYTES):
+        if isinstance(path, str) and text_ranges.reachable(path):
+            self._written = None
+            self._lines = _split(text_ranges.read_lines(spark, path, range_bytes))
+        else:
+            self._written = stage(_lines(spark, path), "text-lines")
+            self._lines = self._written.df
         earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = self._lines.df.groupBy("file", "block").agg(
+        sizes = self._lines.groupBy("file", "block").agg(
             F.count("*").alias("n"), F.min("line_id").alias("first"),
             *[F.min_by(f"t{k}", "line_id").alias(f"h{k}") for k in range(3)])
         self.blocks = stage(sizes.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "text-blocks")
 
     def drop(self) -> None:
-        """Delete the written lines; readers of ``records`` must be done."""
-        self._lines.drop()
+        """Delete what was written; readers of ``records`` must be done."""
+        if self._written:
+            self._written.drop()
         self.blocks.drop()
 
     def header(self) -> DataFrame:
@@ -73,7 +85,7 @@ class CooText:
         index = self.blocks.df.select("file", "block", "first", "base").join(starts, "file")
         number = F.col("base") + F.col("line_id") - F.col("first")
         # A row a block of some megabytes: small enough to broadcast as a rule; Spark decides by size.
-        numbered = self._lines.df.join(index, ["file", "block"]).withColumn("number", number)
+        numbered = self._lines.join(index, ["file", "block"]).withColumn("number", number)
         return numbered.where((F.col("number") > 0) & (F.col("number") <= F.col("num_records"))).select(
             (F.col("start") + F.col("number") - 1).alias("rec_id"),
             (_token(0, "long") - id_base).try_cast("int").alias("user_id"),
