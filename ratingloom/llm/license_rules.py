@@ -11,6 +11,7 @@ Texts have A-Z folded. The rules are built from a table of licenses and a few wa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import cache
 
@@ -29,7 +30,7 @@ BASE_PHRASES = (
 )
 
 # Label, words of which every name of the license contains one, names (regular
-# expressions; a blank stands for any white space), identifier and address.
+# expressions; a blank stands for white space and comment marks), identifier and address.
 LICENSES = (
     ("0bsd", "bsd", r"(?:zero[- ]clause|0[- ]clause) bsd(?: license)?|0bsd(?: license)?", "0bsd", "opensource.org/licenses/0bsd"),
     ("afl-3.0", "academic", r"academic free license(?: v(?:ersion)?\.? ?3\.0)?", "afl-3.0", "opensource.org/licenses/afl-3.0"),
@@ -104,7 +105,7 @@ NOTICES = (
     ("mit", "hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy", 85, 1.0),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification", 85, 0.9),
     ("isc", "permission", r"permission to use, copy, modify, and/or distribute this software for any purpose", 85, 1.0),
-    ("public-domain", "domain", r"(?:released|placed|dedicated|contributed) (?:in|in)?to the public domain|public domain dedication", 75, 0.8),
+    ("public-domain", "domain", r"(?:released|placed|dedicated|contributed) (?:in(?:to)?|to) the public domain|public domain dedication", 75, 0.8),
     ("proprietary", "reserved", r"all rights reserved", 20, 0.3),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)(?: information)?", 65, 0.8),
     ("copyright", "copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d", 10, 0.2),
@@ -122,15 +123,29 @@ class SignatureRule:
     score: float
 
 
+def _wrapped(pattern: str) -> str:
+    """Let a blank stand for white space and comment marks, so that wrapped and commented headers match.
+
+    A run is at most 40 long, which bounds the work on long stretches of white space. In a character
+    class a blank is any white space.
+    """
+    def replaced(found: re.Match) -> str:
+        if found[0][0] == "[":
+            return found[0].replace(" ", r"\s")
+        return r"[\s*#/]{0,40}" if len(found[0]) > 1 else r"[\s*#/]{1,40}"
+
+    return re.sub(r"\[[^\]]*\]| [?*]?", replaced, pattern)
+
+
 def default_rules() -> tuple[SignatureRule, ...]:
     """Every form of every license, and the notices: some three hundred rules in a fixed order."""
-    rules = [SignatureRule(label, keyword, pattern.replace(" ", r"\s"), priority, score)
+    rules = [SignatureRule(label, keyword, _wrapped(pattern), priority, score)
              for label, keyword, pattern, priority, score in NOTICES]
     for label, keyword, name, identifier, address in LICENSES:
         for form, pattern, priority, score in FORMS:
             gate = {"identifier": "spdx-license-identifier", "address": address}.get(form, keyword)
             filled = pattern.format(id=re.escape(identifier), name=name, url=re.escape(address))
-            rules.append(SignatureRule(label, gate, filled.replace(" ", r"\s"), priority, score))
+            rules.append(SignatureRule(label, gate, _wrapped(filled), priority, score))
     return tuple(rules)
 
 
@@ -155,9 +170,19 @@ class Detector:
         found = [(self.rules[n].priority, m.end() - m.start(), -m.start(), -n, m.end())
                  for n in sorted(candidates) for m in self.patterns[n].finditer(text) if m.end() > m.start()]
         taken: list[tuple[int, int, int]] = []
+        # Taken spans that no other one holds: starts and ends both rise.
+        starts: list[int] = []
+        ends: list[int] = []
         for priority, length, start, number, end in sorted(found, reverse=True):
-            if not any(a <= -start and end <= b for a, b, _ in taken):
-                taken.append((-start, end, -number))
+            start = -start
+            at = bisect_right(starts, start)
+            if at and ends[at - 1] >= end:
+                continue
+            taken.append((start, end, -number))
+            low = bisect_left(starts, start)
+            high = bisect_right(ends, end)
+            starts[low: max(low, high)] = [start]
+            ends[low: max(low, high)] = [end]
         return sorted(taken)
 
 
