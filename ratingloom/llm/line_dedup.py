@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.llm.bitmap import key_bitmap, may_contain
-from ratingloom.llm.tables import slices, text_column
+from ratingloom.llm.tables import slices, text_column, trim
 from ratingloom.llm.text_keys import BLANKS, mix, utf8, windows, words
 from ratingloom.session import stage
 
@@ -169,6 +169,7 @@ def _windows(rows: DataFrame, rule: LineRule, wanted=None) -> DataFrame:
                 yield pa.record_batch({
                     "window": pa.array(keys[keep].view(np.int64)), "doc_id": part.column("doc_id").take(text),
                     "row": part.column("row").take(text), "line": pa.array(line[keep])})
+        trim()
     return rows.mapInArrow(run, "window long" if wanted is None else "window long, doc_id long, row long, line long")
 
 
@@ -226,6 +227,7 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), doc_id: str = "doc
         for part in slices(batch):
             for total, more in zip((kept, totals, removed), _cut(part.column("text"), part.column("lines"), rule)):
                 total += more
+        trim()
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(totals, pa.int64()),
                                            pa.array(removed, pa.int64())], ["text", "n_lines", "n_removed"])
 

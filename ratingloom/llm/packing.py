@@ -92,6 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int =
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")
                 yield pa.record_batch({n: pa.array(c, k) for n, c, k in zip(names, zip(*rows), kinds)})
+        encode.rest()
 
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 

@@ -17,10 +17,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.llm.tables import text_column
+from ratingloom.llm.tables import text_column, trim
 
 #: Rejected below this score.
 THRESHOLD = 0.7
+#: Texts that are held as Python strings at a time.
+SCORED = 500
 _compressors: dict[tuple[bytes, int], zstandard.ZstdCompressor] = {}
 
 
@@ -147,8 +149,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bounds: FitBounds = FitBound
     stretches = F.transform(F.sequence(F.lit(0), F.lit(bounds.pieces - 1)),
                             lambda k: F.substring(F.col("text"), k * step + 1, F.lit(bounds.piece)))
     # In an order of its own, so that the layout of the files does not matter.
-    trained = learned.where("turn = 0").select("quality", "doc_id", "text", F.posexplode(stretches).alias("place", "part")).orderBy(
-        F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "place").select("quality", F.col("part").alias("text")).toArrow().to_pydict()
+    tie = F.xxhash64("text").alias("tie")
+    trained = learned.where("turn = 0").select("quality", "doc_id", tie, F.posexplode(stretches).alias("place", "part")).orderBy(
+        F.xxhash64("doc_id"), "doc_id", "tie", "place").select("quality", F.col("part").alias("text")).toArrow().to_pydict()
     texts = {label: [t for t, q in zip(trained["text"], trained["quality"]) if q == label] for label in (0, 1)}
     draft = QualityModel(train_dictionary(texts[1], bounds), train_dictionary(texts[0], bounds), (), prior, bounds)
     measured = learned.where("turn = 1").mapInArrow(
@@ -181,6 +184,8 @@ def quality_score(spark, model: QualityModel, text: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(texts.to_pylist()), pa.float64())
+        scores = [shared.value.scores(texts.slice(first, SCORED).to_pylist()) for first in range(0, len(texts), SCORED)]
+        trim()
+        return pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())
 
     return score(text_column(text))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(first)
 
 
+def trim() -> None:
+    """Give memory that a task no longer uses back to the system: Python workers live on after it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps what it keeps
+
+
 def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
                column: str = "text") -> DataFrame:
     """``mapInArrow`` with memory bounded by slices of text rather than by rows."""
@@ -43,4 +53,5 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
         for batch in batches:
             for part in slices(batch, column):
                 yield function(part)
+        trim()
     return df.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
+from ratingloom.llm.tables import trim
 from ratingloom.llm.text_keys import utf8
 
 #: Bytes of each generation of remembered pieces, as Python and numpy hold them.
@@ -206,6 +207,11 @@ class Encoder:
         begins[place] = np.cumsum(counts) - counts
         return pool[spread(begins, lengths)], lengths
 
+    def rest(self) -> None:
+        """At the end of a task: keep the pieces met last, free the rest."""
+        self.old = _Generation()
+        trim()
+
     def encode(self, texts: list[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end`` if given, and where each text begins (one more)."""
         pieces, counts = cut_pieces(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))

@@ -97,6 +97,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, doc_i
                     offsets.append(filled)
         if names:
             yield close()
+        encode.rest()
 
     rows = documents(docs, doc_id, text).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
