@@ -85,10 +85,11 @@ def _repeated_words(rows: DataFrame) -> DataFrame:
 def _ratios(rows: DataFrame, trusted: DataFrame, rule: RatioRule) -> Column:
     """The log ratios of all slots, by slot, as one array of fixed length (a scalar subquery).
 
-    All trusted documents and the whole corpus are counted. Spark broadcasts the ids where they are small.
+    All trusted documents and the whole corpus are counted. The ids grow with the corpus, so the plan is a
+    merge join at every size.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    marked = rows.join(ids.withColumn("_trusted", F.lit(1)), "doc_id", "left")
+    marked = rows.join(ids.withColumn("_trusted", F.lit(1)).hint("merge"), "doc_id", "left")
     counts = (_with_keys(marked).select(F.explode(_slots(rule)).alias("slot"), "_trusted")
               .groupBy("slot").agg(F.count("*").alias("corpus"), F.count("_trusted").alias("target")))
     counts = stage(counts, "slots").df
