@@ -222,14 +222,17 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), doc_id: str = "doc
 
     @F.arrow_udf("struct<text string, n_lines long, n_removed long>")
     def cut(texts: pa.Array, lines: pa.Array) -> pa.Array:
-        kept, totals, removed = [], [], []
         batch = pa.record_batch({"text": texts, "lines": lines})
+        done = []
         for part in slices(batch):
-            for total, more in zip((kept, totals, removed), _cut(part.column("text"), part.column("lines"), rule)):
-                total += more
+            # Only one part is held as Python strings.
+            kept, totals, removed = _cut(part.column("text"), part.column("lines"), rule)
+            done.append(pa.StructArray.from_arrays(
+                [pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())],
+                ["text", "n_lines", "n_removed"]))
         trim()
-        return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(totals, pa.int64()),
-                                           pa.array(removed, pa.int64())], ["text", "n_lines", "n_removed"])
+        return pa.concat_arrays(done) if done else pa.array([], pa.struct(
+            [("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())]))
 
     # The same plan at every size: both sides grow with the documents.
     joined = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("__line_key")).join(
