@@ -33,7 +33,8 @@ def joined_slices(slices: DataFrame) -> DataFrame:
 
 
 def _side(slices: DataFrame, side: int, key: str, name: str) -> DataFrame:
-    return side_of(slices, side).select(F.col("id").alias(key), "shard", F.col("features").alias(name))
+    # Spark takes a slice for a value: without the hint it would broadcast them all, through the driver.
+    return side_of(slices, side).select(F.col("id").alias(key), "shard", F.col("features").alias(name)).hint("shuffle_hash")
 
 
 def errors(ratings: DataFrame, slices: DataFrame) -> DataFrame:
@@ -68,6 +69,6 @@ def sharded_epoch(ratings: DataFrame, slices: DataFrame, slice_width: int, learn
     rate, penalty = F.lit(float(learning_rate)), F.lit(float(regularization))
     moved = F.zip_with("features", F.slice("gradient", 1, F.size("features")),
                        lambda x, g: x - rate * (g + penalty * x))
-    joined = slices.join(gradients, ["side", "id", "shard"], "left")
+    joined = slices.join(gradients.hint("shuffle_hash"), ["side", "id", "shard"], "left")
     return joined.select("side", "id", "shard",
                          F.coalesce(rounded_features(moved, precision), F.col("features")).alias("features"))
