@@ -24,7 +24,8 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _written:
         lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_RECORD_ORDER)
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        # One plan at every size: a broadcast of small tables would make figures of two sizes incomparable.
+        joined = lines.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).select(
             *_RECORD_ORDER,
             F.col("o_custkey").cast("int").alias("user_id"),
             F.col("l_partkey").cast("int").alias("item_id"),

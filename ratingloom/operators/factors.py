@@ -74,8 +74,7 @@ def attach_factors(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None
     """Ratings with the ``p`` (user) and ``q`` (item) arrays of their factor rows.
 
     Without ``skew`` these are plain joins, whose large partitions Spark splits by itself; hot ids
-    are salted where they were counted before. Users come first: they are usually the larger side, and when Spark finds the item factors
-    small enough to broadcast, no factor array is shuffled at all.
+    are salted where they were counted before. No factor table is broadcast, see ``salted_join``.
     """
     skew = skew or RatingSkew()
     users = side_of(state, USER).select(F.col("id").alias("user_id"), F.col("features").alias("p"))
@@ -109,7 +108,7 @@ def apply_step(state: DataFrame, gradients: DataFrame, learning_rate: float, reg
     lr, lam = F.lit(float(learning_rate)), F.lit(float(regularization))
     moved = F.zip_with("features", "gradient", lambda x, g: x - lr * (g + lam * x))
     stepped = rounded_features(moved, precision)
-    joined = state.join(gradients.select("side", "id", "gradient"), ["side", "id"], "left")
+    joined = state.join(gradients.select("side", "id", "gradient").hint("shuffle_hash"), ["side", "id"], "left")
     return joined.select("side", "id", F.coalesce(stepped, F.col("features")).alias("features"))
 
 

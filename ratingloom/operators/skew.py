@@ -44,11 +44,12 @@ def salted_join(rows: DataFrame, factors: DataFrame, key: str, hot: DataFrame |
     Rows of a hot key are spread over ``copies`` salted keys by ``salt`` (any well-spread
     integer column of ``rows``), and the key's single factor row is repeated that often.
     Other keys get salt 0 and are not repeated. ``hot`` is bounded by construction, see
-    ``hot_keys``; the join of the large sides is left to Spark's size-based choice. Without hot
-    keys (None) it is a plain join.
+    ``hot_keys``. Without hot keys (None) it is a plain join. Spark takes arrays for a value long, so its
+    own choice would broadcast tables that are many times larger than it believes; both sides are
+    shuffled at every size instead, and only the factor rows of a task are hashed: nothing is sorted.
     """
     if hot is None:
-        return rows.join(factors, key, how)
+        return rows.join(factors.hint("shuffle_hash"), key, how)
     copies = F.broadcast(hot.select(key, F.col("copies").alias("_copies")))
     spread = (rows.join(copies, key, "left")
               .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt), F.col("_copies")), F.lit(0)).cast("int"))
@@ -56,4 +57,4 @@ def salted_join(rows: DataFrame, factors: DataFrame, key: str, hot: DataFrame |
     repeated = (factors.join(copies, key, "left")
                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1)))
                 .drop("_copies"))
-    return spread.join(repeated, [key, "_salt"], how).drop("_salt")
+    return spread.join(repeated.hint("shuffle_hash"), [key, "_salt"], how).drop("_salt")

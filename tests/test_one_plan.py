@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ratingloom.operators import factors
+from ratingloom.operators import factors, metrics
 from ratingloom.plans import feature_shards
 
 WIDTH = 6
@@ -23,3 +23,11 @@ def test_slices_are_not_broadcast(spark):
     done = feature_shards.sharded_epoch(_ratings(spark), slices, 4, 0.02, 0.05)
     assert "Broadcast" not in _plan(done)
     assert done.count() == slices.count()
+
+
+def test_scores_have_one_plan_without_sorts(spark):
+    state = factors.init_state(spark, 7, 11, WIDTH)
+    plan = _plan(metrics.square_error(_ratings(spark), state))
+    assert "Broadcast" not in plan and "Sort" not in plan and plan.count("ShuffledHashJoin") == 2
+    stepped = factors.apply_step(state, state.withColumnRenamed("features", "gradient"), 0.02, 0.05)
+    assert "Broadcast" not in _plan(stepped)
