@@ -131,7 +131,7 @@ def predict(spark, sf_dir):
 def predict_wide(spark, sf_dir):
     """At the width of the published runs."""
     records = fixtures.ratings(spark, sf_dir)
-    scored = factors.predict(records, _start(records, oracles.PUBLISHED_WIDTH))
+    scored = factors.predict(records, _start(records, oracles.PUBLISHED_WIDTH), width=oracles.PUBLISHED_WIDTH)
     return scored.select("rec_id", F.round("prediction", 6).alias("prediction"))
 
 

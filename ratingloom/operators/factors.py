@@ -18,6 +18,8 @@ from ratingloom.session import StagedTable
 USER, ITEM = 0, 1
 # Salts of the two initial matrices (fixed values).
 USER_SALT, ITEM_SALT = 1, 2
+# A rating table without columns of its own.
+RATING_TYPES = {"rec_id": "bigint", "user_id": "int", "item_id": "int", "rating": "double"}
 
 
 def init_state(spark: SparkSession, num_users: int, num_items: int, width: int, method: str = "mix",
@@ -84,13 +86,20 @@ def attach_factors(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None
 
 
 def predict(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None,
-            cold_start: str = "drop") -> DataFrame:
+            cold_start: str = "drop", width: int | None = None) -> DataFrame:
     """Add ``prediction`` (inner product) and ``residual`` (prediction - rating, if rated).
 
-    Ids outside the model are dropped, or kept with a NaN prediction (``cold_start='nan'``).
+    Ids outside the model are dropped, or kept with a NaN prediction (``cold_start='nan'``). Plain rating
+    tables meet factor rows of a known, large ``width`` on a grid, where that moves less than a factor array per rating.
     """
     if cold_start not in ("drop", "nan"):
         raise ValueError("cold_start must be 'drop' or 'nan'")
+    if width and cold_start == "drop" and dict(ratings.dtypes) == RATING_TYPES:
+        from ratingloom.plans import grid
+
+        cells = grid.worthwhile_cells(ratings, state, width)
+        if cells:
+            return grid.grid_predict(cells, state, width).select(*ratings.columns, "prediction", "residual")
     joined = attach_factors(ratings, state, skew, "inner" if cold_start == "drop" else "left")
     scored = joined.withColumn("prediction", F.coalesce(dot(F.col("p"), F.col("q")), F.lit(float("nan"))))
     scored = scored.drop("p", "q")
