@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.operators.factors import RatingSkew, apply_step
 from ratingloom.operators.gradients import gradient_sums
+from ratingloom.plans import grid
 from ratingloom.session import StagedTable, stage
 
 # A job each: more batches than this per epoch are refused.
@@ -15,8 +16,12 @@ MAX_DATAFRAME_BATCHES = 64
 
 def gd_epoch(ratings: DataFrame, state: DataFrame, width: int, learning_rate: float, regularization: float,
              precision: str = "double", skew: RatingSkew | None = None) -> DataFrame:
-    """One step over all records: every touched row moves once by its summed gradient."""
-    gradients = gradient_sums(ratings, state, width, skew)
+    """One step over all records: every touched row moves once by its summed gradient.
+
+    Wide rows meet the ratings on a grid where that moves less than a factor array per rating.
+    """
+    cells = grid.worthwhile_cells(ratings, state, width)
+    gradients = grid.grid_gradients(cells, state, width) if cells else gradient_sums(ratings, state, width, skew)
     return apply_step(state, gradients, learning_rate, regularization, precision)
 
 

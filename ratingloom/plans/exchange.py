@@ -9,8 +9,9 @@ import pyarrow.compute as pc
 from ratingloom.plans import kernels
 
 USER, ITEM = 0, 1
-# Records scored at a time; bounds the temporary arrays of a part.
+# Records scored at a time, fewer if their rows are wide; bounds the temporary arrays of a part.
 SCORE_CHUNK = 1 << 16
+SCORE_BYTES = 4 << 20
 
 
 def matrix(table: pa.Table, column: str, width: int) -> np.ndarray:
@@ -154,6 +155,7 @@ class BlockScore:
 
     def __init__(self, width: int):
         self.width = width
+        self.chunk = max(1, min(SCORE_CHUNK, SCORE_BYTES // (8 * max(1, width))))
 
     def _scored(self, state: pa.Table, records: pa.Table):
         sides = state.column("side").to_numpy()
@@ -177,10 +179,10 @@ class BlockScore:
         features, users, items, found = self._scored(state, records)
         ratings = records.column("rating").to_numpy()[found]
         total = np.zeros(features.shape)
-        for first in range(0, len(ratings), SCORE_CHUNK):
-            u, i = users[first:first + SCORE_CHUNK], items[first:first + SCORE_CHUNK]
+        for first in range(0, len(ratings), self.chunk):
+            u, i = users[first:first + self.chunk], items[first:first + self.chunk]
             p, q = features[u], features[i]
-            error = (_dots(p, q) - ratings[first:first + SCORE_CHUNK])[:, None]
+            error = (_dots(p, q) - ratings[first:first + self.chunk])[:, None]
             for target, term in ((u, error * q), (i, error * p)):
                 order = np.argsort(target, kind="stable")
                 ids, starts = np.unique(target[order], return_index=True)
@@ -191,8 +193,8 @@ class BlockScore:
 
     def predictions(self, state: pa.Table, records: pa.Table) -> pa.Table:
         features, users, items, found = self._scored(state, records)
-        scores = [_dots(features[users[first:first + SCORE_CHUNK]], features[items[first:first + SCORE_CHUNK]])
-                  for first in range(0, len(users), SCORE_CHUNK)]
+        scores = [_dots(features[users[first:first + self.chunk]], features[items[first:first + self.chunk]])
+                  for first in range(0, len(users), self.chunk)]
         kept = records.filter(pa.array(found)).select(["rec_id", "user_key", "item_key", "rating"])
         return kept.append_column("prediction", pa.array(np.concatenate(scores or [np.zeros(0)])))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.operators import factors
 from ratingloom.operators.gradients import gradient_sums
-from ratingloom.plans import batch_gd, grid, local_sgd, parts
+from ratingloom.plans import batch_gd, exchange, grid, local_sgd, parts
 
 WIDTH = 70
 
@@ -36,3 +36,20 @@ def test_wide_predictions_come_from_cells(spark, ratings):
     for key, row in found.items():
         assert row[:4] == expected[key][:4] and abs(row.prediction - expected[key].prediction) < 1e-12
         assert (row.residual is None) == (expected[key].residual is None) == (key == 5)
+
+
+def test_wide_epoch_sums_in_cells(spark, ratings):
+    state = factors.init_state(spark, 9, 8, WIDTH)
+    rated = ratings.where(F.col("rating").isNotNull())
+    stepped = batch_gd.gd_epoch(rated, state, WIDTH, 0.02, 0.05)
+    assert "FlatMapCoGroupsInArrow" in _plan(stepped)
+    plain = factors.apply_step(state, gradient_sums(rated, state, WIDTH), 0.02, 0.05)
+    expected = {(r.side, r.id): r.features for r in plain.collect()}
+    found = {(r.side, r.id): r.features for r in stepped.collect()}
+    assert found.keys() == expected.keys()
+    assert all(np.allclose(found[key], expected[key], rtol=0, atol=1e-12) for key in found)
+
+
+def test_chunks_are_bounded_in_bytes():
+    assert exchange.BlockScore(4).chunk == exchange.SCORE_CHUNK
+    assert exchange.BlockScore(128).chunk * 128 * 8 == exchange.SCORE_BYTES
