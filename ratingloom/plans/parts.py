@@ -17,6 +17,8 @@ from ratingloom.session import StagedTable, stage
 
 # Parts get a task each up to this multiple of the session's shuffle partitions.
 PARTS_PER_PARTITION = 4
+# Records of a task that runs many parts: a task sorts them with the rows they touch, so its memory is bounded by this.
+MAX_TASK_RECORDS = 250_000
 
 
 def _node(side: Column, key: Column) -> Column:
@@ -33,6 +35,7 @@ class PartedRatings:
         self.touched = touched
         self.hot = hot and hot.df
         self.num_parts = num_parts
+        self._partitions = -(-records.df.count() // MAX_TASK_RECORDS)
         self.cache = cache
         placed = self._place(records.df)
         self.records = placed.persist(StorageLevel.MEMORY_AND_DISK) if cache else placed
@@ -64,7 +67,7 @@ class PartedRatings:
         partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         if self.num_parts <= PARTS_PER_PARTITION * partitions:
             return rows.repartitionById(self.num_parts, "part")
-        return rows.repartition("part")
+        return rows.repartition(max(partitions, min(self.num_parts, self._partitions)), "part")
 
     def meet(self, state: DataFrame):
         """Cogroup of the touched factor rows ``(part, side, key, n, features)`` and the records, by part."""

@@ -53,3 +53,10 @@ def test_wide_epoch_sums_in_cells(spark, ratings):
 def test_chunks_are_bounded_in_bytes():
     assert exchange.BlockScore(4).chunk == exchange.SCORE_CHUNK
     assert exchange.BlockScore(128).chunk * 128 * 8 == exchange.SCORE_BYTES
+
+
+def test_tasks_of_many_parts_grow_in_number(spark, make_ratings, monkeypatch):
+    monkeypatch.setattr(parts, "MAX_TASK_RECORDS", 10, raising=False)
+    records = make_ratings([(n % 17, n % 13, 3) for n in range(400)]).withColumn("pos", F.col("rec_id"))
+    laid_out = parts.PartedRatings.of(local_sgd.parts_by_record(records, 4))
+    assert laid_out.num_parts == 100 and laid_out.records.rdd.getNumPartitions() == 40
