@@ -10,6 +10,9 @@ With ``LineRule.span`` long lines are cut further, into pieces, at places that d
 words within ``span`` of them alone, so that a passage is found inside lines that differ
 around it. Runs of three or more pieces and ten or more words are windows, too; a window of
 three whole lines still is one, whatever its length.
+
+Windows and lines travel packed: a task sorts what it found by the top bits of the key and sends a
+row of binaries a bucket. Of equal windows a task sends the least only, the others being known to go.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.llm.bitmap import key_bitmap, may_contain
+from ratingloom.llm.bitmap import FILTER_BITS, may_contain
 from ratingloom.llm.tables import slices, text_column, trim
 from ratingloom.llm.text_keys import BLANKS, mix, utf8, windows, words
 from ratingloom.session import stage
@@ -34,6 +38,12 @@ _STOP[[ord(c) for c in ".!?"]] = True
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _UNSTEP = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
+#: Windows travel packed, many to a row, by the top bits of their keys; a task handles a bucket at a time.
+BUCKET_BITS = 12
+#: Keys, and entries of 32 bytes, that a task gathers before it packs them.
+HELD_KEYS = 1 << 20
+HELD_ENTRIES = 1 << 18
+
 
 @dataclass(frozen=True)
 class LineRule:
@@ -155,45 +165,266 @@ def _line_windows(lines: Lines, rule: LineRule) -> tuple[np.ndarray, np.ndarray,
     return keys, text, (low - lines.firsts[text]) << 32 | (high - lines.firsts[text])
 
 
-def _windows(rows: DataFrame, rule: LineRule, wanted=None) -> DataFrame:
-    """``(window, doc_id, row, line)``, ``line`` being first line and end, or ``window`` alone where no bitmap of wanted ones is given."""
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    """The top bits of unsigned keys: windows, or rows, of one bucket meet in one place."""
+    return (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
+def _packs(bucket: np.ndarray, **columns: np.ndarray) -> dict[str, pa.Array]:
+    """One row a bucket with its values of each column in a binary; ``bucket`` ascends."""
+    firsts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(firsts[1:], len(bucket))
+    packed = {"bucket": pa.array(bucket[firsts], pa.int32())}
+    for name, values in columns.items():
+        offsets = np.append(firsts, ends[-1:]) * values.dtype.itemsize
+        packed[name] = pa.Array.from_buffers(pa.binary(), len(firsts), [
+            None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    return packed
+
+
+def _by_bucket(packs: DataFrame) -> DataFrame:
+    return packs.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each bucket, one bucket after the other, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        buckets = batch.column("bucket").to_numpy()
+        edges = np.append(np.flatnonzero(np.diff(buckets)) + 1, len(buckets))
+        first = 0
+        for end in edges:
+            if held and held[0].column("bucket")[0].as_py() != buckets[first]:
+                yield held[0].column("bucket")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(first, end - first))
+            first = end
+    if held:
+        yield held[0].column("bucket")[0].as_py(), pa.Table.from_batches(held)
+
+
+def _unpacked(table: pa.Table, name: str, kind=np.int64) -> np.ndarray:
+    """The values of a packed column, in the order of the rows."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in table.column(name) if x.is_valid), kind)
+
+
+def _repeated_bitmap(texts: DataFrame, rule: LineRule):
+    """Broadcast bitmap of the windows that occur more than once; see ``bitmap.may_contain``."""
+    def twice(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        # Two of equal keys tell that they are repeated.
+        keep = np.ones(len(keys), bool)
+        keep[2:] = keys[2:] != keys[:-2]
+        return pa.record_batch(_packs(_bucket(keys[keep]), keys=keys[keep]))
+
     def run(batches: Iterator[pa.RecordBatch]):
+        held, count = [], 0
         for batch in batches:
             for part in slices(batch):
-                keys, text, line = _line_windows(lines_of(part.column("text"), rule.span), rule)
-                if wanted is None:
-                    yield pa.record_batch({"window": pa.array(keys.view(np.int64))})
-                    continue
-                keep = may_contain(wanted.value, keys)
-                text = pa.array(text[keep])
+                held.append(_line_windows(lines_of(part.column("text"), rule.span), rule)[0])
+                count += len(held[-1])
+                if count >= HELD_KEYS:
+                    yield twice(held)
+                    held, count = [], 0
+        if count:
+            yield twice(held)
+        trim()
+
+    bits = FILTER_BITS - BUCKET_BITS
+
+    def fill(batches: Iterator[pa.RecordBatch]):
+        for bucket, table in _grouped(batches):
+            keys = np.sort(_unpacked(table, "keys", np.uint64))
+            slots = (keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            marks = np.zeros(1 << bits, np.uint8)
+            marks[slots & ((1 << bits) - 1)] = 1
+            yield pa.record_batch({"bucket": pa.array([bucket], pa.int32()),
+                                   "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()])})
+        trim()
+
+    packs = texts.mapInArrow(run, "bucket int, keys binary")
+    found = _by_bucket(packs).mapInArrow(fill, "bucket int, bits binary").toArrow()
+    filled = np.zeros((1 << BUCKET_BITS, 1 << (bits - 6)), "<i8")
+    for bucket, words_ in zip(found.column("bucket").to_pylist(), found.column("bits")):
+        filled[bucket] = np.frombuffer(words_.as_buffer(), "<i8")
+    return texts.sparkSession.sparkContext.broadcast(filled.reshape(-1))
+
+
+def _starts(lines: Lines, offsets: np.ndarray) -> pa.Array:
+    """Byte starts of each text's lines as steps from line to line, 255 a byte as long as a step goes on."""
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(lines.firsts))
+    steps = np.diff(lines.starts, prepend=0)
+    begins = lines.firsts[:-1][np.diff(lines.firsts) > 0]
+    steps[begins] = lines.starts[begins] - offsets[text[begins]]
+    ends = np.cumsum(steps // 255 + 1)
+    data = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    data[ends - 1] = steps % 255
+    firsts = np.concatenate([[0], ends])[lines.firsts].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(firsts), pa.py_buffer(data)])
+
+
+_ENTRY = ("keys", "docs", "rows", "lines")
+_KNOWN = np.int64((1 << 63) - 1)
+
+
+def _later(keys: np.ndarray, docs: np.ndarray, rows: np.ndarray, lines: np.ndarray):
+    """Entries sorted by window, document, row and line, and which are first, or later than the first, of a window."""
+    # A line is negative if the id of its document is null; such documents come first.
+    order = np.lexsort((lines & _KNOWN, rows, docs, lines >= 0, keys))
+    keys, docs, rows, lines = keys[order], docs[order], rows[order], lines[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(first)[np.cumsum(first) - 1]
+    same = (docs == docs[at]) & (rows == rows[at]) & (lines == lines[at])
+    return (keys, docs, rows, lines), first, ~same
+
+
+def _row_packs(rows: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
+    """Lines that go, ``first << 32 | end``, in the buckets of their rows, which follow those of the windows."""
+    bucket = _bucket(rows.view(np.uint64))
+    order = np.argsort(bucket, kind="stable")
+    packs = _packs(bucket[order] + (1 << BUCKET_BITS), rows=rows[order], lines=(lines & _KNOWN)[order])
+    empty = pa.nulls(len(packs["bucket"]), pa.binary())
+    return pa.record_batch({"bucket": packs["bucket"], "keys": empty, "docs": empty, "rows": packs["rows"],
+                            "lines": packs["lines"], "starts": empty})
+
+
+_PACKED = "bucket int, keys binary, docs binary, rows binary, lines binary, starts binary"
+
+
+def _entries(rows: DataFrame, rule: LineRule, wanted) -> DataFrame:
+    """Packed windows of a task, the least of equal ones, by window; by row the lines of others, and where lines start."""
+    def flushed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        entries, first, later = _later(*(np.concatenate(column) for column in zip(*held)))
+        packs = _packs(_bucket(entries[0][first].view(np.uint64)), **{n: c[first] for n, c in zip(_ENTRY, entries)})
+        yield pa.record_batch({**packs, "starts": pa.nulls(len(packs["bucket"]), pa.binary())})
+        if later.any():
+            yield _row_packs(entries[2][later], entries[3][later])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, count = [], 0
+        for batch in batches:
+            for part in slices(batch):
+                found = lines_of(part.column("text"), rule.span)
+                row = part.column("row").to_numpy()
+                starts = _starts(found, utf8(part.column("text"))[1])
+                empty = pa.nulls(len(row), pa.binary())
                 yield pa.record_batch({
-                    "window": pa.array(keys[keep].view(np.int64)), "doc_id": part.column("doc_id").take(text),
-                    "row": part.column("row").take(text), "line": pa.array(line[keep])})
+                    "bucket": pa.array(_bucket(row.view(np.uint64)) + (1 << BUCKET_BITS)), "keys": empty, "docs": empty,
+                    "rows": pa.array(row).view(pa.binary(8)).cast(pa.binary()), "lines": empty, "starts": starts})
+                keys, text, line = _line_windows(found, rule)
+                keep = may_contain(wanted.value, keys)
+                text, line = text[keep], line[keep]
+                ids = part.column("doc_id")
+                null = ids.is_null().to_numpy(zero_copy_only=False)[text]
+                held.append((keys[keep].view(np.int64), ids.fill_null(0).to_numpy()[text], row[text],
+                             np.where(null, line | ~_KNOWN, line)))
+                count += len(line)
+                if count >= HELD_ENTRIES:
+                    yield from flushed(held)
+                    held, count = [], 0
+        if count:
+            yield from flushed(held)
+        trim()
+
+    return rows.mapInArrow(run, _PACKED)
+
+
+def _lines_that_go(entries: DataFrame) -> DataFrame:
+    """Entries that are not the first of their window, by row; what is by row already passes through."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, count = [], 0
+        for bucket, table in _grouped(batches):
+            if bucket >= 1 << BUCKET_BITS:
+                yield from table.to_batches()
+                continue
+            (_, _, rows, lines), _, later = _later(*(_unpacked(table, name) for name in _ENTRY))
+            held.append((rows[later], lines[later]))
+            count += len(held[-1][0])
+            if count >= HELD_ENTRIES:
+                yield _row_packs(*(np.concatenate(column) for column in zip(*held)))
+                held, count = [], 0
+        if count:
+            yield _row_packs(*(np.concatenate(column) for column in zip(*held)))
+        trim()
+
+    return _by_bucket(entries).mapInArrow(run, _PACKED)
+
+
+def _covered(packs: DataFrame) -> DataFrame:
+    """``(row, starts, lines)`` of every document: where its lines start, and those that go, merged, 16 bytes a run."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        for _, table in _grouped(batches):
+            listed = table.filter(pa.compute.is_valid(table.column("starts")))
+            known, at = np.unique(_unpacked(listed, "rows"), return_index=True)
+            marks = table.filter(pa.compute.is_null(table.column("starts")))
+            rows, lines = _unpacked(marks, "rows"), _unpacked(marks, "lines")
+            order = np.lexsort((lines, rows))
+            rows, low, high = rows[order], lines[order] >> 32, lines[order] & 0xFFFFFFFF
+            # Runs of one row overlap in one stretch of numbers; rows lie apart.
+            place = np.searchsorted(known, rows)
+            room = int(high.max(initial=0)) + 1
+            reach = np.maximum.accumulate(place * room + high)
+            new = np.ones(len(rows), bool)
+            new[1:] = place[1:] * room + low[1:] > reach[:-1]
+            new[1:] |= rows[1:] != rows[:-1]
+            begins = np.flatnonzero(new)
+            ends = np.append(begins[1:], len(rows))[: len(begins)]
+            runs = np.stack([low[begins], (reach[ends - 1] - place[begins] * room)], axis=1)
+            offsets = (np.searchsorted(place[begins], np.arange(len(known) + 1)) * 16).astype(np.int32)
+            yield pa.record_batch({
+                "row": pa.array(known), "starts": listed.column("starts").take(pa.array(at)).combine_chunks(),
+                "lines": pa.Array.from_buffers(pa.binary(), len(known), [
+                    None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(runs, np.int64))])})
         trim()
-    return rows.mapInArrow(run, "window long" if wanted is None else "window long, doc_id long, row long, line long")
+
+    return _by_bucket(packs).mapInArrow(run, "row long, starts binary, lines binary")
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all binaries and the offset of each (one more)."""
+    if len(values) == 0:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset: values.offset + len(values) + 1].astype(np.int64)
+    data = values.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def _cut(texts: pa.Array, covered: pa.Array, rule: LineRule) -> tuple[list[str], list[int], list[int]]:
-    """Texts without their covered lines, and their lines in all and removed."""
+def _cut(texts: pa.Array, starts: pa.Array, runs: pa.Array) -> pa.StructArray:
+    """Texts without the runs of lines that go, and their lines in all and removed."""
+    if starts.null_count:
+        raise ValueError("a text has no known lines: the table changed between two reads")
     data, offsets = utf8(texts)
-    lines = lines_of(texts, rule.span)
-    kept, totals, removed = [], [], []
-    for n, spans in enumerate(covered.to_pylist()):
-        low, high = lines.firsts[n], lines.firsts[n + 1]
-        gone = np.zeros(high - low, dtype=bool)
-        for span in spans or []:
-            gone[span >> 32: span & 0xFFFFFFFF] = True
-        text = data[offsets[n]: offsets[n + 1]]
-        if gone.any():
-            starts = np.append(lines.starts[low:high], offsets[n + 1]) - offsets[n]
-            kill = np.zeros(len(text), dtype=bool)
-            for k in np.flatnonzero(gone):
-                kill[starts[k]: starts[k + 1]] = True
-            text = text[~kill]
-        kept.append(text.tobytes().decode())
-        totals.append(int(high - low))
-        removed.append(int(gone.sum()))
-    return kept, totals, removed
+    steps, edges = _bytes(starts)
+    ends = steps < 255
+    before = np.concatenate([[0], np.cumsum(ends)])
+    firsts = before[edges]
+    count = int(before[-1])
+    sums = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
+    begins = sums[1:][ends] - sums[edges][text] + offsets[text]
+    places, marks = _bytes(runs)
+    pairs = places.view(np.int64).reshape(-1, 2) + np.repeat(firsts[:-1], np.diff(marks) // 16)[:, None]
+    change = np.zeros(count + 1, np.int64)
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs[:, 1], -1)
+    gone = np.cumsum(change)[:count] > 0
+    # A line reaches to the next one of its text, the last one to the end of the text.
+    stops = np.append(begins[1:], 0)[:count]
+    last = firsts[1:][np.diff(firsts) > 0] - 1
+    stops[last] = offsets[text[last] + 1]
+    kill = np.zeros(len(data) + 1, np.int8)
+    kill[begins[gone]] += 1
+    kill[stops[gone]] -= 1
+    kept = np.cumsum(kill[:-1], dtype=np.int8) == 0
+    bounds = np.concatenate([[0], np.cumsum(kept)])[offsets].astype(np.int32)
+    return pa.StructArray.from_arrays([
+        pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(data[kept])]),
+        pa.array(np.diff(firsts), pa.int64()),
+        pa.array(np.diff(np.concatenate([[0], np.cumsum(gone)])[firsts]), pa.int64())], ["text", "n_lines", "n_removed"])
 
 
 def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,28 +439,16 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), doc_id: str = "doc
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     key = F.xxhash64(F.col(f"`{doc_id}`").cast("long"), text_column(text))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_column(text).alias("text"), key.alias("row"))
-    repeated = stage(_windows(rows.select("text"), rule).groupBy("window").agg(F.count("*").alias("n"))
-                     .where("n > 1").select("window"), "windows")
-    wanted = key_bitmap(repeated.df, "window")
-    found = stage(_windows(rows, rule, wanted), "found")
-    first = stage(found.df.groupBy("window").agg(F.min(F.struct("doc_id", "row", "line")).alias("first")), "first")
-    later = found.df.join(first.df, "window").where(F.struct("doc_id", "row", "line") > F.col("first"))
-    covered = stage(later.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("lines")), "covered")
+    wanted = _repeated_bitmap(rows.select("text"), rule)
+    covered = stage(_covered(_lines_that_go(_entries(rows, rule, wanted))), "covered")
     wanted.destroy()
-    for table in (repeated, found, first):
-        table.drop()
-    covered_lines = covered.df.select(F.col("row").alias("__line_row"), F.col("lines").alias("__lines"))
+    covered_lines = covered.df.select(F.col("row").alias("__line_row"), F.col("starts").alias("__starts"),
+                                      F.col("lines").alias("__lines"))
 
     @F.arrow_udf("struct<text string, n_lines long, n_removed long>")
-    def cut(texts: pa.Array, lines: pa.Array) -> pa.Array:
-        batch = pa.record_batch({"text": texts, "lines": lines})
-        done = []
-        for part in slices(batch):
-            # Only one part is held as Python strings.
-            kept, totals, removed = _cut(part.column("text"), part.column("lines"), rule)
-            done.append(pa.StructArray.from_arrays(
-                [pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())],
-                ["text", "n_lines", "n_removed"]))
+    def cut(texts: pa.Array, starts: pa.Array, lines: pa.Array) -> pa.Array:
+        batch = pa.record_batch({"text": texts, "starts": starts, "lines": lines})
+        done = [_cut(*part.columns) for part in slices(batch)]
         trim()
         return pa.concat_arrays(done) if done else pa.array([], pa.struct(
             [("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())]))
@@ -237,7 +456,7 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), doc_id: str = "doc
     # The same plan at every size: both sides grow with the documents.
     joined = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("__line_key")).join(
         covered_lines.hint("merge"), F.col("__line_key") == F.col("__line_row"), "left")
-    done = joined.withColumn("__cut", cut(text_column(text), F.col("__lines")))
+    done = joined.withColumn("__cut", cut(text_column(text), F.col("__starts"), F.col("__lines")))
     return done.select(
         *[F.when(F.col(f"`{text}`").isNotNull(), F.col("__cut.text")).alias(text) if c == text else F.col(f"`{c}`")
           for c in names],
