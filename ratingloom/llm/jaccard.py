@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.llm.bitmap import bit_of, bitmap_column, key_bitmap, may_contain
 from ratingloom.llm.components import components
-from ratingloom.llm.tables import documents, slices
+from ratingloom.llm.tables import documents, slices, trim
 from ratingloom.llm.text_keys import mix, shingle_sets
 from ratingloom.session import StagedTable, stage
 
@@ -94,6 +94,7 @@ def _sets(docs: DataFrame, rule: Jaccard) -> StagedTable:
             yield pa.record_batch({"doc_id": empty, "n": empty, "node": empty,
                                    "ranges": pa.nulls(len(some), pa.binary()),
                                    "slot": pa.array(some, pa.int32()), "seen": pa.array(seen[some])})
+        trim()
     return stage(docs.mapInArrow(run, "doc_id long, n long, node long, ranges binary, slot int, seen long"), "sets")
 
 
@@ -137,6 +138,8 @@ def _postings(docs: DataFrame, frequencies, rule: Jaccard, wanted=None) -> DataF
                     yield pa.record_batch({"key": _signed(np.concatenate(keys)),
                                            "node": pa.array(np.concatenate(nodes)),
                                            "place": pa.array(np.concatenate(places))})
+        met.clear()
+        trim()
     return docs.mapInArrow(run, "key long, node long, place long")
 
 
@@ -204,6 +207,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, rule: Jaccard) -> StagedTable:
             total = left.sum(1) + right.sum(1)
             keep = (100 + rule.percent) * np.minimum(left, right).sum(1) >= rule.percent * total
             yield batch.select(["a", "b", "a_doc", "b_doc"]).filter(pa.array(keep))
+        trim()
 
     light = pairs
     for name in ("a", "b"):
@@ -225,6 +229,7 @@ def _whole_sets(docs: DataFrame, pairs: DataFrame, rule: Jaccard) -> StagedTable
                     "node": pa.array([set_key(s) for s in built], pa.int64()),
                     "n": pa.array([len(s) for s in built], pa.int64()),
                     "shingles": pa.array([s.astype("<u8").tobytes() for s in built], pa.binary())})
+        trim()
 
     # A bitmap of fixed size keeps most other texts out of the shuffle.
     bitmap = bitmap_column(chosen.df.select(F.xxhash64("doc_id").alias("h")), "h")
@@ -250,6 +255,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Jacca
             keep = pa.array(100 * common >= rule.percent * total)
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "common": pa.array(common),
                                    "total": pa.array(total)}).filter(keep)
+        trim()
 
     left = _likely(pairs, classes, rule)
     sets = _whole_sets(docs, left.df, rule)

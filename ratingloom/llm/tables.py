@@ -37,8 +37,18 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(first)
 
 
-def trim() -> None:
-    """Give memory that a task no longer uses back to the system: Python workers live on after it."""
+#: What workers remember from task to task, such as loaded tokenizers. Each operator that remembers something adds it.
+remembered: list[dict] = []
+
+
+def trim(forget: bool = True) -> None:
+    """Give memory that a task no longer uses back to the system: Python workers live on after it.
+
+    With ``forget`` what other operators remembered in this worker goes, too; it is made anew when needed.
+    """
+    if forget:
+        for memory in remembered:
+            memory.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

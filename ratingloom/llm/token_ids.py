@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
-from ratingloom.llm.tables import trim
+from ratingloom.llm.tables import remembered, trim
 from ratingloom.llm.text_keys import utf8
 
 #: Bytes of each generation of remembered pieces, as Python and numpy hold them.
@@ -34,6 +34,7 @@ _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _WIDE_BLANKS = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
                                           0x3000)]
 _encoders: dict[str, "Encoder"] = {}
+remembered.append(_encoders)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -210,7 +211,7 @@ class Encoder:
     def rest(self) -> None:
         """At the end of a task: keep the pieces met last, free the rest."""
         self.old = _Generation()
-        trim()
+        trim(forget=False)
 
     def encode(self, texts: list[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end`` if given, and where each text begins (one more)."""

@@ -7,8 +7,9 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ratingloom.llm import line_dedup
+from ratingloom.llm import line_dedup, token_ids
 from ratingloom.llm.line_dedup import WHOLE, LineRule, _line_windows, dedup_lines, lines_of
+from ratingloom.llm.tables import trim
 from ratingloom.llm.text_keys import utf8
 
 
@@ -59,3 +60,14 @@ def test_places_of_lines_survive_packing():
         done = line_dedup._cut(texts, starts, runs)
         assert done.field("text").to_pylist() == [t or "" for t in texts.to_pylist()]
         assert done.field("n_lines").to_pylist() == (lines.firsts[1:] - lines.firsts[:-1]).tolist()
+
+
+def test_tasks_of_other_operators_free_the_tokenizer():
+    path = token_ids.tokenizer_path()
+    coder = token_ids.encoder(path)
+    ids = coder.encode(["one two three"], end=0)[0].tolist()
+    coder.rest()
+    assert token_ids._encoders[path] is coder
+    trim()
+    assert not token_ids._encoders
+    assert token_ids.encoder(path).encode(["one two three"], end=0)[0].tolist() == ids
