@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 COLUMNWISE_WIDTH = 64
 
 
-def dot(left: Column, right: Column) -> Column:
-    """Inner product with a double accumulator (products keep the array type)."""
+def dot(left: Column, right: Column, width: int | None = None) -> Column:
+    """Inner product with a double accumulator (products keep the array type).
+
+    Of a known, small ``width`` it is a plain sum, which is compiled; lambdas are interpreted value by value.
+    """
+    if width and width <= COLUMNWISE_WIDTH:
+        return sum((F.get(left, F.lit(k)) * F.get(right, F.lit(k)) for k in range(width)), F.lit(0.0).cast("double"))
     products = F.zip_with(left, right, lambda a, b: a * b)
     return F.aggregate(products, F.lit(0.0).cast("double"), lambda total, x: total + x)
 
 
-def scaled(factor: Column, values: Column) -> Column:
+def scaled(factor: Column, values: Column, width: int | None = None) -> Column:
+    if width and width <= COLUMNWISE_WIDTH:
+        return F.array(*[factor * F.get(values, F.lit(k)) for k in range(width)])
     return F.transform(values, lambda x: factor * x)
 
 

@@ -103,12 +103,17 @@ class RunState:
             lists.append(F.concat(*(_as_double(self.part(run, "acc")) for run in adaptive)).alias("acc"))
         return RunState(runs, StagedTable(self.table.df.select("side", "id", *lists), self.table.path))
 
+    def product(self, run: Run) -> Column:
+        """The inner product of a run's parts of ``p`` and ``q``."""
+        width = run.config.num_features
+        return dot(self.part(run, source="p"), self.part(run, source="q"), width)
+
     def errors(self, records: DataFrame, skew: RatingSkew) -> dict[str, float | None]:
         """Each run's RMSE on ``records``, in one pass."""
         joined = attach_factors(records, self.table.df, skew)
         sums = []
         for k, run in enumerate(self.runs):
-            error = dot(self.part(run, source="p"), self.part(run, source="q")) - F.col("rating")
+            error = self.product(run) - F.col("rating")
             sums.append(F.sqrt(F.avg(error * error)).alias(f"r{k}"))
         row = joined.agg(*sums).first()
         return {run.name: row[k] for k, run in enumerate(self.runs)}
@@ -120,13 +125,12 @@ def _as_double(values: Column) -> Column:
 
 def batch_step(state: RunState, ratings: DataFrame, skew: RatingSkew) -> StagedTable:
     """One step of batch descent of every run over all records."""
-    joined = attach_factors(ratings, state.table.df, skew)
+    errors = {f"_error{k}": state.product(run) - F.col("rating") for k, run in enumerate(state.runs)}
+    joined = attach_factors(ratings, state.table.df, skew).withColumns(errors)
     terms = {USER: [], ITEM: []}
-    for run in state.runs:
-        p, q = state.part(run, source="p"), state.part(run, source="q")
-        error = dot(p, q) - F.col("rating")
-        terms[USER].append(scaled(error, q))
-        terms[ITEM].append(scaled(error, p))
+    for error, run in zip(errors, state.runs):
+        for side, other in ((USER, "q"), (ITEM, "p")):
+            terms[side].append(scaled(F.col(error), state.part(run, source=other), run.config.num_features))
     rows = joined.select(F.inline(F.array(*(
         F.struct(F.lit(side).alias("side"), F.col(key).alias("id"), F.concat(*terms[side]).alias("gradient"))
         for side, key in ((USER, "user_id"), (ITEM, "item_id"))))))
