@@ -101,7 +101,7 @@ def predict(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None
         if cells:
             return grid.grid_predict(cells, state, width).select(*ratings.columns, "prediction", "residual")
     joined = attach_factors(ratings, state, skew, "inner" if cold_start == "drop" else "left")
-    scored = joined.withColumn("prediction", F.coalesce(dot(F.col("p"), F.col("q")), F.lit(float("nan"))))
+    scored = joined.withColumn("prediction", F.coalesce(dot(F.col("p"), F.col("q"), width), F.lit(float("nan"))))
     scored = scored.drop("p", "q")
     if "rating" in ratings.columns:
         scored = scored.withColumn("residual", F.col("prediction") - F.col("rating"))
@@ -109,16 +109,17 @@ def predict(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None
 
 
 def apply_step(state: DataFrame, gradients: DataFrame, learning_rate: float, regularization: float,
-               precision: str = "double") -> DataFrame:
+               precision: str = "double", carry: tuple[str, ...] = ()) -> DataFrame:
     """One descent step on the touched rows: ``x -= lr * (gradient + lambda * x)``.
 
-    The left join keeps rows without a gradient exactly as they are.
+    The left join keeps rows without a gradient exactly as they are. Columns of ``gradients`` named by ``carry`` stay.
     """
     lr, lam = F.lit(float(learning_rate)), F.lit(float(regularization))
     moved = F.zip_with("features", "gradient", lambda x, g: x - lr * (g + lam * x))
     stepped = rounded_features(moved, precision)
-    joined = state.join(gradients.select("side", "id", "gradient").hint("shuffle_hash"), ["side", "id"], "left")
-    return joined.select("side", "id", F.coalesce(stepped, F.col("features")).alias("features"))
+    sums = ["gradient", *carry]
+    joined = state.join(gradients.select("side", "id", *sums).hint("shuffle_hash"), ["side", "id"], "left")
+    return joined.select("side", "id", F.coalesce(stepped, F.col("features")).alias("features"), *carry)
 
 
 def explode_features(table: DataFrame, *keys: str, column: str = "features") -> DataFrame:

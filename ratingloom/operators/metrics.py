@@ -11,9 +11,10 @@ from ratingloom.operators.factors import RatingSkew, predict
 LEAST_EXPONENT = -1022
 
 
-def square_error(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None) -> DataFrame:
+def square_error(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None,
+                 width: int | None = None) -> DataFrame:
     """One row ``(square_error_sum, num_records, rmse)`` over the rated records the model covers."""
-    scored = predict(ratings, state, skew)
+    scored = predict(ratings, state, skew, width=width)
     error = F.col("residual")
     return scored.agg(F.sum(error * error).alias("square_error_sum"), F.count(error).alias("num_records"),
                       F.sqrt(F.avg(error * error)).alias("rmse"))

@@ -12,6 +12,8 @@ from ratingloom.session import StagedTable, stage
 MAX_HOT_KEYS = 1_000_000
 # Below this many rows a key never needs splitting, however small the table is.
 MIN_HOT_ROWS = 250_000
+# Slots of the hash by which ids are counted first: a task brings at most that many rows to the shuffle.
+HOT_SLOTS = 1 << 16
 
 
 def hot_keys(rows: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS,
@@ -23,7 +25,11 @@ def hot_keys(rows: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS,
     """
     total = rows.agg(F.count("*")).scalar()
     limit = F.greatest(F.lit(min_rows).cast("long"), F.ceil(total / F.lit(max_keys)))
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    # An id can not be hot in a slot of its hash with fewer rows: the others are not counted one by one.
+    slot = F.pmod(F.xxhash64(key), F.lit(HOT_SLOTS)).alias("_slot")
+    slots = rows.groupBy(slot).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("_slot")
+    likely = rows.select(key, slot).join(F.broadcast(slots), "_slot", "left_semi")
+    counts = likely.groupBy(key).agg(F.count("*").alias("_n"))
     hot = counts.where(F.col("_n") > limit)
     return hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("copies"))
 

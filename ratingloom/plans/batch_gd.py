@@ -15,14 +15,15 @@ MAX_DATAFRAME_BATCHES = 64
 
 
 def gd_epoch(ratings: DataFrame, state: DataFrame, width: int, learning_rate: float, regularization: float,
-             precision: str = "double", skew: RatingSkew | None = None) -> DataFrame:
+             precision: str = "double", skew: RatingSkew | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One step over all records: every touched row moves once by its summed gradient.
 
     Wide rows meet the ratings on a grid where that moves less than a factor array per rating.
+    ``carry`` may name ``square`` and ``rated``, see ``gradient_sums``.
     """
     cells = grid.worthwhile_cells(ratings, state, width)
     gradients = grid.grid_gradients(cells, state, width) if cells else gradient_sums(ratings, state, width, skew)
-    return apply_step(state, gradients, learning_rate, regularization, precision)
+    return apply_step(state, gradients, learning_rate, regularization, precision, carry)
 
 
 def minibatch_epoch(batched: DataFrame, num_batches: int, state: DataFrame, width: int, learning_rate: float,

@@ -179,29 +179,37 @@ class BlockScore:
         features, users, items, found = self._scored(state, records)
         ratings = records.column("rating").to_numpy()[found]
         total = np.zeros(features.shape)
+        squares = 0.0
         for first in range(0, len(ratings), self.chunk):
             u, i = users[first:first + self.chunk], items[first:first + self.chunk]
             p, q = features[u], features[i]
             error = (_dots(p, q) - ratings[first:first + self.chunk])[:, None]
+            squares += float(error[:, 0] @ error[:, 0])
             for target, term in ((u, error * q), (i, error * p)):
                 order = np.argsort(target, kind="stable")
                 ids, starts = np.unique(target[order], return_index=True)
                 total[ids] += np.add.reduceat(term[order], starts, axis=0)
         touched = np.unique(np.concatenate([users, items]))
+        # The errors of the part stand in its first row.
+        square, rated = np.zeros(len(touched)), np.zeros(len(touched), np.int64)
+        square[:1], rated[:1] = squares, len(ratings)
         return pa.table({"side": state.column("side").take(touched), "key": state.column("key").take(touched),
-                         "gradient": list_column(total[touched])})
+                         "gradient": list_column(total[touched]), "square": square, "rated": rated})
 
-    def predictions(self, state: pa.Table, records: pa.Table) -> pa.Table:
-        features, users, items, found = self._scored(state, records)
+    def _scores(self, features: np.ndarray, users: np.ndarray, items: np.ndarray) -> np.ndarray:
         scores = [_dots(features[users[first:first + self.chunk]], features[items[first:first + self.chunk]])
                   for first in range(0, len(users), self.chunk)]
+        return np.concatenate(scores or [np.zeros(0)])
+
+    def predictions(self, state: pa.Table, records: pa.Table) -> pa.Table:
+        features, users, items, found = self._scored(state, records)
         kept = records.filter(pa.array(found)).select(["rec_id", "user_key", "item_key", "rating"])
-        return kept.append_column("prediction", pa.array(np.concatenate(scores or [np.zeros(0)])))
+        return kept.append_column("prediction", pa.array(self._scores(features, users, items)))
 
     def errors(self, state: pa.Table, records: pa.Table) -> pa.Table:
-        scored = self.predictions(state, records)
-        scored = scored.filter(pc.is_valid(scored.column("rating")))
-        error = scored.column("prediction").to_numpy() - scored.column("rating").to_numpy()
+        records = records.filter(pc.is_valid(records.column("rating")))
+        features, users, items, found = self._scored(state, records)
+        error = self._scores(features, users, items) - records.column("rating").to_numpy()[found]
         return pa.table({"square_error_sum": pa.array([float(error @ error)]),
                          "num_records": pa.array([len(error)], pa.int64())})
 

@@ -86,22 +86,25 @@ def grid_predict(ratings: PartedRatings, state: DataFrame, width: int) -> DataFr
 
 
 def grid_gradients(ratings: PartedRatings, state: DataFrame, width: int) -> DataFrame:
-    """``(side, id, gradient)``: sum of ``error * other side's features`` per touched row."""
+    """``(side, id, gradient, square, rated)``: sum of ``error * other side's features`` per touched row.
+
+    ``square`` and ``rated``, over all rows, are the squared errors and their number.
+    """
     score = exchange.BlockScore(width)
 
     def cell(key, factor_rows, records):
         return score.gradients(factor_rows, records)
 
-    partial = ratings.meet(state).applyInArrow(cell, "side int, key long, gradient array<double>")
-    named = partial.select("side", F.col("key").cast("int").alias("id"), "gradient")
-    return sum_arrays(named, ["side", "id"], "gradient", width)
+    partial = ratings.meet(state).applyInArrow(cell, "side int, key long, gradient array<double>, square double, rated long")
+    named = partial.select("side", F.col("key").cast("int").alias("id"), "gradient", "square", "rated")
+    return sum_arrays(named, ["side", "id"], "gradient", width, [F.sum("square").alias("square"), F.sum("rated").alias("rated")])
 
 
 def grid_epoch(ratings: PartedRatings, state: DataFrame, width: int, learning_rate: float, regularization: float,
-               precision: str = "double") -> DataFrame:
+               precision: str = "double", carry: tuple[str, ...] = ()) -> DataFrame:
     """Batch gradient descent step, as ``batch_gd.gd_epoch`` but moving factor rows per cell."""
     gradients = grid_gradients(ratings, state, width)
-    return apply_step(state, gradients, learning_rate, regularization, precision)
+    return apply_step(state, gradients, learning_rate, regularization, precision, carry)
 
 
 def grid_square_error(ratings: PartedRatings, state: DataFrame, width: int) -> DataFrame:

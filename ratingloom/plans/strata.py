@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark import cloudpickle
@@ -201,6 +202,35 @@ def average_copies(copies: DataFrame, keys: list[str], lists: list[str], width:
     return result
 
 
+def square_error(ratings: BlockedRatings, state: DataFrame, width: int) -> DataFrame:
+    """One row ``(square_error_sum, num_records, rmse)`` over the laid-out ratings.
+
+    The ratings stay where they lie; a factor row travels once a stratum instead of once a rating.
+    """
+    score = exchange.BlockScore(width)
+
+    def block(key, factor_rows, records):
+        return score.errors(factor_rows, records)
+
+    rows = ratings.expand(state.select("side", "id", "features"))
+    parts = []
+    for number in range(ratings.blocks):
+        records = ratings.stratum(number).select("block", "user_key", "item_key", "rating")
+        parts.append(_met(rows, number, ratings.blocks).groupBy("block").cogroup(records.groupBy("block"))
+                     .applyInArrow(block, "square_error_sum double, num_records long"))
+    total = reduce(DataFrame.unionByName, parts).agg(
+        F.sum("square_error_sum").alias("square_error_sum"), F.coalesce(F.sum("num_records"), F.lit(0)).alias("num_records"))
+    return total.withColumn("rmse", F.sqrt(F.try_divide("square_error_sum", "num_records")))
+
+
+def _met(rows: DataFrame, number: int, blocks: int) -> DataFrame:
+    """Factor rows at the block where a stratum needs them."""
+    # User blocks stay put; item blocks move on by one block per stratum.
+    meeting = F.when(F.col("side") == USER, F.col("home")).otherwise(
+        F.pmod(F.col("home") - number, F.lit(blocks))).cast("int")
+    return rows.withColumn("block", meeting).repartitionById(blocks, "block")
+
+
 def stratified_epoch(ratings: BlockedRatings, state: DataFrame, rule: str, width: int, learning_rate: float,
                      regularization: float, precision: str = "double", batch_size: int = 1,
                      root: str | None = None) -> StagedTable:
@@ -228,11 +258,7 @@ def stratified_pass(ratings: BlockedRatings, state: DataFrame, update: exchange.
         current = half_rows.packed(current, lists)
     written: StagedTable | None = None
     for number in range(blocks):
-        # User blocks stay put; item blocks move on by one block per stratum.
-        meeting = F.when(F.col("side") == USER, F.col("home")).otherwise(
-            F.pmod(F.col("home") - number, F.lit(blocks))).cast("int")
-        placed = current.withColumn("block", meeting).repartitionById(blocks, "block")
-        current = (placed.groupBy("block").cogroup(ratings.stratum(number).groupBy("block"))
+        current = (_met(current, number, blocks).groupBy("block").cogroup(ratings.stratum(number).groupBy("block"))
                    .applyInArrow(step, schema))
         if (number + 1) % STRATA_PER_JOB == 0 and number + 1 < blocks:
             following = stage(current, "strata-state")

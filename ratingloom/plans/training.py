@@ -64,13 +64,13 @@ class _Scorer:
     def rmse(self, state: DataFrame) -> float | None:
         if self.cells:
             return grid.grid_square_error(self.cells, state, self._width).first().rmse
-        return square_error(self._ratings, state, self._skew).first().rmse
+        return square_error(self._ratings, state, self._skew, self._width).first().rmse
 
-    def descend(self, state: DataFrame, config: RunConfig) -> DataFrame:
+    def descend(self, state: DataFrame, config: RunConfig, carry: tuple[str, ...] = ()) -> DataFrame:
         common = (config.num_features, config.learning_rate, config.regularization_factor, config.storage)
         if self.cells:
-            return grid.grid_epoch(self.cells, state, *common)
-        return batch_gd.gd_epoch(self._ratings, state, *common, self._skew)
+            return grid.grid_epoch(self.cells, state, *common, carry)
+        return batch_gd.gd_epoch(self._ratings, state, *common, self._skew, carry)
 
     def release(self) -> None:
         if self.cells:
@@ -78,6 +78,17 @@ class _Scorer:
             self.cells.drop()
 
 
+class _BlockScorer:
+    """Errors of the ratings that are laid out for descent by strata: no other layout, and no join."""
+
+    def __init__(self, ratings: strata.BlockedRatings, width: int):
+        self._ratings = ratings
+        self._width = width
+
+    def rmse(self, state: DataFrame) -> float | None:
+        return strata.square_error(self._ratings, state, self._width).first().rmse
+
+
 class _Epochs:
     """The prepared ratings of one run and the step from one state to the next."""
 
@@ -89,6 +100,10 @@ class _Epochs:
         self.plan = config.method
         self.layout = ""
         self.ledger = ledger
+        # Batch descent meets all errors on its way: an epoch then tells the error of the state it began with.
+        self.tells_error = self.plan == "gd" and bool(config.show_train_rmse) and ledger is None
+        self.error_before: float | None = None
+        self._cached = engine.cache
         self._root = ledger and ledger.path
         self._ratings = ratings
         self._owned: list = []
@@ -163,6 +178,11 @@ class _Epochs:
     def step(self, state: DataFrame) -> StagedTable:
         c = self.config
         common = (c.num_features, c.learning_rate, c.regularization_factor, c.storage)
+        if self.tells_error:
+            table = stage(self.scorer.descend(state, c, ("square", "rated")), "factors", root=self._root)
+            mean = F.try_divide(F.sum("square"), F.sum("rated"))
+            self.error_before = table.df.agg(F.sqrt(mean).alias("rmse")).first().rmse
+            return StagedTable(table.df.drop("square", "rated"), table.path)
         if self.plan == "gd":
             return stage(self.scorer.descend(state, c), "factors", root=self._root)
         if self.plan == "minibatch":
@@ -171,6 +191,14 @@ class _Epochs:
             return local_sgd.local_epoch(self._ratings, state, *common, self._root)
         return strata.stratified_epoch(self._ratings, state, c.method, *common, c.batch_size, self._root)
 
+    def block_scorer(self, num_records: int, num_rows: int) -> _BlockScorer | None:
+        """A scorer of the training ratings where they lie, if that moves less than joins; ratings unrounded."""
+        if not (isinstance(self._ratings, strata.BlockedRatings) and self._cached and self.config.storage == "double"):
+            return None
+        if self._ratings.blocks * num_rows > num_records:
+            return None
+        return _BlockScorer(self._ratings, self.config.num_features)
+
     def release(self) -> None:
         if hasattr(self._ratings, "release"):
             self._ratings.release()
@@ -227,8 +255,9 @@ def _fit(train: DataFrame, test: DataFrame | None, config: RunConfig, engine: En
         return made
 
     def report(number: int, seconds: float | None) -> None:
+        known_later = epochs.tells_error and number < config.max_num_iterations
         errors = {name: scorer.rmse(state.df) for name, scorer in scorers.items()
-                  if name == "test" or config.show_train_rmse}
+                  if name == "test" or config.show_train_rmse and not known_later}
         rows.append((number, errors.get("train"), errors.get("test"), seconds))
         if ledger:
             ledger.commit(number, state, {"train": errors.get("train"), "test": errors.get("test")}, seconds)
@@ -237,11 +266,14 @@ def _fit(train: DataFrame, test: DataFrame | None, config: RunConfig, engine: En
         skew = RatingSkew.staged(train)
         shape = (users + items, config.num_features, skew, engine, config.storage)
         scorers = {}
-        if config.show_train_rmse or config.method == "gd":
+        if config.method == "gd":
             scorers["train"] = own(_Scorer(train, size.num_records, *shape))
+        epochs = own(_Epochs(config, engine, train, users, items, size.num_records, skew, scorers.get("train"), ledger))
+        if config.show_train_rmse and "train" not in scorers:
+            scorers["train"] = (epochs.block_scorer(size.num_records, users + items)
+                                or own(_Scorer(train, size.num_records, *shape)))
         if config.show_test_rmse and test is not None:
             scorers["test"] = own(_Scorer(test, test.count(), *shape))
-        epochs = own(_Epochs(config, engine, train, users, items, size.num_records, skew, scorers.get("train"), ledger))
         done, state = (ledger.last() if ledger else None) or (0, None)
         if state is None:
             state = stage(factors.init_state(spark, users, items, config.num_features, engine.init, config.storage,
@@ -252,6 +284,8 @@ def _fit(train: DataFrame, test: DataFrame | None, config: RunConfig, engine: En
             started = time.perf_counter()
             following = epochs.step(state.df)
             seconds = time.perf_counter() - started
+            if epochs.tells_error:
+                rows[-1] = (rows[-1][0], epochs.error_before, *rows[-1][2:])
             if not ledger:
                 state.drop()
             state = following
