@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from ratingloom.plans import kernels
 
@@ -157,61 +156,73 @@ class BlockScore:
         self.width = width
         self.chunk = max(1, min(SCORE_CHUNK, SCORE_BYTES // (8 * max(1, width))))
 
-    def _scored(self, state: pa.Table, records: pa.Table):
+    def _rows(self, state: pa.Table) -> tuple[np.ndarray, dict]:
+        """The features of a part, and for each side its sorted keys with their places."""
         sides = state.column("side").to_numpy()
         keys = state.column("key").to_numpy()
-        features = matrix(state, "features", self.width)
-        rows, places, found = {}, {}, np.ones(records.num_rows, dtype=bool)
-        for side, column in ((USER, "user_key"), (ITEM, "item_key")):
-            rows[side] = np.flatnonzero(sides == side)
-            rows[side] = rows[side][np.argsort(keys[rows[side]])]
-            known, wanted = keys[rows[side]], records.column(column).to_numpy()
-            places[side] = np.searchsorted(known, wanted)
-            if len(known):
-                found &= known[np.minimum(places[side], len(known) - 1)] == wanted
-            else:
-                found[:] = False
-        users, items = rows[USER][places[USER][found]], rows[ITEM][places[ITEM][found]]
-        return features, users, items, found
+        rows = {}
+        for side in (USER, ITEM):
+            places = np.flatnonzero(sides == side)
+            places = places[np.argsort(keys[places])]
+            rows[side] = keys[places], places
+        return matrix(state, "features", self.width), rows
+
+    def _scored(self, rows: dict, records: pa.Table, rated: bool = True):
+        """Records in chunks, with the feature rows of their users and items; no array is as long as the part."""
+        for batch in records.to_batches(max_chunksize=self.chunk):
+            found = np.ones(batch.num_rows, dtype=bool)
+            if rated:
+                found &= batch.column("rating").is_valid().to_numpy(zero_copy_only=False)
+            places = {}
+            for side, column in ((USER, "user_key"), (ITEM, "item_key")):
+                known, where = rows[side]
+                wanted = batch.column(column).to_numpy(zero_copy_only=False)
+                if len(known) == 0:
+                    found[:] = False
+                    break
+                places[side] = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                found &= known[places[side]] == wanted
+            if found.any():
+                yield (batch.filter(pa.array(found)), *(rows[side][1][places[side][found]] for side in (USER, ITEM)))
 
     def gradients(self, state: pa.Table, records: pa.Table) -> pa.Table:
-        records = records.filter(pc.is_valid(records.column("rating")))
-        features, users, items, found = self._scored(state, records)
-        ratings = records.column("rating").to_numpy()[found]
+        features, rows = self._rows(state)
         total = np.zeros(features.shape)
-        squares = 0.0
-        for first in range(0, len(ratings), self.chunk):
-            u, i = users[first:first + self.chunk], items[first:first + self.chunk]
+        touched = np.zeros(len(features), dtype=bool)
+        squares, number = 0.0, 0
+        for batch, u, i in self._scored(rows, records):
             p, q = features[u], features[i]
-            error = (_dots(p, q) - ratings[first:first + self.chunk])[:, None]
+            error = (_dots(p, q) - batch.column("rating").to_numpy())[:, None]
             squares += float(error[:, 0] @ error[:, 0])
+            number += len(u)
             for target, term in ((u, error * q), (i, error * p)):
                 order = np.argsort(target, kind="stable")
                 ids, starts = np.unique(target[order], return_index=True)
                 total[ids] += np.add.reduceat(term[order], starts, axis=0)
-        touched = np.unique(np.concatenate([users, items]))
+                touched[ids] = True
+        touched = np.flatnonzero(touched)
         # The errors of the part stand in its first row.
         square, rated = np.zeros(len(touched)), np.zeros(len(touched), np.int64)
-        square[:1], rated[:1] = squares, len(ratings)
+        square[:1], rated[:1] = squares, number
         return pa.table({"side": state.column("side").take(touched), "key": state.column("key").take(touched),
                          "gradient": list_column(total[touched]), "square": square, "rated": rated})
 
-    def _scores(self, features: np.ndarray, users: np.ndarray, items: np.ndarray) -> np.ndarray:
-        scores = [_dots(features[users[first:first + self.chunk]], features[items[first:first + self.chunk]])
-                  for first in range(0, len(users), self.chunk)]
-        return np.concatenate(scores or [np.zeros(0)])
-
     def predictions(self, state: pa.Table, records: pa.Table) -> pa.Table:
-        features, users, items, found = self._scored(state, records)
-        kept = records.filter(pa.array(found)).select(["rec_id", "user_key", "item_key", "rating"])
-        return kept.append_column("prediction", pa.array(self._scores(features, users, items)))
+        features, rows = self._rows(state)
+        columns = ["rec_id", "user_key", "item_key", "rating"]
+        kept = [pa.Table.from_batches([batch.select(columns)]).append_column("prediction", pa.array(_dots(features[u], features[i])))
+                for batch, u, i in self._scored(rows, records, rated=False)]
+        none = records.schema.empty_table().select(columns).append_column("prediction", pa.array([], pa.float64()))
+        return pa.concat_tables([none, *kept])
 
     def errors(self, state: pa.Table, records: pa.Table) -> pa.Table:
-        records = records.filter(pc.is_valid(records.column("rating")))
-        features, users, items, found = self._scored(state, records)
-        error = self._scores(features, users, items) - records.column("rating").to_numpy()[found]
-        return pa.table({"square_error_sum": pa.array([float(error @ error)]),
-                         "num_records": pa.array([len(error)], pa.int64())})
+        features, rows = self._rows(state)
+        squares, number = 0.0, 0
+        for batch, u, i in self._scored(rows, records):
+            error = _dots(features[u], features[i]) - batch.column("rating").to_numpy()
+            squares += float(error @ error)
+            number += len(error)
+        return pa.table({"square_error_sum": pa.array([squares]), "num_records": pa.array([number], pa.int64())})
 
 
 def _dots(p: np.ndarray, q: np.ndarray) -> np.ndarray:
