@@ -10,16 +10,16 @@ Frequencies are counted over all rows into a table of fixed size (shingles are h
 into it). Any fixed order gives exact results; the frequencies only make it selective.
 
 Equal sets are one node from the start. Inside a shared prefix shingle no all-pairs list
-is made: pivots are compared with the members outside their component, more pivots each
-round, until the members left are in one component. A pivot has met every
-member and leaves. Links inside one component are not looked for: they can not change it.
+is made at first: pivots are compared with the members outside their component, more pivots
+each round, and a pivot that has met every member leaves. Members of several components
+that are still left meet each other in a last round. Links inside one component are not looked
+for: they can not change it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ FREQUENCY_BITS = 18
 SUFFIX_RANGES = 64
 #: Orders from which pivots are taken: members of a group meet about so many of them at first.
 PIVOT_ORDERS = 8
-#: How many times more pivots each round takes.
-WIDER = 4
+#: Pivots of a key in each round; in the round after these all members left are pivots.
+PIVOTS = (1, 8, 128)
 
 
 @dataclass(frozen=True)
@@ -106,17 +106,17 @@ def _frequencies(sets: DataFrame):
     return sets.sparkSession.sparkContext.broadcast(table)
 
 
-def _postings(docs: DataFrame, frequencies, rule: Jaccard, wanted=None) -> DataFrame:
+def _postings(docs: DataFrame, frequencies, chosen, rule: Jaccard, wanted=None) -> DataFrame:
     """``(key, node, place)`` of each prefix shingle; a set seen before in the task is left out.
 
-    ``place`` packs the size of the set and the position in its prefix. ``wanted`` is a
-    bitmap of keys worth emitting.
+    ``place`` packs the size of the set and the position in its prefix. ``chosen`` is a bitmap of the ids
+    that stand for the sets, so most copies are not read; ``wanted`` is one of keys worth emitting.
     """
     def run(batches: Iterator[pa.RecordBatch]):
-        counts, met = frequencies.value, set()
+        counts, stands, met = frequencies.value, chosen.value, set()
         filled = wanted.value if wanted is not None else None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch.filter(pa.array(may_contain(stands, batch.column("id").to_numpy().view(np.uint64))))):
                 keys, nodes, places = [], [], []
                 for shingles in shingle_sets(part.column("text"), rule.shingle):
                     size = len(shingles)
@@ -140,17 +140,21 @@ def _postings(docs: DataFrame, frequencies, rule: Jaccard, wanted=None) -> DataF
                                            "place": pa.array(np.concatenate(places))})
         met.clear()
         trim()
-    return docs.mapInArrow(run, "key long, node long, place long")
+    return docs.select("text", F.xxhash64("doc_id").alias("id")).mapInArrow(run, "key long, node long, place long")
 
 
-def _shared_postings(docs: DataFrame, frequencies, rule: Jaccard) -> StagedTable:
+def _shared_postings(docs: DataFrame, classes: DataFrame, frequencies, rule: Jaccard) -> StagedTable:
     """Postings ``(key, node, place)`` of the keys that several rows have in their prefixes."""
-    repeated = stage(_postings(docs, frequencies, rule).groupBy("key").agg(F.count("*").alias("n"))
+    chosen = key_bitmap(classes.select(F.xxhash64("least").alias("id")), "id")
+    repeated = stage(_postings(docs, frequencies, chosen, rule).groupBy("key").agg(F.count("*").alias("n"))
                      .where("n > 1").select("key"), "keys")
     wanted = key_bitmap(repeated.df, "key")
-    rows = _postings(docs, frequencies, rule, wanted).groupBy("key", "node").agg(F.min("place").alias("place"))
-    shared = stage(rows.join(repeated.df, "key"), "postings")
-    wanted.destroy()
+    # Rows that lie by key after the join are not shuffled again to be grouped.
+    rows = (_postings(docs, frequencies, chosen, rule, wanted).join(repeated.df, "key")
+            .groupBy("key", "node").agg(F.min("place").alias("place")))
+    shared = stage(rows, "postings")
+    for bitmap in (wanted, chosen):
+        bitmap.destroy()
     repeated.drop()
     return shared
 
@@ -178,19 +182,30 @@ def _pivots(active: DataFrame, width: int) -> StagedTable:
     are minima, so a frequent key is aggregated before the shuffle.
     """
     order = F.xxhash64("node", F.pmod("key", F.lit(PIVOT_ORDERS)))
+    carried = [c for c in ("node", "place", "component") if c in active.columns]
     least = active.groupBy("key", F.pmod(order, F.lit(width)).alias("lane")).agg(
-        F.min(F.struct(order.alias("order"), "node", "place", "component")).alias("m"))
-    return stage(least.select("key", F.col("m.node").alias("pivot"), F.col("m.place").alias("pivot_place"),
-                              F.col("m.component").alias("pivot_component")), "pivots")
+        F.min(F.struct(order.alias("order"), *carried)).alias("m"))
+    return stage(_as_pivots(least.select("key", *(f"m.{c}" for c in carried))), "pivots")
+
+
+def _as_pivots(members: DataFrame) -> DataFrame:
+    return members.select("key", *(F.col(c).alias("pivot" if c == "node" else f"pivot_{c}")
+                                   for c in ("node", "place", "component") if c in members.columns))
 
 
-def _candidates(active: DataFrame, pivots: DataFrame, rule: Jaccard) -> StagedTable:
-    """Distinct pairs of a pivot and the members of its key in other components.
+def _candidates(active: DataFrame, pivots: DataFrame | None, rule: Jaccard) -> StagedTable:
+    """Distinct pairs of a pivot (None: every member is one) and the members of its key in other components.
 
-    Both sides are plain tables, so Spark splits the rows of a frequent key.
+    Before the first round no components are known. Both sides are plain tables, so Spark splits the rows
+    of a frequent key.
     """
+    known = "component" in active.columns
+    apart = F.col("component") != F.col("pivot_component") if known else F.col("node") != F.col("pivot")
+    if pivots is None:
+        pivots = _as_pivots(active)
+        apart &= F.col("node") < F.col("pivot")
     pairs = (active.join(pivots, "key")
-             .where((F.col("component") != F.col("pivot_component")) & _passes("place", "pivot_place", rule))
+             .where(apart & _passes("place", "pivot_place", rule))
              .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     return stage(pairs, "pairs")
 
@@ -217,27 +232,29 @@ def _likely(pairs: DataFrame, classes: DataFrame, rule: Jaccard) -> StagedTable:
 
 
 def _whole_sets(docs: DataFrame, pairs: DataFrame, rule: Jaccard) -> StagedTable:
-    """The whole sets ``(node, n, shingles)`` that pairs need, each from one of its documents."""
-    ends = [pairs.select(F.col(x).alias("node"), F.col(f"{x}_doc").alias("doc_id")) for x in ("a", "b")]
-    chosen = stage(ends[0].unionByName(ends[1]).distinct(), "chosen")
+    """The whole sets ``(node, n, shingles)`` that pairs need, from documents that hold them; others may be among them.
+
+    No text is shuffled: bitmaps of fixed size tell which documents may be wanted, and which of their sets.
+    """
+    ends = pairs.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(f"{x}_doc").alias("doc_id"))
+                                            for x in ("a", "b")))).alias("end")).select("end.*")
+    wanted = key_bitmap(ends, "node")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
-                built = shingle_sets(part.column("text"), rule.shingle)
+                built = [(set_key(s), s) for s in shingle_sets(part.column("text"), rule.shingle) if len(s)]
+                nodes = np.array([node for node, _ in built], np.int64)
+                keep = np.flatnonzero(may_contain(wanted.value, nodes.view(np.uint64)))
                 yield pa.record_batch({
-                    "node": pa.array([set_key(s) for s in built], pa.int64()),
-                    "n": pa.array([len(s) for s in built], pa.int64()),
-                    "shingles": pa.array([s.astype("<u8").tobytes() for s in built], pa.binary())})
+                    "node": pa.array(nodes[keep]),
+                    "n": pa.array([len(built[k][1]) for k in keep], pa.int64()),
+                    "shingles": pa.array([built[k][1].astype("<u8").tobytes() for k in keep], pa.binary())})
         trim()
 
-    # A bitmap of fixed size keeps most other texts out of the shuffle.
-    bitmap = bitmap_column(chosen.df.select(F.xxhash64("doc_id").alias("h")), "h")
-    texts = docs.where(bit_of(bitmap, F.xxhash64("doc_id"))).join(chosen.df.select("doc_id"), "doc_id", "left_semi")
-    found = texts.mapInArrow(run, "node long, n long, shingles binary")
-    # Rows that share an id may hold different texts, or the same text again.
-    built = stage(found.join(chosen.df.select("node"), "node", "left_semi"), "whole")
-    chosen.drop()
+    bitmap = bitmap_column(ends.select(F.xxhash64("doc_id").alias("h")), "h")
+    built = stage(docs.where(bit_of(bitmap, F.xxhash64("doc_id"))).mapInArrow(run, "node long, n long, shingles binary"), "whole")
+    wanted.destroy()
     return built
 
 
@@ -277,11 +294,10 @@ def _open(postings: DataFrame, labels: DataFrame | None) -> StagedTable:
         placed = (postings.drop("component").join(labels, "node", "left")
                   .withColumn("component", F.coalesce("component", "node")))
     placed = stage(placed, "placed")
-    spread = stage(placed.df.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                   .where("low < high").select("key"), "spread")
-    rows = stage(placed.df.join(spread.df, "key"), "open")
+    spread = (placed.df.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+              .where("low < high").select("key"))
+    rows = stage(placed.df.join(spread, "key"), "open")
     placed.drop()
-    spread.drop()
     return rows
 
 
@@ -291,31 +307,34 @@ def similar_sets(docs: DataFrame, rule: Jaccard) -> tuple[StagedTable, StagedTab
     classes = stage(sets.df.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("ranges", True).alias("ranges")), "nodes")
     frequencies = _frequencies(sets.df)
-    postings = _shared_postings(docs, frequencies, rule)
+    active = _shared_postings(docs, classes.df, frequencies, rule)
     frequencies.destroy()
-    active = _open(postings.df, None)
-    postings.drop()
-    links: list[StagedTable] = []
-    labels = stage(docs.sparkSession.createDataFrame([], "node long, component long"), "components")
-    width = 1
-    while active.df.limit(1).count():
-        pivots = _pivots(active.df, width)
-        pairs = _candidates(active.df, pivots.df, rule)
+    labels: StagedTable | None = None
+    for width in (*PIVOTS, None):
+        pivots = width and _pivots(active.df, width)
+        pairs = _candidates(active.df, pivots and pivots.df, rule)
         found = _verified(docs, pairs.df, classes.df, rule)
-        links.append(found)
+        pairs.drop()
         if found.df.limit(1).count():
-            labels.drop()
-            labels = components(reduce(DataFrame.unionByName, [table.df.select("a", "b") for table in links]))
+            known = labels
+            links = found.df.select("a", "b")
+            labels = components(links if known is None else links.unionByName(
+                known.df.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            if known:
+                known.drop()
+        found.drop()
+        if pivots is None:
+            break
         met = active.df.join(pivots.df.withColumnRenamed("pivot", "node").select("key", "node"),
                              ["key", "node"], "left_anti")
-        following = _open(met, labels.df)
-        for table in (pairs, pivots, active):
-            table.drop()
+        following = _open(met, labels and labels.df)
+        pivots.drop()
+        active.drop()
         active = following
-        width *= WIDER
-    for table in (active, *links):
-        table.drop()
-    return sets, classes, labels
+        if not active.df.limit(1).count():
+            break
+    active.drop()
+    return sets, classes, labels or stage(docs.sparkSession.createDataFrame([], "node long, component long"), "components")
 
 
 def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), doc_id: str = "doc_id",
