@@ -307,6 +307,9 @@ def similar_sets(docs: DataFrame, rule: Jaccard) -> tuple[StagedTable, StagedTab
     classes = stage(sets.df.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("ranges", True).alias("ranges")), "nodes")
     frequencies = _frequencies(sets.df)
+    # Ranges and counts of tasks are read no more: they should not lie on disk all the while.
+    rows = stage(sets.df.where("slot is null").select("doc_id", "n", "node"), "rows")
+    sets.drop()
     active = _shared_postings(docs, classes.df, frequencies, rule)
     frequencies.destroy()
     labels: StagedTable | None = None
@@ -334,7 +337,7 @@ def similar_sets(docs: DataFrame, rule: Jaccard) -> tuple[StagedTable, StagedTab
         if not active.df.limit(1).count():
             break
     active.drop()
-    return sets, classes, labels or stage(docs.sparkSession.createDataFrame([], "node long, component long"), "components")
+    return rows, classes, labels or stage(docs.sparkSession.createDataFrame([], "node long, component long"), "components")
 
 
 def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), doc_id: str = "doc_id",
@@ -350,14 +353,13 @@ def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), doc_id: str = "d
     component is null. An empty table gives an empty table. Other columns of ``docs`` are not looked at.
     """
     rows = documents(docs, doc_id, text)
-    sets, classes, labels = similar_sets(rows, rule)
-    own = sets.df.where("slot is null").select("doc_id", "n", "node")
+    own, classes, labels = similar_sets(rows, rule)
     placed = stage(classes.df.select("node", "least").join(labels.df, "node", "left")
                    .withColumn("component", F.coalesce("component", "node")), "classes")
     least = stage(placed.df.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = stage(placed.df.join(least.df, "component").select("node", "component_id"), "named")
     for table in (classes, labels, placed, least):
         table.drop()
-    return own.join(named.df, "node", "left").select(
+    return own.df.join(named.df, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
