@@ -6,7 +6,7 @@ Both factor matrices live in one state table ``(side, id, features[, acc])`` wit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom.functions.arrays import array_type, dot
@@ -114,12 +114,16 @@ def apply_step(state: DataFrame, gradients: DataFrame, learning_rate: float, reg
 
     The left join keeps rows without a gradient exactly as they are. Columns of ``gradients`` named by ``carry`` stay.
     """
-    lr, lam = F.lit(float(learning_rate)), F.lit(float(regularization))
-    moved = F.zip_with("features", "gradient", lambda x, g: x - lr * (g + lam * x))
-    stepped = rounded_features(moved, precision)
     sums = ["gradient", *carry]
     joined = state.join(gradients.select("side", "id", *sums).hint("shuffle_hash"), ["side", "id"], "left")
-    return joined.select("side", "id", F.coalesce(stepped, F.col("features")).alias("features"), *carry)
+    return joined.select("side", "id", stepped_features(learning_rate, regularization, precision).alias("features"), *carry)
+
+
+def stepped_features(learning_rate: float, regularization: float, precision: str = "double") -> Column:
+    """``features`` after a step by ``gradient``; without a gradient they stay exactly as they are."""
+    lr, lam = F.lit(float(learning_rate)), F.lit(float(regularization))
+    moved = F.zip_with("features", "gradient", lambda x, g: x - lr * (g + lam * x))
+    return F.coalesce(rounded_features(moved, precision), F.col("features"))
 
 
 def explode_features(table: DataFrame, *keys: str, column: str = "features") -> DataFrame:

@@ -1,10 +1,9 @@
 """Batch descent on factor rows that are cut into slices of features.
 
 A row of K features lies as slices ``(side, id, shard, features)`` of at most ``slice_width`` values. Every
-join and every exchange carries slices only: partial inner products are summed by record, and the error
-then goes back to the slices of both sides, whose gradients are independent of each other. Rows of any
-width so need no more memory a record than one slice of each side. The joins are plain: Spark splits
-partitions of frequent ids.
+exchange and every file carries slices only, and each of them once a side: a task has the ratings and slices of a
+block of ids and reads the other side's slices through, see ``streamed``. It sums partial inner products by
+record, then goes through them again with the error for the gradients of its slices, which are independent of each other.
 """
 
 from __future__ import annotations
@@ -12,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.functions.arrays import dot, scaled, sum_arrays
-from ratingloom.functions.half import rounded_features
-from ratingloom.operators.factors import ITEM, USER, side_of
+from ratingloom.operators.factors import ITEM, USER
+from ratingloom.plans import streamed
 
 SLICE_WIDTH = 32
 
@@ -32,43 +30,17 @@ def joined_slices(slices: DataFrame) -> DataFrame:
     return slices.groupBy("side", "id").agg(F.flatten(parts).alias("features"))
 
 
-def _side(slices: DataFrame, side: int, key: str, name: str) -> DataFrame:
-    # Spark takes a slice for a value: without the hint it would broadcast them all, through the driver.
-    return side_of(slices, side).select(F.col("id").alias(key), "shard", F.col("features").alias(name)).hint("shuffle_hash")
-
-
 def errors(ratings: DataFrame, slices: DataFrame) -> DataFrame:
-    """``(rec_id, user_id, item_id, rating, prediction, residual)``: partial inner products summed by record."""
-    records = ratings.select("rec_id", "user_id", "item_id", "rating")
-    met = (records.join(_side(slices, USER, "user_id", "p"), "user_id")
-           .join(_side(slices, ITEM, "item_id", "q"), ["item_id", "shard"]))
-    partial = met.select(*records.columns, dot(F.col("p"), F.col("q")).alias("_part"))
-    summed = partial.groupBy(*records.columns).agg(F.sum("_part").alias("prediction"))
-    return summed.withColumn("residual", F.col("prediction") - F.col("rating"))
-
-
-def gradient_slices(scored: DataFrame, slices: DataFrame, slice_width: int) -> DataFrame:
-    """``(side, id, shard, gradient)``: each slice's sum of ``residual * other side's slice``."""
-    result = None
-    for side, key, other in ((USER, "user_id", "item_id"), (ITEM, "item_id", "user_id")):
-        factors = _side(slices, ITEM if side == USER else USER, other, "x")
-        met = scored.select(key, other, "residual").join(factors, other)
-        terms = met.select(F.lit(side).alias("side"), F.col(key).alias("id"), "shard",
-                           scaled(F.col("residual"), F.col("x")).alias("gradient"))
-        # A shorter last slice is filled up, so that all can be summed alike.
-        filled = F.concat("gradient", F.array_repeat(F.lit(0.0).cast("double"), slice_width - F.size("gradient")))
-        summed = sum_arrays(terms.withColumn("gradient", filled), ["side", "id", "shard"], "gradient", slice_width)
-        result = summed if result is None else result.unionByName(summed)
-    return result
+    """``(rec_id, user_id, item_id, rating, prediction, residual)``: partial inner products summed by record, in its block's task."""
+    found = {row.side: row for row in slices.groupBy("side").agg(
+        F.count("*").alias("rows"), F.max(F.size("features")).alias("width")).collect()}
+    sizes = streamed.Sizes(ratings.count(), {side: found[side].rows if side in found else 0 for side in (USER, ITEM)})
+    return streamed.predictions(ratings, slices, sizes, max((row.width for row in found.values()), default=1))
 
 
 def sharded_epoch(ratings: DataFrame, slices: DataFrame, slice_width: int, learning_rate: float, regularization: float,
                   precision: str = "double") -> DataFrame:
     """One batch step on slices, equal to ``batch_gd.gd_epoch`` on whole rows up to the order of additions."""
-    gradients = gradient_slices(errors(ratings, slices), slices, slice_width)
-    rate, penalty = F.lit(float(learning_rate)), F.lit(float(regularization))
-    moved = F.zip_with("features", F.slice("gradient", 1, F.size("features")),
-                       lambda x, g: x - rate * (g + penalty * x))
-    joined = slices.join(gradients.hint("shuffle_hash"), ["side", "id", "shard"], "left")
-    return joined.select("side", "id", "shard",
-                         F.coalesce(rounded_features(moved, precision), F.col("features")).alias("features"))
+    store = streamed.StreamedRows.of(slices, slice_width)
+    moved = streamed.epoch(ratings, store, ratings.count(), learning_rate, regularization, precision, gaps=True)
+    return moved.select("side", "id", "shard", "features")

@@ -41,6 +41,11 @@ class Folder:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    @property
+    def uri(self) -> str:
+        """The folder with its file system, as tasks need it that open files by themselves."""
+        return self._system.makeQualified(self._path("")).toString()
+
     def names(self, name: str = "") -> list[str]:
         """Names of what lies there; none if it is missing."""
         if not self._system.exists(self._path(name)):
