@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.operators.factors import RatingSkew, apply_step
 from ratingloom.operators.gradients import gradient_sums
-from ratingloom.plans import grid
+from ratingloom.plans import grid, streamed
 from ratingloom.session import StagedTable, stage
 
 # A job each: more batches than this per epoch are refused.
@@ -15,14 +15,22 @@ MAX_DATAFRAME_BATCHES = 64
 
 
 def gd_epoch(ratings: DataFrame, state: DataFrame, width: int, learning_rate: float, regularization: float,
-             precision: str = "double", skew: RatingSkew | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+             precision: str = "double", skew: RatingSkew | None = None, carry: tuple[str, ...] = (),
+             made: list[StagedTable] | None = None) -> DataFrame:
     """One step over all records: every touched row moves once by its summed gradient.
 
-    Wide rows meet the ratings on a grid where that moves less than a factor array per rating.
-    ``carry`` may name ``square`` and ``rated``, see ``gradient_sums``.
+    Wide rows meet the ratings on a grid, or are streamed if they are many, where that moves less than a factor
+    array per rating. ``carry`` may name ``square`` and ``rated``, see ``gradient_sums``.
+    What was written on the way is added to ``made``, to be dropped when the result was used.
     """
-    cells = grid.worthwhile_cells(ratings, state, width)
-    gradients = grid.grid_gradients(cells, state, width) if cells else gradient_sums(ratings, state, width, skew)
+    found = grid.wide_pass(ratings, state, width)
+    if isinstance(found, streamed.Sizes):
+        store = streamed.StreamedRows.of(state, width)
+        if made is not None:
+            made.extend(store.tables.values())
+        moved = streamed.epoch(ratings, store, found.records, learning_rate, regularization, precision)
+        return moved.select("side", "id", "features", *carry)
+    gradients = grid.grid_gradients(found, state, width) if found else gradient_sums(ratings, state, width, skew)
     return apply_step(state, gradients, learning_rate, regularization, precision, carry)
 
 
@@ -41,8 +49,11 @@ def minibatch_epoch(batched: DataFrame, num_batches: int, state: DataFrame, widt
     for number in range(num_batches):
         records = batched.where(F.col("batch") == number)
         before = current.df if current else state
-        following = stage(gd_epoch(records, before, width, learning_rate, regularization, precision, skew),
+        made: list[StagedTable] = []
+        following = stage(gd_epoch(records, before, width, learning_rate, regularization, precision, skew, made=made),
                           "minibatch-state", root=root)
+        for table in made:
+            table.drop()
         if current:
             current.drop()
         current = following

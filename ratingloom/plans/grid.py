@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions.arrays import COLUMNWISE_WIDTH, sum_arrays
 from ratingloom.functions.mixing import block_of
-from ratingloom.operators.factors import apply_step
+from ratingloom.operators.factors import ITEM, USER, apply_step
 from ratingloom.operators.skew import hot_keys
-from ratingloom.plans import exchange
+from ratingloom.plans import exchange, streamed
 from ratingloom.plans.parts import PartedRatings
 from ratingloom.session import task_slots
 
@@ -25,6 +25,8 @@ CELL_RECORDS = 1_000_000
 MAX_CELL_BYTES = 256 << 20
 MIN_SPLIT_RECORDS = 10_000
 MIN_JOIN_BYTES = 64 << 20
+# Wide rows that a grid would copy beyond this are streamed instead.
+MAX_COPIED_BYTES = 64 << 20
 
 
 def grid_size(num_records: int, num_rows: int, width: int, slots: int) -> int:
@@ -58,6 +60,23 @@ def pays_off(num_records: int, num_rows: int, width: int, blocks: int) -> bool:
     return num_records * width * 8 > MIN_JOIN_BYTES and num_records > 2 * blocks * num_rows
 
 
+def wide_pass(ratings: DataFrame, state: DataFrame, width: int) -> PartedRatings | streamed.Sizes | None:
+    """Ratings with both ids on a grid, for one pass over wide rows; the sizes where these should be streamed; None where joins move less."""
+    if width <= COLUMNWISE_WIDTH:
+        return None
+    rows = dict.fromkeys((USER, ITEM), 0) | {row.side: row["count"] for row in state.groupBy("side").count().collect()}
+    num_records, num_rows = ratings.count(), sum(rows.values())
+    # Rows are so wide that the layout does not count: fewer rows than records travel, that decides.
+    if num_records * width * 8 <= MIN_JOIN_BYTES or num_records <= num_rows:
+        return None
+    blocks = grid_size(num_records, num_rows, width, task_slots(ratings.sparkSession))
+    if blocks * num_rows * width * 8 > MAX_COPIED_BYTES:
+        return streamed.Sizes(num_records, rows)
+    if num_records <= blocks * num_rows:
+        return None
+    return grid_ratings(ratings.where(F.col("user_id").isNotNull() & F.col("item_id").isNotNull()), blocks)
+
+
 def worthwhile_cells(ratings: DataFrame, state: DataFrame, width: int) -> PartedRatings | None:
     """Ratings with both ids on a grid, for one pass over wide rows; None where joins move less."""
     if width <= COLUMNWISE_WIDTH:

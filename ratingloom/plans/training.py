@@ -66,11 +66,15 @@ class _Scorer:
             return grid.grid_square_error(self.cells, state, self._width).first().rmse
         return square_error(self._ratings, state, self._skew, self._width).first().rmse
 
-    def descend(self, state: DataFrame, config: RunConfig, carry: tuple[str, ...] = ()) -> DataFrame:
+    def descend(self, state: DataFrame, config: RunConfig, root: str | None, carry: tuple[str, ...] = ()) -> StagedTable:
         common = (config.num_features, config.learning_rate, config.regularization_factor, config.storage)
         if self.cells:
-            return grid.grid_epoch(self.cells, state, *common, carry)
-        return batch_gd.gd_epoch(self._ratings, state, *common, self._skew, carry)
+            return stage(grid.grid_epoch(self.cells, state, *common, carry), "factors", root=root)
+        made: list[StagedTable] = []
+        following = stage(batch_gd.gd_epoch(self._ratings, state, *common, self._skew, carry, made), "factors", root=root)
+        for table in made:
+            table.drop()
+        return following
 
     def release(self) -> None:
         if self.cells:
@@ -179,12 +183,12 @@ class _Epochs:
         c = self.config
         common = (c.num_features, c.learning_rate, c.regularization_factor, c.storage)
         if self.tells_error:
-            table = stage(self.scorer.descend(state, c, ("square", "rated")), "factors", root=self._root)
+            table = self.scorer.descend(state, c, self._root, ("square", "rated"))
             mean = F.try_divide(F.sum("square"), F.sum("rated"))
             self.error_before = table.df.agg(F.sqrt(mean).alias("rmse")).first().rmse
             return StagedTable(table.df.drop("square", "rated"), table.path)
         if self.plan == "gd":
-            return stage(self.scorer.descend(state, c), "factors", root=self._root)
+            return self.scorer.descend(state, c, self._root)
         if self.plan == "minibatch":
             return batch_gd.minibatch_epoch(self._ratings, self._batches, state, *common, self.skew, self._root)
         if self.plan in ("local_sgd", "row_sgd"):

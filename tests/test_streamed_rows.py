@@ -4,13 +4,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratingloom.operators import factors
+from ratingloom import Engine, RunConfig, fit
+from ratingloom.operators import factors, metrics
 from ratingloom.operators.gradients import gradient_sums
-from ratingloom.plans import feature_shards, streamed
+from ratingloom.plans import batch_gd, feature_shards, grid, streamed
+from ratingloom.session import Folder, shared_root
 
 WIDTH = 70
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def _values(state):
     return {(r.side, r.id): r.features for r in state.collect()}
 
@@ -23,6 +29,8 @@ def _close(found, expected):
 @pytest.fixture(params=["even", "hot"])
 def ratings(request, make_ratings, monkeypatch):
     """With null ratings, ids unknown to the model, rows without ratings and, if hot, ids that lie in several blocks."""
+    monkeypatch.setattr(grid, "MIN_JOIN_BYTES", 0)
+    monkeypatch.setattr(grid, "MAX_COPIED_BYTES", 0)
     if request.param == "hot":
         monkeypatch.setattr(streamed, "MIN_SPLIT_RECORDS", 10)
     rng = np.random.default_rng(4)
@@ -33,6 +41,24 @@ def ratings(request, make_ratings, monkeypatch):
                              "item_id": F.when(number % 4 == 0, 3).when(number != 10, F.col("item_id"))})
 
 
+@pytest.mark.parametrize("precision", ["double", "single"])
+def test_streamed_epoch(spark, ratings, precision):
+    state = factors.init_state(spark, 29, 40, WIDTH, precision=precision)
+    stepped = batch_gd.gd_epoch(ratings, state, WIDTH, 0.02, 0.05, precision, carry=("square", "rated"))
+    assert "MapInArrow" in _plan(stepped) and "CoGroup" not in _plan(stepped)
+    assert stepped.select("side", "id", "features").dtypes == state.dtypes
+    rated = ratings.where(F.col("rating").isNotNull())
+    plain = factors.apply_step(state, gradient_sums(rated, state, WIDTH), 0.02, 0.05, precision)
+    found, expected = _values(stepped), _values(plain)
+    assert found.keys() == expected.keys()
+    for key in found:
+        assert np.allclose(found[key], expected[key], rtol=0, atol=1e-12 if precision == "double" else 1e-7)
+    error = metrics.square_error(rated, state).first()
+    total = stepped.agg(F.sum("square").alias("square"), F.sum("rated").alias("rated")).first()
+    assert total.rated == error.num_records
+    assert total.square == pytest.approx(error.square_error_sum, rel=1e-12 if precision == "double" else 1e-6)
+
+
 @pytest.mark.parametrize("slice_width", [4, 11])
 def test_streamed_slices(spark, ratings, slice_width):
     rated = ratings.where(F.col("rating").isNotNull())
@@ -52,6 +78,47 @@ def test_rows_without_a_rating_known(spark, make_ratings):
     assert done[0, 2, 0] == before[0, 2, 0] and done[0, 0, 1] != before[0, 0, 1] and None not in done[1, 0, 1]
 
 
+def test_rows_travel_once_whatever_the_blocks(spark, make_ratings, monkeypatch):
+    monkeypatch.setattr(grid, "MIN_JOIN_BYTES", 0)
+    monkeypatch.setattr(grid, "MAX_COPIED_BYTES", 0)
+    rng = np.random.default_rng(5)
+    ratings = make_ratings(zip(rng.integers(0, 300, 9000), rng.integers(0, 300, 9000), rng.integers(1, 6, 9000)))
+    state = factors.init_state(spark, 300, 300, 128, "hash")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled(blocks):
+        monkeypatch.setattr(streamed, "num_blocks", lambda *_: blocks)
+        monkeypatch.setattr(grid, "grid_size", lambda *_: blocks)
+        context.listenerBus().waitUntilEmpty()
+        before = context.statusStore().executorSummary("driver").totalShuffleWrite()
+        moved = batch_gd.gd_epoch(ratings, state, 128, 0.02, 0.05)
+        moved.write.format("noop").mode("overwrite").save()
+        slices = feature_shards.sliced(state, 32)
+        feature_shards.sharded_epoch(ratings, slices, 32, 0.02, 0.05).write.format("noop").mode("overwrite").save()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite() - before
+
+    few, many = shuffled(2), shuffled(8)
+    assert many < 1.5 * few
+    # Twice: whole rows and slices. A rating takes some bytes, and never a row.
+    assert many < 2 * (600 * 128 * 8 * 1.2 + 2 * 9000 * 64)
+
+
+def test_wide_training_leaves_no_rows_behind(spark, ratings):
+    def lying():
+        return {name for name in Folder(spark, f"{shared_root(spark)}/ratingloom").names() if name.startswith("streamed-rows")}
+
+    before = lying()
+    rated = ratings.where(F.col("rating").isNotNull() & F.col("user_id").isNotNull() & F.col("item_id").isNotNull())
+    config = RunConfig(gd_mode=0, num_features=WIDTH, learning_rate=0.01, max_num_iterations=2, precision=2)
+    model = fit(rated, None, config, Engine(init="mix"))
+    state = factors.init_state(spark, 30, 25, WIDTH)
+    for _ in range(2):
+        state = factors.apply_step(state, gradient_sums(rated, state, WIDTH), 0.01, config.regularization_factor).localCheckpoint()
+    _close(_values(model.state), _values(state))
+    assert lying() == before
+
+
 def test_blocks_are_bounded():
     assert streamed.num_blocks(0, 0, 8) == 8
     assert streamed.num_blocks(216_000_000, 5_400_000 * 1024, 8) == 56
