@@ -90,16 +90,19 @@ def predict(ratings: DataFrame, state: DataFrame, skew: RatingSkew | None = None
     """Add ``prediction`` (inner product) and ``residual`` (prediction - rating, if rated).
 
     Ids outside the model are dropped, or kept with a NaN prediction (``cold_start='nan'``). Plain rating
-    tables meet factor rows of a known, large ``width`` on a grid, where that moves less than a factor array per rating.
+    tables meet factor rows of a known, large ``width`` on a grid, or stream them if they are many, where that moves
+    less than a factor array per rating.
     """
     if cold_start not in ("drop", "nan"):
         raise ValueError("cold_start must be 'drop' or 'nan'")
     if width and cold_start == "drop" and dict(ratings.dtypes) == RATING_TYPES:
-        from ratingloom.plans import grid
+        from ratingloom.plans import grid, streamed
 
-        cells = grid.worthwhile_cells(ratings, state, width)
-        if cells:
-            return grid.grid_predict(cells, state, width).select(*ratings.columns, "prediction", "residual")
+        found = grid.wide_pass(ratings, state, width)
+        if found:
+            scored = (streamed.predictions(ratings, state, found, width) if isinstance(found, streamed.Sizes)
+                      else grid.grid_predict(found, state, width))
+            return scored.select(*ratings.columns, "prediction", "residual")
     joined = attach_factors(ratings, state, skew, "inner" if cold_start == "drop" else "left")
     scored = joined.withColumn("prediction", F.coalesce(dot(F.col("p"), F.col("q"), width), F.lit(float("nan"))))
     scored = scored.drop("p", "q")

@@ -77,18 +77,6 @@ def wide_pass(ratings: DataFrame, state: DataFrame, width: int) -> PartedRatings
     return grid_ratings(ratings.where(F.col("user_id").isNotNull() & F.col("item_id").isNotNull()), blocks)
 
 
-def worthwhile_cells(ratings: DataFrame, state: DataFrame, width: int) -> PartedRatings | None:
-    """Ratings with both ids on a grid, for one pass over wide rows; None where joins move less."""
-    if width <= COLUMNWISE_WIDTH:
-        return None
-    num_records, num_rows = ratings.count(), state.count()
-    blocks = grid_size(num_records, num_rows, width, task_slots(ratings.sparkSession))
-    # Rows are so wide that the layout does not count: fewer rows than records travel, that decides.
-    if num_records * width * 8 <= MIN_JOIN_BYTES or num_records <= blocks * num_rows:
-        return None
-    return grid_ratings(ratings.where(F.col("user_id").isNotNull() & F.col("item_id").isNotNull()), blocks)
-
-
 def grid_predict(ratings: PartedRatings, state: DataFrame, width: int) -> DataFrame:
     """``(rec_id, user_id, item_id, rating, prediction, residual)`` of the records the model covers."""
     score = exchange.BlockScore(width)

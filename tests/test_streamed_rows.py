@@ -41,6 +41,19 @@ def ratings(request, make_ratings, monkeypatch):
                              "item_id": F.when(number % 4 == 0, 3).when(number != 10, F.col("item_id"))})
 
 
+@pytest.mark.parametrize("num_users,num_items", [(29, 40), (40, 24)])
+def test_streamed_predictions(spark, ratings, num_users, num_items):
+    state = factors.init_state(spark, num_users, num_items, WIDTH)
+    scored = factors.predict(ratings, state, width=WIDTH)
+    assert "MapInArrow" in _plan(scored) and "CoGroup" not in _plan(scored)
+    expected = {r.rec_id: r for r in factors.predict(ratings, state).select(scored.columns).collect()}
+    found = {r.rec_id: r for r in scored.collect()}
+    assert found.keys() == expected.keys() and len(found) > 300
+    for key, row in found.items():
+        assert row[:4] == expected[key][:4] and abs(row.prediction - expected[key].prediction) < 1e-12
+        assert (row.residual is None) == (expected[key].residual is None) == (key % 50 == 5)
+
+
 @pytest.mark.parametrize("precision", ["double", "single"])
 def test_streamed_epoch(spark, ratings, precision):
     state = factors.init_state(spark, 29, 40, WIDTH, precision=precision)
